@@ -48,12 +48,13 @@ def half_up(num: str, den: str, dp: int) -> str:
 
 
 def half_even(num: str, den: str, dp: int) -> str:
-    """num/den rounded half to even to ``dp`` places, for num >= 0 and den > 0."""
+    """num/den rounded half to even to ``dp`` places, for den > 0."""
     s = 10 ** dp
-    n, d = f"(CAST({num} AS HUGEINT) * {s})", f"CAST({den} AS HUGEINT)"
+    v, d = f"CAST({num} AS HUGEINT)", f"CAST({den} AS HUGEINT)"
+    n = f"(abs({v}) * {s})"
     q, r = f"({n} // {d})", f"({n} % {d})"
     up = f"(CASE WHEN 2 * {r} > {d} OR (2 * {r} = {d} AND {q} % 2 = 1) THEN 1 ELSE 0 END)"
-    return f"CASE WHEN {d} <> 0 THEN CAST({q} + {up} AS DOUBLE) / {s} END"
+    return f"CASE WHEN {d} <> 0 THEN CAST(sign({v}) * ({q} + {up}) AS DOUBLE) / {s} END"
 
 
 def day(x: str) -> str:
