@@ -70,5 +70,5 @@ def num(x: str) -> str:
 
 
 def cents(x: str) -> str:
-    """Decimal(…,2) expression as whole cents."""
+    """Decimal(, 2,2) expression as whole cents."""
     return f"CAST({x} * 100 AS BIGINT)"
