@@ -1,4 +1,4 @@
 """Named queries over the benchmark tables, each with its check query."""
 
-from . import accounting, quality, runs, text  # noqa: F401
+from . import accounting, invoices, quality, runs, text  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

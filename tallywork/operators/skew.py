@@ -34,19 +34,27 @@ def join_counted(big: DataFrame, side: DataFrame, keys: Sequence[str], count: st
     return out.select(*big.columns, *[F.coalesce(F.col(f"_hot.{p}"), F.col(f"_cold.{p}")).alias(p) for p in payload])
 
 
-def running_number(df: DataFrame, order: str, bucket: Column, name: str) -> DataFrame:
-    """Number all rows 1..n by the unique column ``order``.
+def position(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str) -> DataFrame:
+    """Number the rows of each key 1..n by ``order``, without one task per key.
 
-    ``bucket`` must grow with ``order`` and hold a bounded number of its values
-    (``floor(id / 100000)``, or the first characters of a uuid).  Rows are ranked
-    inside their bucket and shifted by the rows of earlier buckets, so only the
-    bucket totals are ordered globally.
+    ``bucket`` must grow with ``order`` and hold a bounded number of a key's
+    rows (an hour of a timestamp, ``floor(id / 100000)``, the first characters
+    of a uuid).  Rows are ranked inside their bucket and shifted by the rows of
+    the key's earlier buckets, so a whole key is only ever seen as bucket totals.
     """
+    keys = list(keys)
     marked = df.withColumn("_bucket", bucket)
-    totals = marked.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = totals.select(F.col("_bucket").alias("_b"), F.coalesce(
-        F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = marked.withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy(order)))
-    return (ranked.join(before, F.col("_bucket") == F.col("_b"))
-            .withColumn(name, F.col("_before") + F.col("_rank"))
-            .drop("_bucket", "_rank", "_b", "_before"))
+    totals = marked.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_bucket")
+    before = totals.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"),
+        F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ranked = marked.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)))
+    return (ranked.join(before, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+                        + [F.col("_bucket").eqNullSafe(F.col("_b"))])
+            .withColumn(name, F.col("_before") + F.col("_rank")).select(*df.columns, name))
+
+
+def running_number(df: DataFrame, order: str, bucket: Column, name: str) -> DataFrame:
+    """Number all rows 1..n by a unique column; see :func:`position`."""
+    return position(df, [], [order], bucket, name)
