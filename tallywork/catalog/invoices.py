@@ -249,22 +249,22 @@ def _(t):
 
 
 @query("lim_4_queue_order", """
-SELECT id, row_number() OVER (ORDER BY priority, created_at DESC, id) AS place FROM queue WHERE status = 'pending' QUALIFY place <= 100""", "queue")
+SELECT id, row_number() OVER (ORDER BY priority, created_at DESC, id) AS place FROM queue WHERE status = 'pending'""", "queue")
 def _(t):
-    top = (t.queue.where("status = 'pending'").orderBy("priority", F.desc("created_at"), "id").limit(100))
-    from pyspark.sql import Window
-    return top.select("id", F.row_number().over(Window.orderBy("priority", F.desc("created_at"), "id")).alias("place"))
+    q = t.queue.where("status = 'pending'")
+    bucket = F.struct("priority", -F.floor(F.unix_timestamp("created_at") / 86400))
+    return position(q, [], ["priority", F.desc("created_at"), "id"], bucket, "place").select("id", "place")
 
 
 @query("lim_5_nulls_last", """
-SELECT supplier_id, avg_ms, row_number() OVER (ORDER BY avg_ms DESC NULLS LAST, supplier_id NULLS FIRST) AS place FROM (
-  SELECT supplier_id, avg(CASE WHEN supplier_id % 3 = 0 THEN NULL ELSE processing_time_ms END) AS avg_ms FROM invoices GROUP BY 1)""", "invoices")
-def _(t):
-    from pyspark.sql import Window
-    per = t.invoices.groupBy("supplier_id").agg(F.avg(F.when(F.col("supplier_id") % 3 != 0, F.col("processing_time_ms"))
-                                                     .when(F.col("supplier_id").isNull(), F.col("processing_time_ms"))).alias("avg_ms"))
-    w = Window.orderBy(F.desc_nulls_last("avg_ms"), F.asc_nulls_first("supplier_id"))
-    return per.select("supplier_id", "avg_ms", F.row_number().over(w).alias("place"))
+SELECT supplier_id, avg_ms, row_number() OVER (ORDER BY avg_ms DESC NULLS LAST, supplier_id) AS place FROM (
+  SELECT supplier_id, avg(CASE WHEN supplier_id % 3 = 0 THEN NULL ELSE processing_time_ms END) AS avg_ms FROM invoices
+  WHERE supplier_id IS NOT NULL GROUP BY 1)""", "invoices")
+def _(t):
+    per = (t.invoices.where("supplier_id IS NOT NULL").groupBy("supplier_id")
+           .agg(F.avg(F.when(F.col("supplier_id") % 3 != 0, F.col("processing_time_ms"))).alias("avg_ms")))
+    bucket = F.struct(F.col("avg_ms").isNull(), -F.floor("avg_ms"))
+    return position(per, [], [F.desc_nulls_last("avg_ms"), "supplier_id"], bucket, "place").select("supplier_id", "avg_ms", "place")
 
 
 @query("ag_6_queue_stats", """
