@@ -26,6 +26,11 @@ def group_originals(invoices: DataFrame, keys: list[str], among=None) -> DataFra
             .agg(F.min(age).alias("first"), F.count("*").alias("n")).where("n > 1"))
 
 
+def _with_first(rows: DataFrame, groups: DataFrame, keys: list[str], name: str) -> DataFrame:
+    side = groups.select(*keys, F.col("first").alias(name))
+    return join_counted(rows, side, keys, groups.select(*keys, "n"), spread="id")
+
+
 def find_duplicates(invoices: DataFrame) -> DataFrame:
     """JN-12: for each invoice the earlier one it repeats, by content hash, else by fiscal key and total.
 
@@ -35,10 +40,10 @@ def find_duplicates(invoices: DataFrame) -> DataFrame:
     rows = invoices.select("id", "created_at", "document_hash", "processing_status",
                            *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("issuer_nif", "invoice_number")],
                            "issue_date", "total_with_vat")
-    by_hash = group_originals(rows, ["document_hash"]).withColumnRenamed("first", "same_hash")
-    by_key = group_originals(rows, LOOKUP_KEY, F.col("processing_status") != DUPLICATE).withColumnRenamed("first", "same_key")
-    out = join_counted(rows, by_hash, ["document_hash"], "n", spread="id")
-    out = join_counted(out, by_key, LOOKUP_KEY, "n", spread="id")
+    by_hash = group_originals(rows, ["document_hash"])
+    by_key = group_originals(rows, LOOKUP_KEY, F.col("processing_status") != DUPLICATE)
+    out = _with_first(rows, by_hash, ["document_hash"], "same_hash")
+    out = _with_first(out, by_key, LOOKUP_KEY, "same_key")
     older = lambda c: F.when(F.col(c) < _age(), F.col(f"{c}.id"))
     found = F.coalesce(older("same_hash"), older("same_key"))
     return out.select("id", found.isNotNull().alias("is_duplicate"), found.alias("duplicate_of"),
@@ -49,6 +54,5 @@ def fiscal_collisions(invoices: DataFrame) -> DataFrame:
     """JN-13: invoices sharing issuer, number and date, duplicates already marked aside; the total plays no part."""
     live = invoices.where(F.col("processing_status") != DUPLICATE)
     groups = live.dropna(subset=FISCAL_KEY).groupBy(*FISCAL_KEY).agg(F.count("*").alias("n")).where("n > 1")
-    groups = groups.withColumn("sharing", F.col("n"))
-    return (join_counted(live.select("id", *FISCAL_KEY), groups, FISCAL_KEY, "n", spread="id")
-            .where("sharing IS NOT NULL"))
+    side = groups.withColumnRenamed("n", "sharing")
+    return join_counted(live.select("id", *FISCAL_KEY), side, FISCAL_KEY, groups, spread="id").where("sharing IS NOT NULL")

@@ -36,7 +36,7 @@ def resolve(requests: DataFrame, suppliers: DataFrame, aliases: DataFrame, manua
     """
     r = requests.select("document_id", _filled("input_nif").alias("input_nif"), _filled("input_name").alias("input_name"))
     r = r.withColumn("_key", F.to_json(F.struct("input_nif", "input_name")))
-    inputs = r.groupBy("_key", "input_nif", "input_name").agg(F.count("*").alias("_n"))
+    inputs = r.groupBy("_key", "input_nif", "input_name").agg(F.count("*").alias("n"))
     inputs = inputs.withColumns({"_name": match_name(F.col("input_name"))})
 
     by_id = suppliers.groupBy(F.col("nif").alias("_k1")).agg(F.min("id").alias("_by_id"))
@@ -67,9 +67,9 @@ def resolve(requests: DataFrame, suppliers: DataFrame, aliases: DataFrame, manua
                   .when(F.col("_by_alias_id").isNotNull(), ALIAS_ID_CONFIDENCE)
                   .when(F.col("_by_alias_name").isNotNull(), ALIAS_NAME_CONFIDENCE)
                   .otherwise(F.coalesce("score", F.lit(0.0))))
-    answers = answered.select("_key", "_n", F.coalesce("_direct", "_by_score").alias("supplier_id"),
+    answers = answered.select("_key", F.coalesce("_direct", "_by_score").alias("supplier_id"),
                               method.alias("method"), confidence.alias("confidence"))
-    return (join_counted(r, answers, ["_key"], "_n", spread="document_id")
+    return (join_counted(r, answers, ["_key"], inputs.select("_key", "n"), spread="document_id")
             .select("document_id", "input_nif", "input_name", "supplier_id", "method", "confidence",
                     F.col("method").isin("fuzzy_review", "new_supplier").alias("needs_review")))
 
@@ -117,10 +117,10 @@ def enrich_issuer(invoices: DataFrame, suppliers: DataFrame, id_type: str = "lon
                            .when(is_nine_digits(F.col("_own")) & ~valid_tax_id(F.col("_own")), "broken").otherwise("fine"))
     rows = rows.withColumn("_ask", F.when(F.col("_case").isin("missing", "broken") & (F.trim("issuer_name") != ""),
                                           F.col("issuer_name")))
-    asked = rows.where(F.col("_ask").isNotNull()).groupBy(F.col("_ask").alias("raw_name")).agg(F.count("*").alias("_n"))
-    found = (asked.join(tax_id_by_name(asked, suppliers, id_type), "raw_name")
-             .select(F.col("raw_name").alias("_ask"), "_n", F.col("tax_id").alias("_found")))
-    out = join_counted(rows, found, ["_ask"], "_n", spread="id")
+    asked = rows.where(F.col("_ask").isNotNull()).groupBy("_ask").agg(F.count("*").alias("n"))
+    found = tax_id_by_name(asked.select(F.col("_ask").alias("raw_name")), suppliers, id_type).select(
+        F.col("raw_name").alias("_ask"), F.col("tax_id").alias("_found"))
+    out = join_counted(rows, found, ["_ask"], asked, spread="id")
     value = F.when(F.col("_case") == "missing", F.col("_found")).when(F.col("_case") == "fine", F.col("_own"))
     guarded = F.when(~value.eqNullSafe(F.col("_other")), value)
     return out.select("id", F.when(F.col("_case") == "broken", F.col("_found")).otherwise(guarded).alias("issuer_nif"))

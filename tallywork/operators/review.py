@@ -43,8 +43,8 @@ def queue_by_invoice(queue: DataFrame) -> DataFrame:
 
     A row per item, so an invoice with any number of items is never one cell.
     """
-    first = queue.groupBy("invoice_id").agg(F.min("priority").alias("invoice_priority"), F.count("*").alias("_n"))
-    return (join_counted(queue, first, ["invoice_id"], "_n", spread="id")
+    first = queue.groupBy("invoice_id").agg(F.min("priority").alias("invoice_priority"), F.count("*").alias("n"))
+    return (join_counted(queue, first.drop("n"), ["invoice_id"], first.select("invoice_id", "n"), spread="id")
             .select("invoice_id", "invoice_priority", F.col("id").alias("queue_id"), "reason_code", "priority", "created_at")
             .orderBy("invoice_id", "priority", F.desc("created_at"), "queue_id"))
 

@@ -6,32 +6,36 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SPREAD = 256
+SALTS = 64
 
 
-def join_counted(big: DataFrame, side: DataFrame, keys: Sequence[str], count: str, spread: str,
+def join_counted(big: DataFrame, side: DataFrame, keys: Sequence[str], counts: DataFrame, spread: str,
                  share: int = 1000) -> DataFrame:
-    """Left join ``big`` to ``side``, which has unique ``keys`` and, in ``count``, how many rows of ``big`` use each.
+    """Left join ``big`` to ``side``, whose ``keys`` are unique, with hot keys split.
 
-    Keys owning more than 1/``share`` of the rows (so at most ``share`` of them)
-    are broadcast.  The others are shuffled; rows already served, and rows with
-    a null key, are spread over partitions by ``spread`` instead of meeting in one.
+    ``counts`` holds (keys, ``n``): how many rows of ``big`` use a key.  Keys
+    with more than 1/``share`` of all rows, so fewer than ``share`` of them, are
+    known to both sides by a broadcast; their rows are dealt over ``SALTS``
+    partitions by a hash of ``spread`` and their one side row is repeated there.
+    Rows with a null key are dealt the same way and match nothing.
     """
     keys = list(keys)
-    payload = [c for c in side.columns if c not in (*keys, count)]
-    total = side.agg(F.sum(count)).scalar()
-    hot = F.broadcast(side.where(F.col(count) * share > total).select(
-        *[F.col(k).alias(f"_h_{k}") for k in keys], F.struct(*payload).alias("_hot")))
-    cold = side.where(F.col(count) * share <= total).select(
-        *[F.col(k).alias(f"_c_{k}") for k in keys], F.struct(*payload).alias("_cold"), F.lit(0).alias("_c_salt"))
-    served = big.join(hot, [F.col(k) == F.col(f"_h_{k}") for k in keys], "left")
+    payload = [c for c in side.columns if c not in keys]
+    total = counts.agg(F.sum("n")).scalar()
+    hot = F.broadcast(counts.where(F.col("n") * share > total).select(
+        *[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot")))
+    is_hot = [F.col(k) == F.col(f"_h_{k}") for k in keys]
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()
-    salt = F.when(no_key | F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SPREAD)) + 1).otherwise(0)
-    out = (served.withColumn("_salt", salt.cast("int"))
-           .join(cold, [F.col(k) == F.col(f"_c_{k}") for k in keys] + [F.col("_salt") == F.col("_c_salt")], "left"))
-    return out.select(*big.columns, *[F.coalesce(F.col(f"_hot.{p}"), F.col(f"_cold.{p}")).alias(p) for p in payload])
+    salt = F.when(no_key | F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = big.join(hot, is_hot, "left").withColumn("_salt", salt)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = side.join(hot, is_hot, "left").select(
+        *[F.col(k).alias(f"_s_{k}") for k in keys], *payload, F.explode(copies).alias("_s_salt"))
+    same = [F.col(k) == F.col(f"_s_{k}") for k in keys]
+    return (dealt.join(repeated, [*same, F.col("_salt") == F.col("_s_salt")], "left")
+            .select(*big.columns, *payload))
 
 
 def position(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str) -> DataFrame:
