@@ -22,7 +22,7 @@ def is_nine_digits(c: Column) -> Column:
 
 def valid_tax_id(c: Column) -> Column:
     """STR-10: nine digits, allowed first digit, modulo-11 check digit."""
-    digit = lambda i: F.try_to_number(F.substring(c, i, 1), F.lit("9")).cast("int")
+    digit = lambda i: F.ascii(F.substring(c, i, 1)) - 48
     total = sum((digit(i + 1) * w for i, w in enumerate(WEIGHTS[1:], 1)), digit(1) * WEIGHTS[0])
     rest = total % 11
     check = F.when(rest <= 1, 0).otherwise(F.lit(11) - rest)

@@ -18,7 +18,7 @@ from ..functions.similarity import code_points, jaro_winkler_rows
 
 REVIEW_SCORE = 0.82
 SHARD_ROWS = 20_000
-BUCKET_ROWS = 2_000
+BUCKET_ROWS = 500
 CHUNK = 512
 
 
@@ -31,6 +31,8 @@ def _grid(names: DataFrame, entries: DataFrame, match, schema: str,
           shard_rows: int = SHARD_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``names`` (distinct column ``name``) against ``entries`` (unique ``id``, column ``entry``)."""
     shards, buckets = _cells(entries, shard_rows), _cells(names, bucket_rows)
+    # Cells are small in bytes and heavy in work, so their number of tasks is set instead of left to size.
+    tasks = 4 * int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = (names.withColumn("_bucket", F.pmod(F.xxhash64("name"), buckets).cast("int"))
             .withColumn("_shard", F.explode(F.sequence(F.lit(0), shards - 1))))
     right = (entries.withColumn("_shard", F.pmod(F.xxhash64("id"), shards).cast("int"))
@@ -39,7 +41,9 @@ def _grid(names: DataFrame, entries: DataFrame, match, schema: str,
     def cell(names_part: pd.DataFrame, entries_part: pd.DataFrame) -> pd.DataFrame:
         return match(names_part["name"], entries_part.sort_values("id", ignore_index=True))
 
-    return left.groupBy("_bucket", "_shard").cogroup(right.groupBy("_bucket", "_shard")).applyInPandas(cell, schema)
+    keys = ["_bucket", "_shard"]
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, schema)
 
 
 def _letter_counts(codes: np.ndarray) -> np.ndarray:
@@ -153,6 +157,7 @@ def _by_tokens(names: pd.Series, entries: pd.DataFrame) -> pd.DataFrame:
 
 def names_by_tokens(names: DataFrame, entries: DataFrame, id_type: str = "long", **sizes) -> DataFrame:
     """JN-16 search: (name, id, overlap), highest overlap, then lowest id."""
+    entries = entries.groupBy("entry").agg(F.min("id").alias("id"))
     cells = _grid(names.distinct(), entries, _by_tokens, f"name string, id {id_type}, overlap double", **sizes)
     return cells.groupBy("name").agg(F.max("overlap").alias("overlap"),
                                      F.min_by("id", F.struct(-F.col("overlap"), "id")).alias("id"))
