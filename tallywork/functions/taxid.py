@@ -21,10 +21,13 @@ def is_nine_digits(c: Column) -> Column:
 
 
 def valid_tax_id(c: Column) -> Column:
-    """STR-10: nine digits, allowed first digit, modulo-11 check digit."""
-    digit = lambda i: F.ascii(F.substring(c, i, 1)) - 48
-    total = sum((digit(i + 1) * w for i, w in enumerate(WEIGHTS[1:], 1)), digit(1) * WEIGHTS[0])
-    rest = total % 11
-    check = F.when(rest <= 1, 0).otherwise(F.lit(11) - rest)
-    return F.coalesce(F.when(is_nine_digits(c), F.substring(c, 1, 1).isin(FIRST_DIGITS) & (check == digit(9))),
-                      F.lit(False))
+    """STR-10: nine digits, allowed first digit, modulo-11 check digit; null is not valid."""
+    def check(x):
+        digit = lambda i: F.ascii(F.substring(x, i, 1)) - 48
+        total = sum((digit(i + 1) * w for i, w in enumerate(WEIGHTS[1:], 1)), digit(1) * WEIGHTS[0])
+        rest = total % 11
+        control = F.when(rest <= 1, 0).otherwise(F.lit(11) - rest)
+        return is_nine_digits(x) & F.substring(x, 1, 1).isin(FIRST_DIGITS) & (control == digit(9))
+
+    # The one-element array binds the input, so it is computed once and not once per digit.
+    return F.exists(F.array(F.coalesce(c, F.lit(""))), check)

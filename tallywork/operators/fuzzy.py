@@ -1,8 +1,10 @@
 """Best approximate match of many names against a dictionary of names.
 
 The comparison has no lossless equality key, so the work is laid out as a grid:
-dictionary rows are dealt into shards, names into buckets, both of bounded size,
-and each (bucket, shard) cell is one small group.  A cell discards dictionary
+dictionary rows are dealt into shards of bounded size, names into buckets, and
+each (bucket, shard) cell is one group.  The number of cells is fixed by the
+session's parallelism, so the dictionary rows sent around are at most a shard
+per cell, and the names sent around at most one copy per shard.  A cell discards dictionary
 rows by an upper bound first, scores the rest with array operations and gives
 back at most one row per name; the cells of a name are merged by an aggregate.
 Pairs are never rows of a table, and every pair is either bounded or scored.
@@ -18,21 +20,15 @@ from ..functions.similarity import code_points, jaro_winkler_rows
 
 REVIEW_SCORE = 0.82
 SHARD_ROWS = 20_000
-BUCKET_ROWS = 500
 CHUNK = 512
 
 
-def _cells(df: DataFrame, rows: int) -> Column:
-    """How many parts of about ``rows`` rows a table makes, as a scalar subquery."""
-    return F.greatest(F.lit(1), df.agg(F.ceil(F.count("*") / rows)).scalar()).cast("int")
-
-
-def _grid(names: DataFrame, entries: DataFrame, match, schema: str,
-          shard_rows: int = SHARD_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def _grid(names: DataFrame, entries: DataFrame, match, schema: str, shard_rows: int = SHARD_ROWS,
+          cells: int | None = None) -> DataFrame:
     """``names`` (distinct column ``name``) against ``entries`` (unique ``id``, column ``entry``)."""
-    shards, buckets = _cells(entries, shard_rows), _cells(names, bucket_rows)
-    # Cells are small in bytes and heavy in work, so their number of tasks is set instead of left to size.
-    tasks = 4 * int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells or 4 * int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = F.greatest(F.lit(1), entries.agg(F.ceil(F.count("*") / shard_rows)).scalar()).cast("int")
+    buckets = F.greatest(F.lit(1), F.ceil(F.lit(cells) / shards)).cast("int")
     left = (names.withColumn("_bucket", F.pmod(F.xxhash64("name"), buckets).cast("int"))
             .withColumn("_shard", F.explode(F.sequence(F.lit(0), shards - 1))))
     right = (entries.withColumn("_shard", F.pmod(F.xxhash64("id"), shards).cast("int"))
@@ -42,7 +38,8 @@ def _grid(names: DataFrame, entries: DataFrame, match, schema: str,
         return match(names_part["name"], entries_part.sort_values("id", ignore_index=True))
 
     keys = ["_bucket", "_shard"]
-    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
+    # Cells are small in bytes and heavy in work: their tasks are set here, not merged by size.
+    left, right = left.repartition(cells, *keys), right.repartition(cells, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, schema)
 
 

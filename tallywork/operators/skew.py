@@ -6,35 +6,36 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SALTS = 64
+HOT_ROWS = 1_000_000
+SPREAD = 4096
 
 
 def join_counted(big: DataFrame, side: DataFrame, keys: Sequence[str], counts: DataFrame, spread: str,
-                 share: int = 1000) -> DataFrame:
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join ``big`` to ``side``, whose ``keys`` are unique, with hot keys split.
 
-    ``counts`` holds (keys, ``n``): how many rows of ``big`` use a key.  Keys
-    with more than 1/``share`` of all rows, so fewer than ``share`` of them, are
-    known to both sides by a broadcast; their rows are dealt over ``SALTS``
-    partitions by a hash of ``spread`` and their one side row is repeated there.
-    Rows with a null key are dealt the same way and match nothing.
+    ``counts`` holds (keys, ``n``): how many rows of ``big`` use a key.  A key
+    with more than ``hot_rows`` rows is dealt over ``n / hot_rows`` parts by a
+    hash of ``spread``, and its one side row is repeated once per part.  There
+    are at most (rows of ``big``) / ``hot_rows`` such keys, which bounds both
+    the broadcast list of them and the repeated rows.  Rows with a null key are
+    dealt out as well and match nothing.
     """
     keys = list(keys)
     payload = [c for c in side.columns if c not in keys]
-    total = counts.agg(F.sum("n")).scalar()
-    hot = F.broadcast(counts.where(F.col("n") * share > total).select(
-        *[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot")))
+    hot = F.broadcast(counts.where(F.col("n") > hot_rows).select(
+        *[F.col(k).alias(f"_h_{k}") for k in keys], F.ceil(F.col("n") / hot_rows).cast("int").alias("_parts")))
     is_hot = [F.col(k) == F.col(f"_h_{k}") for k in keys]
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()
-    salt = F.when(no_key | F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")
-    dealt = big.join(hot, is_hot, "left").withColumn("_salt", salt)
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    parts = F.when(no_key, SPREAD).otherwise(F.coalesce("_parts", F.lit(1)))
+    dealt = big.join(hot, is_hot, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts))
     repeated = side.join(hot, is_hot, "left").select(
-        *[F.col(k).alias(f"_s_{k}") for k in keys], *payload, F.explode(copies).alias("_s_salt"))
+        *[F.col(k).alias(f"_s_{k}") for k in keys], *payload,
+        F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)).cast("long") - 1)).alias("_s_part"))
     same = [F.col(k) == F.col(f"_s_{k}") for k in keys]
-    return (dealt.join(repeated, [*same, F.col("_salt") == F.col("_s_salt")], "left")
+    return (dealt.join(repeated, [*same, F.col("_part") == F.col("_s_part")], "left")
             .select(*big.columns, *payload))
 
 
