@@ -24,7 +24,7 @@ def token_overlap(a: Column, b: Column) -> Column:
 def code_points(strings) -> tuple[np.ndarray, np.ndarray]:
     encoded = [np.frombuffer(s.encode("utf-32-le"), dtype="<i4") for s in strings]
     lengths = np.array([len(e) for e in encoded], dtype=np.int64)
-    out = np.full((len(encoded), int(lengths.max(initial=0))), -1, dtype=np.int32)
+    out = np.full((len(encoded), max(1, int(lengths.max(initial=0)))), -1, dtype=np.int32)
     for row, e in zip(out, encoded):
         row[:len(e)] = e
     return out, lengths
