@@ -41,7 +41,8 @@ def line_checks(lines: DataFrame) -> DataFrame:
         return F.when(line.isNull(), F.array(F.concat(at, F.lit(" not an object")))).otherwise(_warnings(*missing))
     return lines.withColumns({
         "warnings": F.coalesce(F.flatten(F.transform("line_items", notes)), F.array().cast("array<string>")),
-        "line_items": F.coalesce(F.filter("line_items", lambda x: x.isNotNull()), F.filter("line_items", lambda x: F.lit(False)))})
+        "line_items": F.coalesce(F.filter("line_items", lambda x: x.isNotNull()),
+                                 F.array().cast(lines.schema["line_items"].dataType))})
 
 
 def reconcile(headers: DataFrame, lines: DataFrame, totals: DataFrame, key: str = "document_id") -> DataFrame:
@@ -83,7 +84,7 @@ def section_counters(section: DataFrame, name: str, fields: list[str], key: str
 
 def with_appended(df: DataFrame, column: str, more: str) -> DataFrame:
     """SET-4: list append; a missing list adds nothing."""
-    none = F.filter(F.coalesce(column, more), lambda x: F.lit(False))
+    none = F.array().cast(df.schema[column].dataType)
     return df.withColumn(column, F.concat(F.coalesce(column, none), F.coalesce(more, none))).drop(more)
 
 
