@@ -346,7 +346,7 @@ def _apply(df: DataFrame, rules: dict) -> DataFrame:
     return df.selectExpr(*[f"{e} AS {n}" for n, e in rules.items()])
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: set[str] = set()
 
 
 class Tables:
@@ -366,14 +366,13 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def _stored(self, name: str, df: DataFrame) -> DataFrame:
-        app = self.spark.sparkContext.applicationId
-        key = (app, self.dir, name)
-        if key not in _STORED:
-            tag = hashlib.sha256(self.dir.encode()).hexdigest()[:12]
-            path = f"{shared_dir(self.spark)}/tables/{app}-{tag}/{name}"
+        app, root = self.spark.sparkContext.applicationId, shared_dir(self.spark)
+        tag = hashlib.sha256(self.dir.encode()).hexdigest()[:12]
+        path = f"{root}/tables/{app}-{tag}/{name}"
+        if path not in _STORED:
             df.write.mode("overwrite").parquet(path)
-            _STORED[key] = path
-        return self.spark.read.schema(df.schema).parquet(_STORED[key])
+            _STORED.add(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLE_RULES:

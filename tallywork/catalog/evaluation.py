@@ -113,7 +113,6 @@ def _(t):
 def nested(t):
     """Expected and actual bands and items, with errors by case number."""
     band = "named_struct('rate', {r}, 'base', total_without_vat, 'amount', {a})"
-    item = "named_struct('line_number', {n}, 'description', {d}, 'quantity', {q}, 'unit_price', vat_total, 'net_amount', vat_total, 'vat_rate', 23, 'vat_amount', vat_total, 'gross_amount', {g})"
     item = lambda n, d="'consulting work'", q="1.000", g="vat_total": (
         f"named_struct('line_number', {n}, 'description', {d}, 'quantity', CAST({q} AS DECIMAL(12,4)), 'unit_price', vat_total, 'net_amount', vat_total, "
         f"'vat_rate', 23, 'vat_amount', vat_total, 'gross_amount', CAST({g} AS DECIMAL(14,2)))")
@@ -139,12 +138,13 @@ def _(t):
     return nested(t).where("field = 'items'").select("case_id", "correct")
 
 
-@query("lim_6_items_in_order", "SELECT l_orderkey AS invoice_id, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) AS line_numbers FROM lineitem GROUP BY 1")
+@query("lim_6_items_in_order", """
+SELECT o_orderkey AS id, array_to_string(list_sort([o_orderkey % 5, 0, o_custkey % 7, 2]), ',') AS line_numbers FROM orders""")
 def _(t):
-    lines = t.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
-    items = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("line_number"), "n")).alias("items"))
-    numbers = F.flatten(F.transform(E.in_line_order(F.col("items")), lambda x: F.array_repeat(x["line_number"].cast("string"), x["n"].cast("int"))))
-    return items.select(F.col("l_orderkey").alias("invoice_id"), F.array_join(numbers, ",").alias("line_numbers"))
+    numbers = [F.col("o_orderkey") % 5, F.lit(None).cast("long"), F.col("o_custkey") % 7, F.lit(2).cast("long")]
+    items = F.array(*[F.struct(n.alias("line_number")) for n in numbers])
+    ordered = F.transform(E.in_line_order(items), lambda x: F.coalesce(x["line_number"], F.lit(0)).cast("string"))
+    return t.raw("orders").select(F.col("o_orderkey").alias("id"), F.array_join(ordered, ",").alias("line_numbers"))
 
 
 # --- parity -----------------------------------------------------------------------------
