@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_round_trip
+from .near import near_duplicates
 from .pii import BASE, find_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,11 @@ def op2_bpe(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query
+def op7_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 @query
 def op10_pii(spark, sf_dir):
     found = find_pii(table(spark, sf_dir, "documents"))
