@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import bpe_round_trip
 from .near import near_duplicates
 from .pii import BASE, find_pii
+from .quality import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +35,11 @@ def op7_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+@query
+def op8_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_pii(spark, sf_dir):
     found = find_pii(table(spark, sf_dir, "documents"))
