@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_round_trip
 from .near import near_duplicates
+from .packing import best_fit_pack
 from .pii import BASE, find_pii
 from .quality import quality_rules
 
@@ -30,6 +31,11 @@ def op2_bpe(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query
+def op4_packing(spark, sf_dir):
+    return best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024, with_ids=False)
+
+
 @query
 def op7_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
