@@ -83,3 +83,18 @@ def at_spaces(text: str) -> list[str]:
     ``parts[0]`` and each later ``" " + part`` can be encoded by themselves.
     """
     return _CUT.split(text) if _EDGE.search(text) else text.split(" ")
+
+
+def with_text(df: DataFrame, text_col: str, make: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """``df`` with each text that isn't null put through a function; every other column passes as it is."""
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        change = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                texts = [None if t is None else change(t) for t in part.column(at).to_pylist()]
+                yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)

@@ -178,7 +178,7 @@ def near_duplicates(df: DataFrame, percent: int = 80, bands: int = BANDS, rows:
 
     searched = twos.select(F.explode(F.array("a", "b")).alias("key")).unionByName(in_large.select("key")).distinct()
     wanted = classes.join(searched, "key", "left_semi").select(F.col("first_id").alias("doc_id"))
-    sets = _sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["key"])
+    sets = _sets(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")).dropDuplicates(["key"])
     sets = store(sets.join(searched, "key", "left_semi"), "sets")
 
     # Shingles that one set of the larger buckets has alone bound what it can share: at most n - alone.

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from .common import per_row, pick
+from .common import per_row, pick, with_text
 
 # The kinds in the order of the result, base kinds first.
 BASE = ("email", "ip", "card", "phone")
@@ -252,3 +252,11 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = pick(df, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return per_row(rows, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>, redacted string", make)
+
+
+def redact_pii(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("url",)) -> DataFrame:
+    """``df`` with its spans, but for the kinds in ``keep``, replaced by ``[KIND]``; null texts and other columns stay."""
+    def make():
+        anchors = automaton()
+        return lambda text: redact(text, [s for s in find(text, anchors) if s[0] not in keep])
+    return with_text(df, text_col, make)

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_round_trip
+from .lines import duplicate_lines
 from .near import near_duplicates
 from .packing import best_fit_pack
 from .pii import BASE, find_pii
@@ -31,6 +32,15 @@ def op2_bpe(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query
+def op3_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = duplicate_lines(docs)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "first"))), lambda x: F.concat_ws(":", x["line"], x["first.doc_id"], x["first.line"])), ",")
+    per_doc = found.groupBy("doc_id").agg(F.count("*").alias("n_removed"), listed.alias("removed"))  # lines of one document
+    return docs.select("doc_id").join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed"))
+
+
 @query
 def op4_packing(spark, sf_dir):
     return best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024, with_ids=False)
