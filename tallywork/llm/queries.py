@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .ann import nearest
 from .bpe import bpe_round_trip
+from .classify import vote_quality
 from .lines import duplicate_lines
 from .near import near_duplicates
 from .packing import best_fit_pack
@@ -27,6 +29,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_nearest(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @query
 def op2_bpe(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -56,6 +63,14 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_quality_votes(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
+    scored = vote_quality(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op10_pii(spark, sf_dir):
     found = find_pii(table(spark, sf_dir, "documents"))
