@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .ann import nearest
 from .bpe import bpe_round_trip
+from .chat import Template, format_chat, learned_text
 from .classify import vote_quality
 from .lines import duplicate_lines
 from .near import near_duplicates
@@ -53,6 +54,36 @@ def op4_packing(spark, sf_dir):
     return best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024, with_ids=False)
 
 
+#: The digests from the table itself: what a reversible format must give back.
+ORACLES["op5_chat"] = """
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+whole AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learned,
+        sum(24 + length(role) + length(text) + length(regexp_extract_all(role || ' ' || text, '<s>|</s>|\\[INST\\]|\\[/INST\\]'))) AS formatted_chars
+    FROM rows GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256,
+    CAST(formatted_chars AS BIGINT) AS formatted_chars FROM whole"""
+
+
+@query
+def op5_chat(spark, sf_dir):
+    own = F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")) for i, r in enumerate(("user", "assistant"))])
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(own).alias("t")).select("conv_id", "t.*")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    filled = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = F.transform(F.array_sort(F.collect_list(filled)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    record = F.struct(turns.alias("turns")).alias("record")
+    done = format_chat(rows.groupBy("conv_id").agg(record)).select("conv_id", "chat.*")
+    template = Template()
+    back = done.select("conv_id", "formatted", template.read(F.col("formatted")).alias("back"), learned_text(F.col("formatted"), F.col("loss_spans"), template).alias("learned"))
+    told = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"),
+                       F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 @query
 def op7_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
