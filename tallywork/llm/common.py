@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -49,6 +50,7 @@ def per_batch(df: DataFrame, schema: StructType | str, make: Callable[[], Callab
     """As :func:`per_row`, for functions that take lists of column values and yield any number of rows.
 
     Batches are cut to ``step`` rows, so that long texts are held in small numbers.
+    ``make`` may return a pair: the second function yields rows at the task's end.
     """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
@@ -57,12 +59,17 @@ def per_batch(df: DataFrame, schema: StructType | str, make: Callable[[], Callab
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out, work = to_arrow_schema(schema), make()
+        work, rest = work if isinstance(work, tuple) else (work, tuple)
+
+        def packed(rows):
+            while some := list(islice(rows, 100_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), out)], schema=out)
+
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                rows = list(work(*[c.to_pylist() for c in part.columns]))
-                cols = list(zip(*rows)) if rows else [()] * len(out)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
+                yield from packed(iter(work(*[c.to_pylist() for c in part.columns])))
+        yield from packed(iter(rest()))
 
     return df.mapInArrow(run, schema)
 

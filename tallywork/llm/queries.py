@@ -12,6 +12,7 @@ from .bpe import bpe_round_trip
 from .chat import Template, format_chat, learned_text
 from .classify import vote_quality
 from .lines import duplicate_lines
+from .lm import lm_scores
 from .near import near_duplicates
 from .packing import best_fit_pack
 from .pii import BASE, find_pii
@@ -84,6 +85,13 @@ def op5_chat(spark, sf_dir):
                        F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query
+def op6_lm(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    scored = lm_scores(table(spark, sf_dir, "documents"), ~held_out, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op7_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
