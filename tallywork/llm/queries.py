@@ -45,7 +45,7 @@ def op2_bpe(spark, sf_dir):
 def op3_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = duplicate_lines(docs)
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "first"))), lambda x: F.concat_ws(":", x["line"], x["first.doc_id"], x["first.line"])), ",")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "first"))), lambda x: F.concat_ws(":", x["line"], x["first"]["doc_id"], x["first"]["line"])), ",")
     per_doc = found.groupBy("doc_id").agg(F.count("*").alias("n_removed"), listed.alias("removed"))  # lines of one document
     return docs.select("doc_id").join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed"))
 
