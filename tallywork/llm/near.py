@@ -191,23 +191,30 @@ def near_duplicates(df: DataFrame, percent: int = 80, bands: int = BANDS, rows:
     centre = able.groupBy("bucket").agg(F.max_by("key", F.struct(F.col("most") / F.col("n"), "key")).alias("centre"), F.count("*").alias("size")).where("size > 1")
     stars = able.join(centre, "bucket").where("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b"))
     tested = store(twos.unionByName(stars).distinct(), "pairs")
-    links = store(_confirmed(tested, sets, percent), "links")
+    common = store(_overlaps(tested, sets), "overlaps")
+    links = _reaching(common, percent)
     root = components(links)
 
     placed = able.join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    placed = store(placed, "placed")
+    with_centre = F.struct(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b"))
+    placed = placed.join(centre.select("bucket", "centre"), "bucket").withColumn("pair", with_centre).select("bucket", "key", "n", "most", "root", "pair.*")
+    placed = placed.join(common.select("a", "b", "common"), ["a", "b"], "left").withColumn("common", F.coalesce("common", "n")).drop("a", "b")
+    placed = store(placed, "placed")   # common: shingles shared with the centre; most - common: those that others may share
     main = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     main = main.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     main = store(main.where("roots > 1"), "apart")
-    # |A and B| <= least of both "most" and both sizes, so it must reach percent / (100 + percent) of the summed sizes.
+    # Of what a set shares with another one, no more can lie inside the centre than each shares with it, and no more
+    # outside than each has there in company: |A and B| must reach percent / (100 + percent) of the summed sizes.
     need = f"{100 + percent} * most >= {percent} * (n + lo)"
-    rest = (placed.join(main, "bucket").where("root <> main").where(need).where(f"100 * hi >= {percent} * n")
-            .select("bucket", F.col("key").alias("a"), F.col("n").alias("n1"), F.col("most").alias("m1"), F.col("root").alias("r1")))
-    pairs = rest.join(placed, "bucket").where(
-        f"root <> r1 AND {100 + percent} * least(m1, most, n, n1) >= {percent} * (n + n1)")
+    bands = classes.select("key", "bands")
+    rest = (placed.join(main, "bucket").where("root <> main").where(need).where(f"100 * hi >= {percent} * n").join(bands, "key")
+            .select(F.col("bucket").alias("meet"), F.col("key").alias("a"), F.col("n").alias("n1"), F.col("most").alias("m1"), F.col("common").alias("c1"), F.col("root").alias("r1"), F.col("bands").alias("bands1")))
+    others = placed.join(main.select("bucket"), "bucket").join(bands, "key")
+    first = F.get(F.filter(F.zip_with("bands1", "bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 0)   # a pair meets in its first shared bucket
+    able_pair = F.expr(f"root <> r1 AND {100 + percent} * least(n, n1, least(common, c1) + least(most - common, m1 - c1)) >= {percent} * (n + n1)")
+    pairs = rest.join(others, (F.col("meet") == F.col("bucket")) & able_pair & (first == F.col("meet")))
     pairs = pairs.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
-    more = _confirmed(store(pairs.join(tested, ["a", "b"], "left_anti"), "pairs"), sets, percent)
-    more = store(more, "links")
+    more = store(_reaching(_overlaps(pairs.join(tested, ["a", "b"], "left_anti"), sets), percent), "links")
     if not more.isEmpty():
         root = components(links.unionByName(more))
 
@@ -220,9 +227,13 @@ def near_duplicates(df: DataFrame, percent: int = 80, bands: int = BANDS, rows:
                       F.coalesce(F.when(F.col("key").isNull(), F.lit(True)).when(F.col("doc_id").isNotNull(), F.col("doc_id") == F.col("component_id")), F.lit(True)).alias("kept"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets reach the limit."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, common, sizes``: shingles that the whole sets of each pair share, and their summed sizes."""
     left = sets.select(F.col("key").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select("a", "b")
+    both = pairs.join(left, "a").join(right, "b")
+    return both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), (F.size("x") + F.size("y")).cast("long").alias("sizes"))
+
+
+def _reaching(overlaps: DataFrame, percent: int) -> DataFrame:
+    return overlaps.where(f"100 * common >= {percent} * (sizes - common)").select("a", "b")
