@@ -324,7 +324,7 @@ def request_rules(d):
 
 TABLE_RULES = {
     "suppliers": ("supplier", supplier_rules, ""),
-    "categories": ("nation", category_rules, "n_nationkey < 10"),
+    "categories": ("nation", category_rules, ""),
     "staff": ("nation", staff_rules, ""),
     "clients": ("customer", client_rules, ""),
     "runs": ("events", run_rules, ""),

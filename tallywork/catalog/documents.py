@@ -296,11 +296,11 @@ def _(t):
 
 
 @query("ag_38_assembled_pages", """
-SELECT conv_id, 0 AS block, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest, count(*) AS page_count, sum(length(text)) + count(*) - 1 AS char_count
+SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest, count(*) AS page_count, sum(length(text)) + count(*) - 1 AS char_count
 FROM conversations GROUP BY 1""")
 def _(t):
     return S.assembled_pages(t.raw("conversations"), "conv_id", "turn", "text").select(
-        "conv_id", "block", F.md5("raw_text").alias("digest"), "page_count", "char_count")
+        "conv_id", F.md5("raw_text").alias("digest"), "page_count", "char_count")
 
 
 @query("set_4_appended_errors", """

@@ -139,12 +139,14 @@ def _(t):
 
 
 @query("lim_6_items_in_order", """
-SELECT o_orderkey AS id, array_to_string(list_sort([o_orderkey % 5, 0, o_custkey % 7, 2]), ',') AS line_numbers FROM orders""")
+SELECT invoice_id AS id, string_agg(CASE WHEN line_number % 3 = 0 THEN 0 ELSE line_number END || ':' || description, ','
+    ORDER BY CASE WHEN line_number % 3 = 0 THEN 0 ELSE line_number END, description) AS lines FROM items GROUP BY 1""", "items")
 def _(t):
-    numbers = [F.col("o_orderkey") % 5, F.lit(None).cast("long"), F.col("o_custkey") % 7, F.lit(2).cast("long")]
-    items = F.array(*[F.struct(n.alias("line_number")) for n in numbers])
-    ordered = F.transform(E.in_line_order(items), lambda x: F.coalesce(x["line_number"], F.lit(0)).cast("string"))
-    return t.raw("orders").select(F.col("o_orderkey").alias("id"), F.array_join(ordered, ",").alias("line_numbers"))
+    # Every third line has lost its number.
+    item = F.struct(F.expr("CASE WHEN line_number % 3 <> 0 THEN line_number END").alias("line_number"), "description")
+    items = t.items.groupBy(F.col("invoice_id").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("items"))  # lines of one invoice
+    shown = F.transform(E.in_line_order(F.col("items")), lambda x: F.concat(F.coalesce(x["line_number"], F.lit(0)).cast("string"), F.lit(":"), x["description"]))
+    return items.select("id", F.array_join(shown, ",").alias("lines"))
 
 
 # --- parity -----------------------------------------------------------------------------

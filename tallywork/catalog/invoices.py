@@ -194,7 +194,7 @@ SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_or
 FROM orders WHERE o_orderkey % 6 = 0""")
 def _(t):
     auto = log(t).where("created_by = 'auto'")
-    return position(auto, ["resolved_supplier_id"], ["created_at", "id"], F.date_trunc("hour", "created_at"), "nth").select("id", "nth")
+    return position(auto, ["resolved_supplier_id"], ["created_at", "id"], "nth").select("id", "nth")
 
 
 TEXTS = "(SELECT id, CASE WHEN id % 83 = 0 THEN NULL ELSE total_without_vat::VARCHAR END AS s, vat_total::VARCHAR AS v, CASE WHEN id % 97 = 0 THEN 'n/a' ELSE total_with_vat::VARCHAR END AS g FROM invoices)"
@@ -252,8 +252,7 @@ def _(t):
 SELECT id, row_number() OVER (ORDER BY priority, created_at DESC, id) AS place FROM queue WHERE status = 'pending'""", "queue")
 def _(t):
     q = t.queue.where("status = 'pending'")
-    bucket = F.struct("priority", -F.floor(F.unix_timestamp("created_at") / 86400))
-    return position(q, [], ["priority", F.desc("created_at"), "id"], bucket, "place").select("id", "place")
+    return position(q, [], ["priority", F.desc("created_at"), "id"], "place").select("id", "place")
 
 
 @query("lim_5_nulls_last", """
@@ -263,8 +262,7 @@ SELECT supplier_id, avg_ms, row_number() OVER (ORDER BY avg_ms DESC NULLS LAST,
 def _(t):
     per = (t.invoices.where("supplier_id IS NOT NULL").groupBy("supplier_id")
            .agg(F.avg(F.when(F.col("supplier_id") % 3 != 0, F.col("processing_time_ms"))).alias("avg_ms")))
-    bucket = F.struct(F.col("avg_ms").isNull(), -F.floor("avg_ms"))
-    return position(per, [], [F.desc_nulls_last("avg_ms"), "supplier_id"], bucket, "place").select("supplier_id", "avg_ms", "place")
+    return position(per, [], [F.desc_nulls_last("avg_ms"), "supplier_id"], "place").select("supplier_id", "avg_ms", "place")
 
 
 @query("ag_6_queue_stats", """
@@ -275,9 +273,13 @@ def _(t):
 
 
 @query("ag_7_queue_by_invoice", f"""
-SELECT invoice_id, min(priority) OVER (PARTITION BY invoice_id) AS invoice_priority, id AS queue_id, reason_code, priority, {stamp('created_at')} AS created_at FROM queue""", "queue")
+SELECT q.invoice_id, i.file_name, i.invoice_number, {num('i.total_with_vat')} AS total_with_vat, priority, queue_ids, reason_codes FROM (
+  SELECT invoice_id, string_agg(id, ',' ORDER BY priority, created_at DESC, id) AS queue_ids, string_agg(coalesce(reason_code, ''), ',' ORDER BY priority, created_at DESC, id) AS reason_codes,
+    arg_min(priority, (priority, -epoch_us(created_at), id)) AS priority FROM queue GROUP BY 1) q LEFT JOIN invoices i ON i.id = q.invoice_id""", "queue invoices")
 def _(t):
-    return V.queue_by_invoice(t.queue)
+    g = V.queue_by_invoice(t.queue, t.invoices)
+    return g.select("invoice_id", "invoice.file_name", "invoice.invoice_number", "invoice.total_with_vat", "priority",
+                    F.array_join(F.col("queue_ids").cast("array<string>"), ",").alias("queue_ids"), F.array_join("reason_codes", ",").alias("reason_codes"))
 
 
 # --- duplicates -----------------------------------------------------------------

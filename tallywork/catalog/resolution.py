@@ -52,7 +52,7 @@ def _(t):
 
 @query("jn_17_new_suppliers", f"""
 WITH {RESOLVED}, fresh AS (SELECT input_nif, coalesce(input_name, '{R.UNKNOWN_NAME}') AS name FROM resolved WHERE method = 'new_supplier')
-SELECT coalesce(input_nif, 'UNKNOWN-' || upper(left(sha256(name), 8))) AS nif, min(name) AS name, {norm('min(name)')} AS normalized_name
+SELECT coalesce(input_nif, 'UNKNOWN-' || upper(sha256(name))) AS nif, min(name) AS name, {norm('min(name)')} AS normalized_name
 FROM fresh GROUP BY 1""", "requests suppliers aliases")
 def _(t):
     return R.new_suppliers(R.resolve(t.requests, t.suppliers, t.aliases))
@@ -106,11 +106,12 @@ def _(t):
 
 
 def corrections(t):
-    return t.approvals.where("id % 10 = 1").select("invoice_id", F.expr("invoice_id % 13").alias("supplier_id"),
-                                                   F.col("decided_by").alias("reviewer_id"))
+    """The last decision on each invoice, as a correction."""
+    last = t.approvals.groupBy("invoice_id").agg(F.max_by("decided_by", "id").alias("reviewer_id"))
+    return last.select("invoice_id", F.expr("invoice_id % 13").alias("supplier_id"), "reviewer_id")
 
 
-COR = "(SELECT i.*, a.invoice_id IS NOT NULL AS hit, i.id % 13 AS chosen, a.decided_by FROM invoices i LEFT JOIN approvals a ON a.invoice_id = i.id AND a.id % 10 = 1)"
+COR = "(SELECT i.*, a.invoice_id IS NOT NULL AS hit, i.id % 13 AS chosen, a.decided_by FROM invoices i LEFT JOIN (SELECT invoice_id, max_by(decided_by, id) AS decided_by FROM approvals GROUP BY 1) a ON a.invoice_id = i.id)"
 
 
 @query("cor_1_corrected_invoices", f"""
@@ -132,7 +133,7 @@ def _(t):
 def profiles(t):
     return (t.raw("lineitem").groupBy(F.col("l_suppkey").alias("supplier_id"), (F.col("l_partkey") % 23).alias("gl_account_id"))
             .agg(F.count("*").alias("match_count"), F.max(F.col("l_shipdate").cast("timestamp")).alias("last_seen_at"))
-            .where("supplier_id % 4 <> 1").withColumn("category_id", F.expr("CASE WHEN gl_account_id % 2 = 0 THEN CAST(gl_account_id % 10 AS INT) END")))
+            .withColumn("category_id", F.expr("CASE WHEN gl_account_id % 2 = 0 THEN CAST(gl_account_id % 10 AS INT) END")))
 
 
 def accounts(t):
@@ -141,7 +142,7 @@ def accounts(t):
 
 PROFILES = """
 prof AS (SELECT l_suppkey AS supplier_id, l_partkey % 23 AS gl_account_id, count(*) AS match_count, max(l_shipdate) AS last_seen_at FROM lineitem
-  WHERE l_suppkey % 4 <> 1 GROUP BY 1, 2),
+  GROUP BY 1, 2),
 top AS (SELECT supplier_id, arg_min(gl_account_id, (-match_count, gl_account_id)) AS gl FROM prof GROUP BY 1)"""
 
 
@@ -180,7 +181,7 @@ def _(t):
     return L.running_profile_count(classified(t)).select("id", "uses")
 
 
-@query("jn_19_unmapped_items", "SELECT description, count(*) AS occurrences, min(invoice_id) AS first_invoice_id FROM items "
-       "WHERE product_catalog_id IS NULL GROUP BY 1", "items")
+@query("jn_19_unmapped_items", "SELECT invoice_id, line_number, description, count(*) OVER (PARTITION BY description) AS occurrence_count FROM items "
+       "WHERE product_catalog_id IS NULL", "items")
 def _(t):
-    return L.unmapped_items(t.items)
+    return L.unmapped_items(t.items).select("invoice_id", "line_number", "description", "occurrence_count")

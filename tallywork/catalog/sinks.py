@@ -34,11 +34,13 @@ def _(t):
 
 @query("snk_1_upserted_aliases", """
 SELECT supplier_id, alias_text, alias_type, max(confidence)::DOUBLE AS confidence FROM (
-  SELECT supplier_id, alias_text, alias_type, 0 AS confidence FROM aliases WHERE supplier_id % 2 = 0
+  SELECT supplier_id, alias_text || CASE WHEN supplier_id % 2 = 0 THEN '' ELSE ' (old)' END AS alias_text, alias_type, 0 AS confidence FROM aliases
   UNION ALL SELECT supplier_id, alias_text, alias_type, 1 FROM aliases) GROUP BY 1, 2, 3""", "aliases")
 def _(t):
+    # Every alias is in the old table; half of them under another text, so that there they are added and not updated.
     a = t.aliases
-    old = a.where("supplier_id % 2 = 0").withColumn("confidence", F.lit(0).cast("decimal(5,4)"))
+    text = F.when(F.col("supplier_id") % 2 == 0, F.col("alias_text")).otherwise(F.concat("alias_text", F.lit(" (old)")))
+    old = a.withColumns({"alias_text": text, "confidence": F.lit(0).cast("decimal(5,4)")})
     return W.merge_latest(old, a, ["supplier_id", "alias_text", "alias_type"], ["confidence"])
 
 

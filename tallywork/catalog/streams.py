@@ -40,13 +40,18 @@ def _(t):
     return t.spark.read.parquet(out).select("storage_key", "doc_format", "document_hash")
 
 
-@query("st_2_dispatched_once", "SELECT DISTINCT user_id AS client_id, event_type AS batch_id, 'f' || event_id % 20 AS file_name FROM events")
+@query("st_2_dispatched_once", f"""
+WITH RECURSIVE e AS (SELECT user_id % 50 AS client_id, event_type AS batch_id, 'f' || event_id % 4 AS file_name, ts FROM events),
+sent AS (SELECT client_id, batch_id, file_name, min(ts) AS ts FROM e GROUP BY 1, 2, 3
+  UNION ALL SELECT e.client_id, e.batch_id, e.file_name, min(e.ts) FROM sent s JOIN e USING (client_id, batch_id, file_name)
+  WHERE e.ts >= s.ts + INTERVAL 1 HOUR GROUP BY 1, 2, 3, s.ts)
+SELECT client_id, batch_id, file_name, {stamp('ts')} AS ts FROM sent""")
 def _(t):
     out, check = place(t, "dispatch")
-    e = arriving(t, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("client_id"), F.col("event_type").alias("batch_id"),
-                                     F.expr("'f' || CAST(event_id % 20 AS STRING)").alias("file_name"))
+    e = arriving(t, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 50).alias("client_id"), F.col("event_type").alias("batch_id"),
+                                     F.expr("'f' || CAST(event_id % 4 AS STRING)").alias("file_name"))
     J.run_available(J.dispatched_once(e), check, lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"))
-    return t.spark.read.parquet(out).select("client_id", "batch_id", "file_name")
+    return t.spark.read.parquet(out).select("client_id", "batch_id", "file_name", "ts")
 
 
 STREAM = """

@@ -8,6 +8,11 @@ from pyspark.sql import Column, functions as F
 BLANKS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 
 
+def strip(c: Column) -> Column:
+    """Without blanks of any kind at both ends."""
+    return F.regexp_replace(c, f"^{BLANKS}|{BLANKS}$", "")
+
+
 def match_name(c: Column) -> Column:
     """STR-1: lower case, anything but ASCII word characters becomes one space."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\w\s]", " "), r"\s+", " "))

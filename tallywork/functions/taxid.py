@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .names import BLANKS, strip
+
 # Accepted first digits and checksum weights of a nine-digit id.
 FIRST_DIGITS = ["1", "2", "5", "6", "7", "8", "9"]
 WEIGHTS = [9, 8, 7, 6, 5, 4, 3, 2]
@@ -11,9 +13,9 @@ WEIGHTS = [9, 8, 7, 6, 5, 4, 3, 2]
 
 def normalize_tax_id(c: Column) -> Column:
     """STR-9: blank is null; blanks, dots and hyphens go; ``PT`` before nine digits goes."""
-    bare = F.regexp_replace(c, r"[\s\x{00A0}.\-]", "")
+    bare = F.regexp_replace(F.regexp_replace(c, BLANKS, ""), r"[.\-]", "")
     bare = F.regexp_replace(bare, r"^(?i:PT)(?=\d{9}$)", "")
-    return F.when(F.trim(c) != "", bare)
+    return F.when(strip(c) != "", bare)
 
 
 def is_nine_digits(c: Column) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .names import strip
+
 
 def slugify(c: Column) -> Column:
-    s = F.regexp_replace(F.trim(F.lower(c)), r"[\s_]+", "-")
+    s = F.regexp_replace(strip(F.lower(c)), r"[\s_]+", "-")
     s = F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9-]", ""), r"-+", "-")
     return F.regexp_replace(s, r"^-|-$", "")
 

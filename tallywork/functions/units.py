@@ -6,6 +6,8 @@ from itertools import chain
 
 from pyspark.sql import Column, functions as F
 
+from .names import strip
+
 # Accepted spellings of each unit.
 SPELLINGS = {
     "UN": ["un", "und", "uds", "u", "unid", "unidade"],
@@ -22,4 +24,4 @@ def normalize_unit(c: Column) -> Column:
     """Canonical unit of a raw spelling; null for unknown or blank ones."""
     pairs = [(s, unit) for unit, words in SPELLINGS.items() for s in words]
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs)])
-    return F.try_element_at(table, F.lower(F.trim(c)))
+    return F.try_element_at(table, F.lower(strip(c)))

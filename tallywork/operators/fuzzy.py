@@ -2,9 +2,9 @@
 
 The comparison has no lossless equality key, so the work is laid out as a grid:
 dictionary rows are dealt into shards of bounded size, names into buckets, and
-each (bucket, shard) cell is one group.  The number of cells is fixed by the
-session's parallelism, so the dictionary rows sent around are at most a shard
-per cell, and the names sent around at most one copy per shard.  A cell discards dictionary
+each (bucket, shard) cell is one group.  There are enough buckets for the session's
+parallelism and for a bucket to hold a bounded number of names, so both sides of a
+cell are bounded; names are sent around at most once per shard.  A cell discards dictionary
 rows by an upper bound first, scores the rest with array operations and gives
 back at most one row per name; the cells of a name are merged by an aggregate.
 Pairs are never rows of a table, and every pair is either bounded or scored.
@@ -20,15 +20,17 @@ from ..functions.similarity import code_points, jaro_winkler_rows
 
 REVIEW_SCORE = 0.82
 SHARD_ROWS = 20_000
+BUCKET_ROWS = 5_000
 CHUNK = 512
 
 
 def _grid(names: DataFrame, entries: DataFrame, match, schema: str, shard_rows: int = SHARD_ROWS,
-          cells: int | None = None) -> DataFrame:
+          cells: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``names`` (distinct column ``name``) against ``entries`` (unique ``id``, column ``entry``)."""
     cells = cells or 4 * int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = F.greatest(F.lit(1), entries.agg(F.ceil(F.count("*") / shard_rows)).scalar()).cast("int")
-    buckets = F.greatest(F.lit(1), F.ceil(F.lit(cells) / shards)).cast("int")
+    per_names = names.agg(F.ceil(F.count("*") / bucket_rows)).scalar()
+    buckets = F.greatest(F.lit(1), F.ceil(F.lit(cells) / shards), per_names).cast("int")
     left = (names.withColumn("_bucket", F.pmod(F.xxhash64("name"), buckets).cast("int"))
             .withColumn("_shard", F.explode(F.sequence(F.lit(0), shards - 1))))
     right = (entries.withColumn("_shard", F.pmod(F.xxhash64("id"), shards).cast("int"))
@@ -154,7 +156,7 @@ def _by_tokens(names: pd.Series, entries: pd.DataFrame) -> pd.DataFrame:
 
 def names_by_tokens(names: DataFrame, entries: DataFrame, id_type: str = "long", **sizes) -> DataFrame:
     """JN-16 search: (name, id, overlap), highest overlap, then lowest id."""
-    entries = entries.groupBy("entry").agg(F.min("id").alias("id"))
-    cells = _grid(names.distinct(), entries, _by_tokens, f"name string, id {id_type}, overlap double", **sizes)
+    entries = entries.where(F.col("entry").isNotNull()).groupBy("entry").agg(F.min("id").alias("id"))
+    cells = _grid(names.where(F.col("name").isNotNull()).distinct(), entries, _by_tokens, f"name string, id {id_type}, overlap double", **sizes)
     return cells.groupBy("name").agg(F.max("overlap").alias("overlap"),
                                      F.min_by("id", F.struct(-F.col("overlap"), "id")).alias("id"))

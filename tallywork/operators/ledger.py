@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .skew import position
+from .skew import join_counted, position
 
 # Default account and the two confidences.
 DEFAULT_CODE = "62"
@@ -58,11 +58,12 @@ def merge_profiles(profiles: DataFrame, learned: DataFrame) -> DataFrame:
 
 def running_profile_count(classified: DataFrame) -> DataFrame:
     """WN-5: how often the supplier's account had been used up to and including each invoice."""
-    return position(classified, ["supplier_id", "gl_account_id"], ["classified_at", "id"],
-                    F.date_trunc("hour", "classified_at"), "uses")
+    return position(classified, ["supplier_id", "gl_account_id"], ["classified_at", "id"], "uses")
 
 
 def unmapped_items(items: DataFrame) -> DataFrame:
-    """JN-19: descriptions of items without a catalogue product, with their number of items."""
-    return (items.where(F.col("product_catalog_id").isNull()).groupBy("description")
-            .agg(F.count("*").alias("occurrences"), F.min("invoice_id").alias("first_invoice_id")))
+    """JN-19: items without a catalogue product, each with the number of such items of its description."""
+    rows = items.where(F.col("product_catalog_id").isNull()).withColumn("_d", F.coalesce("description", F.lit("\x00")))
+    counts = rows.groupBy("_d").agg(F.count("*").alias("n"))
+    out = join_counted(rows, counts.select("_d", F.col("n").alias("occurrence_count")), ["_d"], counts, spread="invoice_id")
+    return out.drop("_d")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.names import lookup_name, match_name
+from ..functions.names import lookup_name, match_name, strip
 from ..functions.taxid import is_nine_digits, normalize_tax_id, valid_tax_id
 from ..plans.accounting import display_name
 from .fuzzy import closest_names, names_by_tokens
@@ -84,7 +84,7 @@ def resolution_log(resolved: DataFrame, at: Column) -> DataFrame:
 def new_suppliers(resolved: DataFrame) -> DataFrame:
     """JN-17: one supplier row per unresolved id; inputs without an id get one made from their name."""
     name = F.coalesce("input_name", F.lit(UNKNOWN_NAME))
-    made = F.concat(F.lit("UNKNOWN-"), F.upper(F.substring(F.sha2(name, 256), 1, 8)))
+    made = F.concat(F.lit("UNKNOWN-"), F.upper(F.sha2(name, 256)))
     return (resolved.where(F.col("method") == "new_supplier")
             .select(F.coalesce("input_nif", made).alias("nif"), name.alias("name"))
             .groupBy("nif").agg(F.min("name").alias("name"))
@@ -93,7 +93,7 @@ def new_suppliers(resolved: DataFrame) -> DataFrame:
 
 def tax_id_by_name(names: DataFrame, suppliers: DataFrame, id_type: str = "long") -> DataFrame:
     """JN-16: (raw_name, tax_id) for names of domestic suppliers; an id with a wrong checksum counts as none."""
-    raw = names.where(F.trim("raw_name") != "").select("raw_name").distinct().withColumn("name", lookup_name(F.col("raw_name")))
+    raw = names.where(strip(F.col("raw_name")) != "").select("raw_name").distinct().withColumn("name", lookup_name(F.col("raw_name")))
     home = suppliers.where("country = 'PT'").select("id", "nif", lookup_name(display_name()).alias("entry"))
     hits = names_by_tokens(raw.select("name"), home.select("id", "entry"), id_type)
     nif = normalize_tax_id(F.col("nif"))
@@ -115,7 +115,7 @@ def enrich_issuer(invoices: DataFrame, suppliers: DataFrame, id_type: str = "lon
     rows = rows.withColumn("_case", F.when(F.col("issuer_nif").isNull(), "missing")
                            .when(F.col("_own").isNull(), "blank")
                            .when(is_nine_digits(F.col("_own")) & ~valid_tax_id(F.col("_own")), "broken").otherwise("fine"))
-    rows = rows.withColumn("_ask", F.when(F.col("_case").isin("missing", "broken") & (F.trim("issuer_name") != ""),
+    rows = rows.withColumn("_ask", F.when(F.col("_case").isin("missing", "broken") & (strip(F.col("issuer_name")) != ""),
                                           F.col("issuer_name")))
     asked = rows.where(F.col("_ask").isNotNull()).groupBy("_ask").agg(F.count("*").alias("n"))
     found = tax_id_by_name(asked.select(F.col("_ask").alias("raw_name")), suppliers, id_type).select(
@@ -129,7 +129,7 @@ def enrich_issuer(invoices: DataFrame, suppliers: DataFrame, id_type: str = "lon
 def enrich_receiver(invoices: DataFrame, clients: DataFrame) -> DataFrame:
     """JN-11: registered name of the receiver where its id is known, else the extracted one."""
     names = clients.select(F.col("nif").alias("_k"), F.col("legal_name").alias("_registered"))
-    key = F.coalesce(F.when(F.trim("receiver_nif") != "", F.col("receiver_nif")),
+    key = F.coalesce(F.when(strip(F.col("receiver_nif")) != "", F.col("receiver_nif")),
                      F.concat(F.lit("\x00"), F.col("id").cast("string")))
     return (invoices.withColumn("_r", key).join(names, F.col("_r") == F.col("_k"), "left")
             .withColumn("receiver_name", F.coalesce("_registered", "receiver_name"))

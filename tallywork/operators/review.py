@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .skew import join_counted
-
 STATUS_AFTER = {"approved": "ok", "rejected": "failed", "edited": "ok"}
 
 
@@ -19,11 +17,13 @@ def pending_queue(queue: DataFrame, invoices: DataFrame, documents: DataFrame) -
     """JN-5, LIM-4: pending items with their invoice and document, by priority, then newest."""
     fields = ["file_name", "issuer_name", "invoice_number", "issue_date", "total_with_vat", "llm_confidence",
               "processing_status", "issuer_nif", "total_without_vat", "vat_total", "review_reason"]
+    pending = queue.where("status = 'pending'")
     inv = invoices.select(F.col("id").alias("_i"), "document_hash", *fields)
+    inv = inv.join(pending.select(F.col("invoice_id").alias("_i")), "_i", "left_semi")   # before documents are looked up
     doc = documents.select("document_hash", "mime_type")
     whole = inv.join(doc, "document_hash", "left").select(
         "_i", F.struct(*fields, F.struct("mime_type").alias("document")).alias("invoice"))
-    return (queue.where("status = 'pending'").join(whole, F.col("invoice_id") == F.col("_i"), "left")
+    return (pending.join(whole, F.col("invoice_id") == F.col("_i"), "left")
             .select("id", "invoice_id", "reason_code", "priority", "status", "created_at", "invoice")
             .orderBy("priority", F.desc("created_at")))
 
@@ -38,15 +38,18 @@ def queue_stats(queue: DataFrame) -> DataFrame:
                    F.map_from_entries(entries).alias("by_reason"))
 
 
-def queue_by_invoice(queue: DataFrame) -> DataFrame:
-    """AG-7: queue items next to the priority of their invoice's first item, in queue order per invoice.
+def queue_by_invoice(queue: DataFrame, invoices: DataFrame) -> DataFrame:
+    """AG-7: per invoice its queue ids and reasons in queue order, the first item's priority and the invoice itself.
 
-    A row per item, so an invoice with any number of items is never one cell.
+    An invoice has an item per reason at most, so its lists are short.
     """
-    first = queue.groupBy("invoice_id").agg(F.min("priority").alias("invoice_priority"), F.count("*").alias("n"))
-    return (join_counted(queue, first.drop("n"), ["invoice_id"], first.select("invoice_id", "n"), spread="id")
-            .select("invoice_id", "invoice_priority", F.col("id").alias("queue_id"), "reason_code", "priority", "created_at")
-            .orderBy("invoice_id", "priority", F.desc("created_at"), "queue_id"))
+    item = F.struct(F.coalesce("priority", F.lit(2)).alias("priority"), (-F.unix_micros("created_at")).alias("age"), "id",
+                    F.coalesce("reason_code", F.lit("")).alias("reason_code"))
+    items = queue.groupBy("invoice_id").agg(F.array_sort(F.collect_list(item)).alias("_q"))
+    whole = invoices.select(F.col("id").alias("_i"), F.struct(*invoices.columns).alias("invoice"))
+    return items.join(whole, F.col("invoice_id") == F.col("_i"), "left").select(
+        "invoice_id", "invoice", F.transform("_q", lambda x: x["id"]).alias("queue_ids"),
+        F.transform("_q", lambda x: x["reason_code"]).alias("reason_codes"), F.col("_q")[0]["priority"].alias("priority"))
 
 
 def apply_decisions(decisions: DataFrame, queue: DataFrame, invoices: DataFrame) -> dict[str, DataFrame]:

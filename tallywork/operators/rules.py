@@ -99,14 +99,20 @@ def first_time_suppliers(log: DataFrame) -> DataFrame:
 
 
 def exact_totals(fields: DataFrame) -> DataFrame:
-    """VAL-2: subtotal + vat_amount must equal total exactly; the three arrive as text."""
+    """VAL-2: subtotal + vat_amount must equal total exactly; the three arrive as text.
+
+    Numbers of up to 18 digits before and behind the point are compared as they are;
+    longer ones count as unreadable and are never rounded.
+    """
     parts = ["subtotal", "vat_amount", "total"]
     missing = F.lit(False)
     for p in parts:
         missing = missing | F.col(p).isNull()
-    n = {p: F.col(p).try_cast("decimal(30,8)") for p in parts}
+    long = r"[.][0-9]{18}[0-9]*[1-9]|[eE]"
+    n = {p: F.when(~F.col(p).rlike(long), F.col(p).try_cast("decimal(36,18)")) for p in parts}
     unreadable = n["subtotal"].isNull() | n["vat_amount"].isNull() | n["total"].isNull()
-    gap = F.abs(n["subtotal"] + n["vat_amount"] - n["total"])
+    both = (n["subtotal"] + n["vat_amount"]).cast("decimal(37,18)")
+    gap = F.abs(both - n["total"])
     return fields.withColumns({
         "outcome": F.when(missing, "skipped").when(unreadable, "unreadable").when(gap != 0, "mismatch").otherwise("exact"),
         "discrepancy": F.when(~missing, gap),

@@ -57,9 +57,9 @@ def reconcile(headers: DataFrame, lines: DataFrame, totals: DataFrame, key: str
     none = F.array().cast("array<string>")
     errs = {c: F.coalesce(F.col(c), none) for c in ("_eh", "_el", "_et")}
     failed = (F.size(errs["_eh"]) > 0) & (F.size(errs["_el"]) > 0) & (F.size(errs["_et"]) > 0)
-    money = lambda x: x.try_cast("decimal(24,6)")
-    zero = F.lit(0).cast("decimal(30,6)")
-    line_sum = F.aggregate("line_items", zero, lambda a, x: (a + F.coalesce(money(x["subtotal"]), zero)).cast("decimal(30,6)"))
+    money = lambda x: x.try_cast("decimal(36,18)")
+    zero = F.lit(0).cast("decimal(38,18)")
+    line_sum = F.aggregate("line_items", zero, lambda a, x: (a + F.coalesce(money(x["subtotal"]), zero)).cast("decimal(38,18)"))
     out = h.join(i, key, "full").join(t, key, "full").withColumn("_sum", F.coalesce(line_sum, zero))
     off = ~failed & (F.col("_sum") != 0) & (F.col("_sum") != money(F.col("total")))
     keep = lambda c: F.when(~failed, c)
@@ -88,14 +88,10 @@ def with_appended(df: DataFrame, column: str, more: str) -> DataFrame:
     return df.withColumn(column, F.concat(F.coalesce(column, none), F.coalesce(more, none))).drop(more)
 
 
-def assembled_pages(pages: DataFrame, key: str, page: str, text: str, block: int = 1000) -> DataFrame:
-    """AG-38: page texts joined by newlines in page order, ``block`` pages to a row.
-
-    A document of up to ``block`` pages is one row; a longer one continues in
-    further rows, so no cell or task has to hold an endless document.
-    """
-    return (pages.groupBy(key, F.floor(F.col(page) / block).alias("block"))
+def assembled_pages(pages: DataFrame, key: str, page: str, text: str) -> DataFrame:
+    """AG-38: one row per document, its page texts joined by newlines in page order."""
+    return (pages.groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.coalesce(text, F.lit("")).alias("t")))).alias("_p"))
-            .select(key, "block", F.array_join(F.transform("_p", lambda x: x["t"]), "\n").alias("raw_text"),
+            .select(key, F.array_join(F.transform("_p", lambda x: x["t"]), "\n").alias("raw_text"),
                     F.size("_p").alias("page_count"))
             .withColumn("char_count", F.length("raw_text")))

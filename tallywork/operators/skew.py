@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..session import shared_dir
 
 HOT_ROWS = 1_000_000
 SPREAD = 4096
@@ -39,27 +42,31 @@ def join_counted(big: DataFrame, side: DataFrame, keys: Sequence[str], counts: D
             .select(*big.columns, *payload))
 
 
-def position(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str) -> DataFrame:
-    """Number the rows of each key 1..n by ``order``, without one task per key.
+def position(df: DataFrame, keys: Sequence[str], order: Sequence, name: str) -> DataFrame:
+    """Number the rows of each key 1..n by ``order`` (column names or sort columns), without one task per key.
 
-    ``bucket`` must grow with ``order`` and hold a bounded number of a key's
-    rows (an hour of a timestamp, ``floor(id / 100000)``, the first characters
-    of a uuid).  Rows are ranked inside their bucket and shifted by the rows of
-    the key's earlier buckets, so a whole key is only ever seen as bucket totals.
+    Rows are dealt into ranges of (keys, order) and written once, with their place
+    in their range; counts per range and key then tell how many rows of a key came
+    in earlier ranges.  Only these counts, one per key and range, meet by key.  With
+    a unique ``order`` even rows that share all but the last of it are spread.
     """
     keys = list(keys)
-    marked = df.withColumn("_bucket", bucket)
-    totals = marked.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_bucket")
-    before = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = marked.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)))
-    return (ranked.join(before, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-                        + [F.col("_bucket").eqNullSafe(F.col("_b"))])
-            .withColumn(name, F.col("_before") + F.col("_rank")).select(*df.columns, name))
+    spark = df.sparkSession
+    shown = [F.col(c).asc() if isinstance(c, str) else c for c in [*keys, *order]]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = df.repartitionByRange(*shown).sortWithinPartitions(*shown).select("*", F.spark_partition_id().alias("_range"), place.alias("_place"))
+    path = f"{shared_dir(spark)}/position-{uuid.uuid4().hex}"
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    totals = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"),
+                           (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return (ranged.join(before, [*same, F.col("_range") == F.col("_r")])
+            .withColumn(name, F.col("_place") + F.col("_shift")).select(*df.columns, name))
 
 
-def running_number(df: DataFrame, order: str, bucket: Column, name: str) -> DataFrame:
+def running_number(df: DataFrame, order: str, name: str) -> DataFrame:
     """Number all rows 1..n by a unique column; see :func:`position`."""
-    return position(df, [], [order], bucket, name)
+    return position(df, [], [order], name)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.names import strip
+
 # Tax codes and the accepted rates (percent).
 TAX_CODES = {"IVA": "IVA", "VAT": "VAT", "TVA": "TVA", "MWST": "MwSt"}
 VALID_RATES = [0, 6, 13, 23]
@@ -20,7 +22,7 @@ def bands(breakdown: Column) -> Column:
 
     def one(b):
         rate = F.coalesce(b["rate"], b["vat_rate"])
-        code = F.upper(F.trim(b["tax_code"]))
+        code = F.upper(strip(b["tax_code"]))
         known = F.create_map(*[F.lit(x) for pair in TAX_CODES.items() for x in pair])
         return F.struct(
             F.coalesce(F.try_element_at(known, code), F.lit("IVA")).alias("tax_code"), rate.alias("rate"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.names import compare_name, squeeze
+from ..functions.names import compare_name, squeeze, strip
 from ..functions.similarity import indel_ratio
 from ..operators.rules import totals_agree
 
@@ -43,7 +43,7 @@ def same_digits(e: Column, a: Column) -> Column:
 
 
 def close_number(e: Column, a: Column, tolerance: str = MONEY_TOLERANCE) -> Column:
-    d = lambda c: c.cast("decimal(24,6)")
+    d = lambda c: c.cast("decimal(36,12)")
     return _both(e, a, F.abs(d(e) - d(a)) <= F.lit(tolerance).cast("decimal(6,4)"))
 
 
@@ -165,8 +165,8 @@ def accuracy_deltas(history: DataFrame) -> DataFrame:
 def parity(extracted: DataFrame, expected: DataFrame, key: str = "case_id") -> DataFrame:
     """AG-34, SCO-4: mean of nine field scores per case; fields are compared as trimmed text."""
     names = [*PARITY_FUZZY, *PARITY_EXACT]
-    x = extracted.select(F.col(key).alias("_k"), *[F.trim(F.col(f).cast("string")).alias(f"x_{f}") for f in names])
-    e = expected.select(key, *[F.trim(F.col(f).cast("string")).alias(f"e_{f}") for f in names])
+    x = extracted.select(F.col(key).alias("_k"), *[strip(F.col(f).cast("string")).alias(f"x_{f}") for f in names])
+    e = expected.select(key, *[strip(F.col(f).cast("string")).alias(f"e_{f}") for f in names])
     j = e.join(x, F.col(key) == F.col("_k"))
     cols = {}
     for f in names:

@@ -47,7 +47,7 @@ def with_retention(invoices: DataFrame, years: int = 10) -> DataFrame:
 
 def with_public_id(invoices: DataFrame) -> DataFrame:
     """PRJ-10: ``INV-year-number`` with one running number over all invoices."""
-    numbered = running_number(invoices, "id", F.floor(F.col("id") / 100_000), "_no")
+    numbered = running_number(invoices, "id", "_no")
     no = F.col("_no").cast("string")
     return numbered.withColumn("public_invoice_id", F.concat(
         F.lit("INV-"), F.year("created_at").cast("string"), F.lit("-"),

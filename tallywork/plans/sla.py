@@ -27,7 +27,7 @@ def sla_card(invoices: DataFrame, approvals: DataFrame, queue: DataFrame, days:
     n = F.count("*")
     card = _timed(invoices.where(since("created_at", days, as_of)), approvals).agg(
         mean(F.sum("hours"), F.count("hours"), 1).alias("avg_approval_hours"),
-        F.round(n.cast("decimal(20,0)") / F.lit(days).cast("decimal(10,0)"), 1).alias("daily_throughput"),
+        F.round(n.cast("decimal(20,0)") / F.nullif(F.lit(days), F.lit(0)).cast("decimal(10,0)"), 1).alias("daily_throughput"),
         share_pct(F.count_if(F.col("hours") <= 24), n, 1).alias("sla_24h_pct"),
         n.alias("total_processed"))
     backlog = queue.where("status = 'pending' AND priority = 1").agg(F.count("*").alias("critical_backlog"))

@@ -84,5 +84,5 @@ def refresh_rollups(spark: SparkSession, jobs: dict[str, Callable[[], DataFrame]
             job().write.mode("overwrite").parquet(f"{base}/{name}")
             done.append((name, True, None))
         except Exception as e:  # the state of every rollup is the result
-            done.append((name, False, str(e)[:500]))
+            done.append((name, False, str(e)))
     return spark.createDataFrame(done, "view string, refreshed boolean, error string")

@@ -37,7 +37,7 @@ def labelled_cases(spark: SparkSession, path: str, real_only: bool = False, firs
 def external_invoices(items: DataFrame, first: int | None = None) -> DataFrame:
     """SRC-13: external items as expected invoices; items without total or net total are left out."""
     known = F.create_map(*[F.lit(x) for p in DOCUMENT_TYPES.items() for x in p])
-    money = lambda c: F.col(c).cast("decimal(14,2)")
+    money = lambda c: F.col(c).cast("decimal(30,12)")
     df = (items.where(F.col("total").isNotNull() & F.col("net_total").isNotNull())
           .select(F.concat(F.lit("DOCILE-"), F.coalesce(F.col("document_id").cast("string"), F.lit("unknown"))).alias("invoice_number"),
                   F.col("vendor_name").alias("issuer_name"), F.col("customer_name").alias("receiver_name"),

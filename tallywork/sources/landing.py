@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.names import strip
+
 # Accepted extensions with format and MIME type, format of each MIME type, size limit, PDF mark.
 EXTENSIONS = {
     "pdf": ("pdf", "application/pdf"),
@@ -107,4 +109,4 @@ def recovered_json(response: Column) -> Column:
     flat = F.regexp_extract(response, r"\{[^{}]*\}", 0)
     good = lambda c: F.try_parse_json(c).isNotNull()
     pick = lambda where, c: F.when(good(c), F.struct(F.lit(where).alias("found_in"), c.alias("body")))
-    return F.coalesce(pick("whole", F.trim(response)), pick("fenced", fenced), pick("flat", flat))
+    return F.coalesce(pick("whole", strip(response)), pick("fenced", fenced), pick("flat", flat))

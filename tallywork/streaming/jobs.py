@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.duplicates import LOOKUP_KEY, find_duplicates
@@ -31,8 +32,32 @@ def ingest_documents(documents: DataFrame, out: str, checkpoint: str) -> None:
 
 def dispatched_once(requests: DataFrame, ts: str = "ts", keys: tuple[str, ...] = ("client_id", "batch_id", "file_name"),
                     keep: str = "1 hour") -> DataFrame:
-    """ST-2: one dispatch per key for as long as the key is remembered."""
-    return requests.withWatermark(ts, keep).dropDuplicatesWithinWatermark(list(keys))
+    """ST-2: a request is dispatched unless its key was within ``keep`` before it, by event time: (keys, ts).
+
+    Per key the time of the last dispatch is the state; it goes when the watermark
+    has passed its end.  Rows of a key are taken in event-time order within a batch,
+    so the answer is the same however batches cut a stream that arrives in order;
+    a row older than the last dispatch counts as a repetition.
+    """
+    span = pd.Timedelta(keep)
+    schema = T.StructType([*[requests.schema[k] for k in keys], T.StructField(ts, T.TimestampType())])
+
+    def dispatch(key, parts, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        times = []
+        for at in pd.concat([p[ts] for p in parts]).sort_values():
+            if last is None or at >= last + span:
+                times.append(at)
+                last = at
+        state.update((int(last.value // 1000),))
+        state.setTimeoutTimestamp(max(int((last + span).value // 1_000_000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({**{k: [v] * len(times) for k, v in zip(keys, key)}, ts: times})
+
+    rows = requests.select(*keys, ts).where(F.col(ts).isNotNull()).withWatermark(ts, keep)
+    return rows.groupBy(*keys).applyInPandasWithState(dispatch, schema, "last long", "append", "EventTimeTimeout")
 
 
 def find_duplicates_as_they_arrive(invoices: DataFrame, base: str, checkpoint: str) -> None:

@@ -90,7 +90,8 @@ def test_first_time_counts_only_when_resolved(outcome):
 
 
 @pytest.mark.parametrize("s,v,t,want,gap", [("800.00", "184.00", "990.00", "mismatch", "6"), ("1", "2", "3", "exact", "0"),
-                                            (None, "1", "2", "skipped", None), ("x", "1", "2", "unreadable", None)])
+                                            (None, "1", "2", "skipped", None), ("x", "1", "2", "unreadable", None),
+                                            ("1.000000001", "0", "1", "mismatch", "0.000000001"), ("0.1000000000000000000000001", "0", "0.1", "unreadable", None)])
 def test_exact_totals(rows, s, v, t, want, gap):
     r = K.exact_totals(rows("subtotal string, vat_amount string, total string", (s, v, t))).first()
     assert r.outcome == want and r.valid is (want in ("exact", "skipped")) and r.discrepancy == (None if gap is None else D(gap))
@@ -156,10 +157,12 @@ def test_sections(rows):
     assert (b.supplier_name, b.currency, b.line_items, b.errors) == (None, None, None, ["h", "l", "t"])
 
 
-def test_pages_split_into_blocks(rows):
+def test_pages_of_a_document_are_one_row(rows):
     df = rows("d long, p int, t string", (1, 2, "c"), (1, 0, "a"), (1, 1, "b"), (2, 0, None))
-    got = [(r.d, r.block, r.raw_text, r.page_count) for r in S.assembled_pages(df, "d", "p", "t", block=2).orderBy("d", "block").collect()]
-    assert got == [(1, 0, "a\nb", 2), (1, 1, "c", 1), (2, 0, "", 1)]
+    got = [(r.d, r.raw_text, r.page_count) for r in S.assembled_pages(df, "d", "p", "t").orderBy("d").collect()]
+    assert got == [(1, "a\nb\nc", 3), (2, "", 1)]
+    many = S.assembled_pages(rows("d long, p int, t string", *[(1, i, str(i)) for i in range(1500)]), "d", "p", "t").collect()
+    assert len(many) == 1 and many[0].raw_text.split("\n") == [str(i) for i in range(1500)]
 
 
 def test_periods(rows):
@@ -207,3 +210,28 @@ def test_scores_skip_and_manual_review(rows):
     assert {(r.field, r.correct) for r in E.field_scores(scored).collect()} == {("invoice_number", True), ("total_with_vat", True), ("total_without_vat", True)}
     o = E.overall_accuracy(scored).first()
     assert (o.total_cases, o.evaluated, o.skipped, o.pass_count, o.math_error_rate) == (2, 1, 1, 1, 100.0)
+
+
+def test_new_suppliers_keep_every_name(spark):
+    from pyspark.sql import functions as F
+    from tallywork.operators.resolve import new_suppliers
+    names = spark.range(200_000).select(F.lit("new_supplier").alias("method"), F.lit(None).cast("string").alias("input_nif"),
+                                        F.concat(F.lit("Name "), F.col("id").cast("string")).alias("input_name"))
+    assert new_suppliers(names).count() == 200_000
+
+
+@pytest.mark.parametrize("blank", ["\n", "\t", "\u00a0", " \r\n"])
+def test_blanks_of_every_kind_are_trimmed(rows, blank):
+    from pyspark.sql import functions as F
+    from tallywork.functions.names import strip
+    from tallywork.functions.taxid import normalize_tax_id
+    from tallywork.functions.units import normalize_unit
+    r = rows("x string, y string", (f"{blank}kg{blank}", blank)).select(
+        normalize_unit(F.col("x")).alias("unit"), normalize_tax_id(F.col("y")).alias("nif"), strip(F.col("x")).alias("s")).first()
+    assert (r.unit, r.nif, r.s) == ("KG", None, "kg")
+
+
+def test_unmapped_items_carry_their_count(rows):
+    from tallywork.operators.ledger import unmapped_items
+    got = unmapped_items(rows("invoice_id long, description string, product_catalog_id long", (1, "a", None), (2, "a", None), (3, "b", 5), (4, None, None)))
+    assert sorted((r.invoice_id, r.occurrence_count) for r in got.collect()) == [(1, 2), (2, 2), (4, 1)]

@@ -28,12 +28,21 @@ def test_join_counted(spark, hot_rows, parts):
 @pytest.mark.parametrize("parts", [1, 16])
 def test_position(spark, parts):
     df = spark.range(2000).select("id", (F.col("id") % 3).alias("k"), (F.col("id") * 7 % 100).alias("o")).repartition(parts)
-    got = position(df, ["k"], ["o", "id"], F.floor(F.col("o") / 10), "n").toPandas().sort_values(["k", "o", "id"])
+    got = position(df, ["k"], ["o", "id"], "n").toPandas().sort_values(["k", "o", "id"])
     assert (got.groupby("k").cumcount() + 1 == got["n"]).all()
-    numbered = running_number(df, "id", F.floor(F.col("id") / 64), "n")
+    numbered = running_number(df, "id", "n")
     assert numbered.where("n <> id + 1").isEmpty()
 
 
+def test_position_spreads_one_timestamp_and_null_keys(spark):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 3 > 0, F.lit(1)).alias("k"), F.lit(5).alias("o")).repartition(4)
+    numbered = position(df, ["k"], ["o", "id"], "n")
+    got = numbered.toPandas().sort_values(["k", "id"])
+    assert (got.groupby("k", dropna=False).cumcount() + 1 == got["n"]).all() and len(got) == 4000
+    sizes = df.repartitionByRange("k", "o", "id").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert sizes.max() < 2 * 4000 / len(sizes)
+
+
 def test_percentiles_of_hot_and_tiny_groups(spark):
     random.seed(5)
     data = [("hot", random.randrange(10 ** 6)) for _ in range(4000)] + [("one", 7), ("two", 1), ("two", 4), ("same", 5), ("same", 5)]
