@@ -129,7 +129,8 @@ def _(t):
 
 def resolutions(t):
     return t.invoices.select(F.col("id").alias("invoice_id"),
-                             (F.col("supplier_id").isNull() | (F.col("id") % 10 == 0)).alias("needs_review"))
+                             (F.col("supplier_id").isNull() | (F.col("id") % 10 == 0)).alias("needs_review"),
+                             F.expr("CASE WHEN id % 4 = 0 THEN 'alias' ELSE 'nif_exact' END").alias("method"))
 
 
 CHECKS = """
@@ -137,15 +138,32 @@ checked AS (SELECT i.id AS invoice_id, i.supplier_id, i.total_with_vat,
   i.supplier_id IS NULL OR i.id % 10 = 0 AS unresolved,
   coalesce(abs(i.total_without_vat + i.vat_total - i.total_with_vat) <= 0.02, true) AS r1,
   coalesce(abs(s.gross - i.total_with_vat) <= 0.02, true) AS r2,
-  coalesce(abs(b.tax_c / 100.0 - i.vat_total) <= 0.02, true) AS r5, coalesce(b.fine, true) AS r6, coalesce(c.low >= 70, true) AS r7
+  coalesce(abs(b.tax_c / 100.0 - i.vat_total) <= 0.02, true) AS r5, coalesce(b.fine, true) AS r6, coalesce(c.low >= 70, true) AS r7,
+  i.total_without_vat AS net, i.vat_total AS vat, s.gross AS lines, CAST(b.tax_c / 100.0 AS DECIMAL(18,2)) AS tax, b.wrong
 FROM invoices i LEFT JOIN (SELECT invoice_id, sum(gross_amount) AS gross FROM items GROUP BY 1) s ON s.invoice_id = i.id
-LEFT JOIN (SELECT invoice_id, sum(tax_c)::BIGINT AS tax_c, bool_and(rate <> 19) AS fine FROM bands GROUP BY 1) b ON b.invoice_id = i.id
+LEFT JOIN (SELECT invoice_id, sum(tax_c)::BIGINT AS tax_c, bool_and(rate <> 19) AS fine,
+    string_agg(rate || '%', ', ') FILTER (rate = 19) AS wrong FROM bands GROUP BY 1) b ON b.invoice_id = i.id
 LEFT JOIN (SELECT invoice_id, min(conf_c) AS low FROM confidences GROUP BY 1) c ON c.invoice_id = i.id)"""
 CHECK_TABLES = "invoices items bands confidences"
 
 
+def _sum_detail(parts, total, want, passed, missing):
+    return (f"CASE WHEN {total} IS NULL OR {want} IS NULL THEN 'Skipped: {missing}' WHEN {passed} THEN {parts} || ' = ' || {total} || ' agrees with ' || {want} "
+            f"ELSE {parts} || ' = ' || {total} || ', expected ' || {want} || ' (off by ' || abs({total} - {want}) || ')' END")
+
+
+DETAILS = {
+    "r1": _sum_detail("net || ' + ' || vat", "(net + vat)", "total_with_vat", "r1", "a total is missing"),
+    "r2": _sum_detail("'sum of lines'", "lines", "total_with_vat", "r2", "no lines or no total"),
+    "r5": _sum_detail("'sum of bands'", "tax", "vat", "r5", "no bands or no tax total"),
+    "r6": "CASE WHEN r6 THEN 'all rates are accepted ones' ELSE 'Rates not accepted: ' || wrong END",
+    "r7": "CASE WHEN r7 THEN 'every confidence is at least 0.7' ELSE 'a confidence is below 0.7' END",
+    "r8": "CASE WHEN unresolved THEN 'needs review, method ' ELSE 'resolved by ' END || CASE WHEN invoice_id % 4 = 0 THEN 'alias' ELSE 'nif_exact' END",
+}
+
+
 @query("val_1_rule_rows", f"WITH {CHECKS} " + " UNION ALL ".join(
-    f"SELECT invoice_id, '{code}' AS rule_code, {'NOT unresolved' if c == 'r8' else c} AS passed FROM checked"
+    f"SELECT invoice_id, '{code}' AS rule_code, {'NOT unresolved' if c == 'r8' else c} AS passed, {DETAILS[c]} AS detail FROM checked"
     for c, (code, _) in K.RULES.items()), CHECK_TABLES)
 def _(t):
     return K.rule_rows(K.checks(t.invoices, t.items, resolutions(t))).drop("rule_description")

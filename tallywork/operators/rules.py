@@ -34,6 +34,14 @@ def totals_agree(net: str = "total_without_vat", vat: str = "vat_total", gross:
     return F.coalesce(near(F.col(gross), F.col(net) + F.col(vat)), F.lit(missing))
 
 
+def _compared(parts: Column, sum_: Column, want: Column, passed: Column, known: Column, missing: str) -> Column:
+    """Detail of a sum rule: the sum and what it was compared with, the difference when it fails, why it was skipped."""
+    text = lambda c: c.cast("string")
+    fine = F.concat(parts, F.lit(" = "), text(sum_), F.lit(" agrees with "), text(want))
+    off = F.concat(parts, F.lit(" = "), text(sum_), F.lit(", expected "), text(want), F.lit(" (off by "), text(F.abs(sum_ - want)), F.lit(")"))
+    return F.when(known, F.when(passed, fine).otherwise(off)).otherwise(F.lit(f"Skipped: {missing}"))
+
+
 def checks(invoices: DataFrame, items: DataFrame, resolutions: DataFrame) -> DataFrame:
     """One row per invoice with the outcome of every rule (true = passed or not applicable).
 
@@ -42,7 +50,8 @@ def checks(invoices: DataFrame, items: DataFrame, resolutions: DataFrame) -> Dat
     """
     lines = items.groupBy(F.col("invoice_id").alias("_i")).agg(
         F.sum(F.coalesce("gross_amount", F.lit(0).cast("decimal(14,2)"))).alias("_items"))
-    res = resolutions.select(F.col("invoice_id").alias("_r"), F.col("needs_review").alias("unresolved"))
+    method = F.col("method") if "method" in resolutions.columns else F.lit("unknown")
+    res = resolutions.select(F.col("invoice_id").alias("_r"), F.col("needs_review").alias("unresolved"), method.alias("_method"))
     b = F.col("_bands")
     tax = F.aggregate(b, F.lit(0).cast("decimal(24,2)"), lambda acc, x: (acc + x["tax_amount"]).cast("decimal(24,2)"))
     ok = lambda c: F.coalesce(c, F.lit(True))
@@ -56,12 +65,31 @@ def checks(invoices: DataFrame, items: DataFrame, resolutions: DataFrame) -> Dat
                     ok(F.when(F.size(b) > 0, near(tax, F.col("vat_total")))).alias("r5"),
                     ok(F.forall(b, lambda x: x["is_valid"])).alias("r6"),
                     (~needs_review(F.col("field_confidence"))).alias("r7"),
-                    (~F.coalesce("unresolved", F.lit(True))).alias("r8")))
+                    (~F.coalesce("unresolved", F.lit(True))).alias("r8"),
+                    F.col("total_without_vat").alias("_net"), F.col("vat_total").alias("_vat"), "_items", tax.alias("_tax"), b.alias("_b"),
+                    F.coalesce("_method", F.lit("unknown")).alias("_method"))
+            .withColumn("details", F.struct(*[c.alias(r) for r, c in _details().items()]))
+            .drop("_net", "_vat", "_items", "_tax", "_b", "_method"))
+
+
+def _details() -> dict[str, Column]:
+    c = F.col
+    gross, net, vat = c("total_with_vat"), c("_net"), c("_vat")
+    wrong = F.transform(F.filter("_b", lambda x: ~x["is_valid"]), lambda x: F.concat(F.regexp_replace(x["rate"].cast("string"), r"\.0+$", ""), F.lit("%")))
+    return {
+        "r1": _compared(F.concat(net.cast("string"), F.lit(" + "), vat.cast("string")), net + vat, gross, c("r1"),
+                        (gross + net + vat).isNotNull(), "a total is missing"),
+        "r2": _compared(F.lit("sum of lines"), c("_items"), gross, c("r2"), c("_items").isNotNull() & gross.isNotNull(), "no lines or no total"),
+        "r5": _compared(F.lit("sum of bands"), c("_tax"), vat, c("r5"), (F.coalesce(F.size("_b"), F.lit(0)) > 0) & vat.isNotNull(), "no bands or no tax total"),
+        "r6": F.when(c("r6"), "all rates are accepted ones").otherwise(F.concat(F.lit("Rates not accepted: "), F.array_join(wrong, ", "))),
+        "r7": F.when(c("r7"), f"every confidence is at least {REVIEW_BELOW}").otherwise(f"a confidence is below {REVIEW_BELOW}"),
+        "r8": F.concat(F.when(c("r8"), "resolved by ").otherwise("needs review, method "), c("_method")),
+    }
 
 
 def rule_rows(checked: DataFrame) -> DataFrame:
-    """VAL-1: six rows per invoice (rule_code, rule_description, passed)."""
-    rows = [F.struct(F.lit(code).alias("rule_code"), F.lit(text).alias("rule_description"), F.col(c).alias("passed"))
+    """VAL-1: six rows per invoice (rule_code, rule_description, passed, detail); a detail tells a skipped rule from a passed one."""
+    rows = [F.struct(F.lit(code).alias("rule_code"), F.lit(text).alias("rule_description"), F.col(c).alias("passed"), F.col("details")[c].alias("detail"))
             for c, (code, text) in RULES.items()]
     return checked.select("invoice_id", F.inline(F.array(*rows)))
 
