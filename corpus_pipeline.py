@@ -38,7 +38,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more the one with the smallest id stays."""
-    return _without(docs, near_duplicates(docs, percent=80).where("NOT kept"))
+    return _without(docs, near_duplicates(docs, percent=80, bands=24).where("NOT kept"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import at_spaces, per_batch, per_row, pick
+from .common import at_spaces, per_batch, per_process, per_row, pick
 
 #: Texts encoded together: their unknown pre-tokens share one queue.
 BATCH = 4000
@@ -253,7 +253,7 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     ``ranks_path`` is a file every executor has; ``pattern`` splits the pre-tokens.
     """
     def make():
-        encoder = Encoder(ranks_path, pattern)
+        encoder = per_process(("bpe", ranks_path, pattern), lambda: Encoder(ranks_path, pattern))
         return lambda doc_ids, texts: zip(doc_ids, encoder.encode_all([t or "" for t in texts]))
 
     rows = pick(df, doc_id=id_col, text=text_col)
@@ -263,7 +263,7 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
 def bpe_decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``doc_id, decoded``: the bytes (binary) that the ids stand for; null ids give no bytes."""
     def make():
-        encoder = Encoder(ranks_path, "")
+        encoder = per_process(("bpe", ranks_path, ""), lambda: Encoder(ranks_path, ""))
         return lambda doc_id, ids: (doc_id, encoder.decode(ids or []))
 
     rows = pick(df, doc_id=id_col, ids=ids_col)
@@ -273,7 +273,7 @@ def bpe_decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
 def bpe_round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: digests of :func:`bpe_encode` and :func:`bpe_decode` in one pass."""
     def make():
-        encoder = Encoder(ranks_path, pattern)
+        encoder = per_process(("bpe", ranks_path, pattern), lambda: Encoder(ranks_path, pattern))
         names = [str(i) for i in range(len(encoder.bytes_of))]
 
         def work(doc_ids, texts):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import islice
@@ -74,6 +76,18 @@ def per_batch(df: DataFrame, schema: StructType | str, make: Callable[[], Callab
     return df.mapInArrow(run, schema)
 
 
+def per_process(name: tuple, make: Callable):
+    """``make()`` once in a Python worker, kept from task to task: tokenizers and what they have encoded.
+
+    The functions here travel with the job and have no module on the executors, so
+    the objects stay in a module of their own.
+    """
+    kept = sys.modules.setdefault("tallywork_worker", types.ModuleType("tallywork_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z only) words between ASCII blanks; ``bytes`` methods know no other letters and blanks."""
     return text.encode().lower().split() if text else []

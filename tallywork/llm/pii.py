@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from .common import per_row, pick, with_text
+from .common import per_process, per_row, pick, with_text
 
 # The kinds in the order of the result, base kinds first.
 BASE = ("email", "ip", "card", "phone")
@@ -241,7 +241,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     URLs are reported but stay in the redacted text.
     """
     def make():
-        anchors = automaton()
+        anchors = per_process(("pii",), automaton)
 
         def row(doc_id, text):
             spans = find(text or "", anchors)
@@ -257,6 +257,6 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def redact_pii(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """``df`` with its spans, but for the kinds in ``keep``, replaced by ``[KIND]``; null texts and other columns stay."""
     def make():
-        anchors = automaton()
+        anchors = per_process(("pii",), automaton)
         return lambda text: redact(text, [s for s in find(text, anchors) if s[0] not in keep])
     return with_text(df, text_col, make)
