@@ -544,6 +544,6 @@ def cte(body: str, *names: str) -> str:
     if not ordered:
         return body
     head = ",\n".join(f"{n} AS ({_CTES[n][0]})" for n in ordered)
-    word = "WITH RECURSIVE" if "jw_step" in body else "WITH"
+    word = "WITH RECURSIVE" if "jw_step" in body or "lcs_step" in body else "WITH"
     tail = f",\n{body.lstrip()[5:]}" if body.lstrip().startswith("WITH ") else f"\n{body}"
     return f"{word} {head}{tail}"

@@ -90,7 +90,20 @@ def _(t):
     return pairs(t).select("document_id", similarity.token_overlap(F.col("a"), F.col("b")).alias("overlap"))
 
 
-@query("str_7_indel_ratio")
+def lcs_ctes(source: str) -> str:
+    """CTEs ``lcs_step`` and ``indel(a, b, ratio)`` over the distinct pairs of ``source``: a row of the common-subsequence table per character of a."""
+    return f"""
+lcs_step AS (
+  SELECT a, b, 0 AS i, [0 for k in range(0, length(b) + 1)] AS row FROM (SELECT DISTINCT a, b FROM {source} WHERE a IS NOT NULL AND b IS NOT NULL)
+  UNION ALL
+  SELECT a, b, i + 1, [greatest(row[j], coalesce(list_max([row[k - 1] + 1 for k in range(2, j + 1) if substr(b, k - 1, 1) = substr(a, i + 1, 1)]), 0))
+    for j in range(1, length(b) + 2)] FROM lcs_step WHERE i < length(a)),
+indel AS (SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * row[length(b) + 1] / (length(a) + length(b)) END AS ratio
+  FROM lcs_step WHERE i = length(a))"""
+
+
+@query("str_7_indel_ratio", f"""WITH pairs AS {PAIR_SQL}, {lcs_ctes('pairs')}
+SELECT p.document_id, round(ratio, 9) AS ratio FROM pairs p LEFT JOIN indel USING (a, b)""", "requests suppliers")
 def _(t):
     return pairs(t).select("document_id", F.round(similarity.indel_ratio("a", "b"), 9).alias("ratio"))
 

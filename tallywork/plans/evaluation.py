@@ -171,7 +171,8 @@ def parity(extracted: DataFrame, expected: DataFrame, key: str = "case_id") -> D
     cols = {}
     for f in names:
         a, b = F.col(f"x_{f}"), F.col(f"e_{f}")
-        ratio = indel_ratio(a, b) if f in PARITY_FUZZY else (a == b).cast("double")
+        # Equal values need no comparison by characters: the function sees nulls in their place.
+        ratio = F.when(a == b, 1.0).otherwise(indel_ratio(F.when(a != b, a), F.when(a != b, b)) if f in PARITY_FUZZY else F.lit(0.0))
         cols[f] = F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(ratio)
     out = j.select(key, *[c.alias(f) for f, c in cols.items()])
     overall = sum((F.col(f) for f in names), F.lit(0.0)) / len(names)
