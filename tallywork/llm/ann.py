@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import per_batch, pick, store
+from .common import per_batch, pick, shipped, store
 
 #: Rows of the clustering sample; rows per list aimed at and most lists; rows of a list that one task takes.
 SAMPLE, LIST_ROWS, MAX_LISTS, PART = 20_000, 400, 4096, 2000
@@ -194,30 +194,27 @@ def nearest(df: DataFrame, query_rows, k: int = 20, id_col: str = "vec_id", vect
     out = f"query_id {kind}, vec_id {kind}, score double"
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # at most SAMPLE rows
     lists = min(MAX_LISTS, -(-shapes.n // LIST_ROWS))
-    index = df.sparkSession.sparkContext.broadcast(Index([r.vec_id for r in sample], matrix([r.v for r in sample]), shapes.longest, -(-len(sample) // lists), k))
+    made = Index([r.vec_id for r in sample], matrix([r.v for r in sample]), shapes.longest, -(-len(sample) // lists), k)
+    index = shipped(df.sparkSession, made)   # the sample and at most MAX_LISTS and some centroids
 
     def fill():
-        return lambda ids, vs: ((i, v, at) for i, v, found in zip(ids, vs, index.value.lists_of(matrix(vs))) for at in found)
+        own = index()
+        return lambda ids, vs: ((i, v, at) for i, v, found in zip(ids, vs, own.lists_of(matrix(vs))) for at in found)
     filled = store(per_batch(rows, f"vec_id {kind}, v {vector}, list int", fill, 256), "lists")
-    sizes = np.zeros(len(index.value.graph.centroids), np.int64)
+    sizes = np.zeros(len(made.graph.centroids), np.int64)
     for r in filled.groupBy("list").agg(F.count("*").alias("n")).collect():  # at most MAX_LISTS and some rows
         sizes[r.list] = r.n
 
     def probe():
+        own = index()
+
         def work(ids, vs):
             q = matrix(vs)
-            for i, v, floor, found in zip(ids, vs, index.value.floor(ids, q, k), index.value.lists_for(q, sizes, 8 * k)):
+            for i, v, floor, found in zip(ids, vs, own.floor(ids, q, k), own.lists_for(q, sizes, 8 * k)):
                 yield from ((i, v, floor, at) for at in found)
         return work
     asked = per_batch(rows.where(query_rows), f"query_id {kind}, q {vector}, floor double, list int", probe, 256)
     asked = store(asked, "probes")
-    counts = {r.list: r.n for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}  # as many
-    parts = df.sparkSession.createDataFrame([(i, int(-(-sizes[i] // PART)), int(-(-n // PART))) for i, n in counts.items()], "list int, vs int, qs int")
-    parts = F.broadcast(parts)
-    hashed = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = filled.join(parts, "list").select("list", hashed("vec_id", "vs").alias("a"), each("qs").alias("b"), "vec_id", "v")
-    right = asked.join(parts, "list").select("list", each("vs").alias("a"), hashed("query_id", "qs").alias("b"), "query_id", "q", "floor")
 
     def best(held, queries):
         import pyarrow as pa
@@ -238,7 +235,29 @@ def nearest(df: DataFrame, query_rows, k: int = 20, id_col: str = "vec_id", vect
                 answers[2] += score[order].tolist()
         return pa.table({"query_id": pa.array(answers[0], queries.schema.field("query_id").type), "vec_id": pa.array(answers[1], held.schema.field("vec_id").type), "score": pa.array(answers[2], pa.float64())})
 
-    found = left.groupBy("list", "a", "b").cogroup(right.groupBy("list", "a", "b")).applyInArrow(best, out)
-    single = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return single.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    hashed = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def searched(asked):
+        """The ``k`` best of ``asked (query_id, q, floor, list)``."""
+        counts = {r.list: r.n for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row per list at most
+        parts = df.sparkSession.createDataFrame([(i, int(-(-sizes[i] // PART)), int(-(-n // PART))) for i, n in counts.items() if sizes[i]], "list int, vs int, qs int")
+        parts = F.broadcast(parts)
+        left = filled.join(parts, "list").select("list", hashed("vec_id", "vs").alias("a"), each("qs").alias("b"), "vec_id", "v")
+        right = asked.join(parts, "list").select("list", each("vs").alias("a"), hashed("query_id", "qs").alias("b"), "query_id", "q", "floor")
+        found = left.groupBy("list", "a", "b").cogroup(right.groupBy("list", "a", "b")).applyInArrow(best, out)
+        single = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        ranked = single.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+        return ranked.select("query_id", "rank", "vec_id", "score")
+
+    first = store(searched(asked), "found")
+    whole = first.where(F.col("rank") == min(k, shapes.n - 1)).select("query_id")
+    short = rows.where(query_rows).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).join(whole, "query_id", "left_anti")
+    short = store(short, "short")
+    if short.isEmpty():
+        return first
+    # A query far from all lists may find too few: it reads them all.
+    every = F.array(*[F.lit(i) for i in range(len(sizes))])
+    again = searched(short.select("query_id", "q", F.lit(float("-inf")).alias("floor"), F.explode(every).alias("list")))
+    return first.join(short.select("query_id"), "query_id", "left_anti").unionByName(again).select("query_id", "rank", "vec_id", "score")

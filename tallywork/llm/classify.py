@@ -14,7 +14,7 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import per_batch, pick, words
+from .common import per_batch, pick, shipped, words
 
 #: Hashed word terms; style terms follow them.
 TERMS = 4096
@@ -127,10 +127,10 @@ def vote_quality(df: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
         return lambda labels, texts: ((int(y), *terms.of(t)) for y, t in zip(labels, texts))
     rows = per_batch(known.select("label", "text"), "label int, terms array<int>, weights array<float>", make).limit(max_labelled).collect()  # at most max_labelled rows
     rows.sort(key=lambda r: (r.label, r.terms, r.weights))
-    model = df.sparkSession.sparkContext.broadcast(Voter([(r.terms, r.weights) for r in rows], [r.label for r in rows], dimensions) if rows else None)
+    model = shipped(df.sparkSession, Voter([(r.terms, r.weights) for r in rows], [r.label for r in rows], dimensions) if rows else None)
 
     def score():
-        terms, voter = Terms(), model.value
+        terms, voter = Terms(), model()
 
         def work(ids, texts):
             found = [terms.of(t) for t in texts]

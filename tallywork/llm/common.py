@@ -76,6 +76,14 @@ def per_batch(df: DataFrame, schema: StructType | str, make: Callable[[], Callab
     return df.mapInArrow(run, schema)
 
 
+def shipped(spark: SparkSession, value):
+    """A broadcast of ``value`` that brings its classes along; call the result inside a task, once, to get it."""
+    from pyspark import cloudpickle
+
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(sent.value)
+
+
 def per_process(name: tuple, make: Callable):
     """``make()`` once in a Python worker, kept from task to task: tokenizers and what they have encoded.
 
