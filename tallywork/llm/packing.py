@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import at_spaces, per_batch, pick, store
+from .common import at_spaces, per_batch, per_process, pick, store
 
 #: Parts of each length class, so that a class that holds most rows is numbered by many tasks.
 PARTS = 32
@@ -87,7 +87,7 @@ def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int,
 class Tokens:
     """Token ids of whole texts as little-endian 32-bit numbers; parts between single blanks are kept once encoded."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -95,23 +95,44 @@ class Tokens:
         self.model.encode_special_tokens = True
         self.parts: dict[str, bytes] = {}
         self.keep = keep
+        self.size = np.zeros(self.model.get_vocab_size(), np.int64)   # a token's bytes: one character each in a byte-level vocabulary
+        for token, i in self.model.get_vocab().items():
+            self.size[i] = len(token)
+
+    def learn(self, new: list[str]) -> None:
+        """Encode blanks with the parts behind them: many in one string, as their ids are the same there, cut by the
+        tokens' bytes; parts that end with a blank, or that the bytes don't fit, by themselves."""
+        joined = [p for p in new if p and not p[-1].isspace()]
+        single = [p for p in new if not p or p[-1].isspace()]
+        runs = [joined[a:a + 1000] for a in range(0, len(joined), 1000)]
+        for start in range(0, len(runs), 20):
+            some = runs[start:start + 20]
+            for run, coded in zip(some, self.model.encode_batch_fast([" " + " ".join(r) for r in some], add_special_tokens=False)):
+                ids = np.array(coded.ids, "<u4")
+                ends = np.cumsum(self.size[ids])
+                wanted = np.cumsum([1 + len(p.encode()) for p in run])
+                at = np.searchsorted(ends, wanted)
+                if at[-1] < len(ends) and (ends[at] == wanted).all():
+                    raw, bounds = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+                    self.parts.update(zip(run, (raw[a:b] for a, b in zip(bounds, bounds[1:]))))
+                else:
+                    single += run
+        for part in single:
+            self.parts[part] = self.whole(" " + part)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
 
     def of(self, texts: list[str]):
-        cut = []
-        for text in texts:
-            first, *rest = at_spaces(text)
-            cut.append([first, *map(" ".__add__, rest)])
-        wanted = set().union(*cut) if cut else set()
+        cut = [at_spaces(text) for text in texts]
+        wanted = set().union(*(parts[1:] for parts in cut))
         new = [p for p in wanted if p not in self.parts]
         if len(self.parts) + len(new) > self.keep:
             self.parts.clear()
             new = list(wanted)
-        for start in range(0, len(new), 20_000):
-            some = new[start:start + 20_000]
-            for part, coded in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)):
-                self.parts[part] = array("I", coded.ids).tobytes()
+        self.learn(new)
         for parts in cut:
-            yield b"".join(map(self.parts.__getitem__, parts))
+            yield self.whole(parts[0]) + b"".join(map(self.parts.__getitem__, parts[1:]))
 
 
 def token_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool) -> DataFrame:
@@ -120,7 +141,7 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, with
     end = array("I", [end_id]).tobytes()
 
     def make():
-        tokens = Tokens(tokenizer)
+        tokens = per_process(("tokens", tokenizer), lambda: Tokens(tokenizer))
 
         def work(doc_ids, texts):
             for doc_id, ids in zip(doc_ids, tokens.of([t or "" for t in texts])):
