@@ -209,6 +209,26 @@ def test_attention_gradients_and_windows():
             assert abs(z[own[i]] - np.log(np.exp(z).sum()) - got[i]) < 1e-3
 
 
+def test_lm_trains_on_every_id_and_scores_with_half_a_window(docs):
+    rnd = random.Random(17)
+    rows = [(i, " ".join(rnd.choice(["ba", "dori", "kune", "lo"]) for _ in range(n))) for i, n in enumerate([1, 20, 62, 63, 64, 65, 130, 3000])] + EDGES
+    coder = lm._subwords(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    there = Counter(i for _, t in rows for i in coder.of([*words(t), lm.END])[0].tolist())
+    got = lm._gathered(docs(*rows), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).where("window IS NOT NULL").collect()
+    windows = np.array([np.frombuffer(r.window, "<u2") for r in got])
+    assert windows.shape[1] == attention.WINDOW + 1
+    targets = Counter(windows[:, 1:].ravel().tolist())
+    del targets[lm._NONE]
+    assert targets == there
+    p = attention.initial(np.ones((9, 8)))
+    own = np.arange(400) * 7 % 8
+    base = attention.log_probabilities(p, [own])[0]
+    for i in range(64, 400, 13):   # an id sees the 32 ids before it at least
+        moved = own.copy()
+        moved[i - 32] = (moved[i - 32] + 1) % 8
+        assert attention.log_probabilities(p, [moved])[0][i] != base[i], i
+
+
 def test_lm_scores(docs, monkeypatch):
     monkeypatch.setattr(lm, "STEPS", 30)
     monkeypatch.setattr(lm, "HEAD", 40)   # most words go through the join
