@@ -254,6 +254,22 @@ def test_lm_scores(docs, monkeypatch):
     assert lm.lm_scores(docs(*EDGES).limit(0), ~held_col, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect() == []
 
 
+def test_lm_score_is_the_same_for_any_size_of_the_word_table(docs, monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 10)
+    rnd = random.Random(18)
+    word = lambda: "".join(rnd.choice(["ba", "do", "ri", "ku", "ne"]) for _ in range(min(4, int(rnd.expovariate(0.7)) + 1)))
+    rows = [(i, " ".join(word() for _ in range(rnd.randint(1, 100)))) for i in range(60)]
+    rows += [(900 + (i or 0), t) for i, t in EDGES] + [(3, rows[3][1]), (70, "x" * 3000)]   # far less likely to the model than by its share
+    scores = []
+    for head in (0, 40, 200_000):
+        monkeypatch.setattr(lm, "HEAD", head)
+        got = lm.lm_scores(docs(*rows), F.lit(True), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+        scores.append(sorted((r.doc_id, r.score) for r in got))
+    for some in scores[:2]:
+        assert [i for i, _ in some] == [i for i, _ in scores[2]]
+        assert np.allclose([x for _, x in some], [x for _, x in scores[2]], rtol=1e-6, atol=1e-6)
+
+
 def test_symbol_and_id_shares_sum_to_one():
     rnd = np.random.default_rng(15)
     counts = np.where(rnd.random(2000) < 0.4, rnd.integers(0, 50, 2000), 0)
