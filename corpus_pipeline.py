@@ -47,8 +47,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids with their sequences and offsets."""
-    return best_fit_pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024, with_ids=False)
+    """Pieces of the documents' token ids, and the ids themselves, with their sequences and offsets."""
+    return best_fit_pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("personal_data", personal_data), ("packing", packing)]

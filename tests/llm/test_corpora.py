@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import public_tokenizers as P
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 from tallywork.llm import ann, attention, classify, lines, lm, near
 from tallywork.llm.common import store, words
 
@@ -310,7 +311,14 @@ def test_pipeline_keeps_clean_texts_and_drops_planted_ones(spark, tmp_path):
     assert 405 not in seen["near_dedup"] and "[EMAIL]" in seen["personal_data"][408]
     packed = pipeline.STAGES[-1][1](spark, found, "").collect()
     assert {r.doc_id for r in packed} == set(seen["personal_data"])
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in packed)
     df.write.parquet(f"{tmp_path}/documents.parquet")
     whole = pipeline.run(spark, str(tmp_path)).collect()
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, whole)) == sorted(map(key, packed))
+    ids = defaultdict(list)   # the sequences' ids, put together from the result alone, are the redacted texts'
+    for r in sorted(whole, key=lambda r: (r.doc_id, r.start)):
+        ids[r.doc_id] += r.ids
+    plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    assert ids == {i: [*plain.encode(t, add_special_tokens=False).ids, 2] for i, t in seen["personal_data"].items()}
