@@ -7,6 +7,8 @@ deterministic parser expands to the left and right and validates what it found.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 from .common import per_process, per_row, pick, with_text
@@ -18,6 +20,10 @@ ORDER = {k: i for i, k in enumerate(KINDS)}
 SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "private_key")
 ACCOUNT_CUES = ("account", "acct", "ssn", "passport", "konto")
 IBAN_CUES = ("iban",)
+PASSWORD_CUES = ("password", "passwd")   # of the secret cues those whose values may be short
+#: A word between a cue for accounts and its value.
+_NAMED = re.compile(r"[ _-]?(?:number|nummer|num|nr|no|id)(?![a-z])[.]?", re.IGNORECASE | re.ASCII)
+_UPPER = {c: c + 32 for c in range(65, 91)}
 
 DIGITS = frozenset("0123456789")
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
@@ -38,12 +44,16 @@ def automaton():
     a.add_word("://", ("scheme", 3))
     for kind, cues in (("secret", SECRET_CUES), ("account", ACCOUNT_CUES), ("iban", IBAN_CUES)):
         for cue in cues:
-            for form in {cue, cue.capitalize(), cue.upper()}:
-                a.add_word(form, (kind, len(form)))
+            a.add_word(cue, (kind, len(cue)))
     a.make_automaton()
     return a
 
 
+def folded(text: str) -> str:
+    """``text`` with A-Z in lower case, place by place."""
+    return text.lower() if text.isascii() else text.translate(_UPPER)
+
+
 def _run(text: str, at: int, allowed: frozenset) -> int:
     n = len(text)
     while at < n and text[at] in allowed:
@@ -111,7 +121,7 @@ def phone_at(text: str, at: int) -> int | None:
     return end if end > at + 3 else None
 
 
-def _value_after(text: str, at: int, gap: int = 3) -> int:
+def _value_after(text: str, at: int, gap: int = 8) -> int:
     """Start of the value behind a cue: blanks, one of ``=:#`` and an opening quote may stand between."""
     limit, marks = at + 2 * gap, 0
     while at < limit and (c := text[at:at + 1]):
@@ -127,8 +137,17 @@ def _value_after(text: str, at: int, gap: int = 3) -> int:
 
 def secret_at(text: str, cue_end: int) -> tuple[int, int] | None:
     start = _value_after(text, cue_end)
-    if not {"=", ":"} & set(text[cue_end:start]):
+    between = set(text[cue_end:start])
+    if not {"=", ":"} & between:
         return None
+    if folded(text[max(0, cue_end - 8):cue_end]).endswith(PASSWORD_CUES):
+        end = start
+        while end < len(text) and not text[end].isspace() and text[end] not in "\"'<>":
+            end += 1
+        while end > start and text[end - 1] in ".,;:!?)]}":
+            end -= 1
+        # Plain letters behind a colon may be prose.
+        return (start, end) if end - start >= 4 and (between & set("=\"'") or set(text[start:end]) - LETTERS) else None
     end = _run(text, start, VALUE)
     value = text[start:end]
     return (start, end) if len(value) >= 16 and DIGITS & set(value) and LETTERS & set(value) else None
@@ -152,11 +171,20 @@ def iban_at(text: str, cue_end: int) -> tuple[int, int] | None:
 
 
 def account_at(text: str, cue_end: int) -> tuple[int, int] | None:
-    start = _value_after(text, cue_end)
-    if start == cue_end or text[start:start + 1] not in DIGITS:
+    named = _NAMED.match(text, cue_end)
+    begin = named.end() if named else cue_end
+    start = _value_after(text, begin)
+    if start == cue_end:
         return None
-    end = digits_at(text, start)
-    return (start, end) if 6 <= sum(c in DIGITS for c in text[start:end]) <= 18 else None
+    if text[start:start + 1] in DIGITS:
+        end = digits_at(text, start)
+        if 6 <= sum(c in DIGITS for c in text[start:end]) <= 18:
+            return start, end
+    if folded(text[max(0, cue_end - 8):cue_end]) == "passport":   # letters and digits in any order
+        end = _run(text, start, LETTERS | DIGITS)
+        if 6 <= end - start <= 12 and sum(c in DIGITS for c in text[start:end]) >= 4:
+            return start, end
+    return None
 
 
 def url_at(text: str, at: int) -> tuple[int, int] | None:
@@ -182,7 +210,7 @@ def find(text: str, anchors) -> list[tuple[str, int, int]]:
     """
     spans, done = [], dict.fromkeys(KINDS, 0)
     digits_done = 0
-    for last, (what, size) in anchors.iter(text):
+    for last, (what, size) in anchors.iter(folded(text)):
         at = last + 1 - size
         if what == "digit":
             if at >= done["ip"] and at >= digits_done:

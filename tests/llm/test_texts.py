@@ -86,6 +86,19 @@ def test_pii_added_spans_and_redaction(docs):
     assert got[7][1] == "[EMAIL] or [IP]"
 
 
+def test_pii_values_behind_common_forms_of_cues():
+    anchors = pii.automaton()
+    for text, kind, value in [
+            ("account number: 12345678.", "account", "12345678"), ("account no 1234567", "account", "1234567"), ("account no. 1234567", "account", "1234567"),
+            ("account_id=12345678", "account", "12345678"), ("Kontonummer: 12345678", "account", "12345678"), ("aCCount Number 12345678", "account", "12345678"),
+            ("acct:         12345678", "account", "12345678"), ("passport no: X1234567 ok", "account", "X1234567"), ("Passport C01X00T47", "account", "C01X00T47"),
+            ("password: hunter2", "secret", "hunter2"), ('{"Password":"horses"}', "secret", "horses"), ("passwd=p@ss!w0rd, and", "secret", "p@ss!w0rd"),
+            ("Api_Key = 04dbebab91ab85687d33", "secret", "04dbebab91ab85687d33"), ("\u0130 TOKEN: 04dbebab91ab85687d33", "secret", "04dbebab91ab85687d33")]:
+        assert [(k, text[a:b]) for k, a, b in pii.find(text, anchors) if k not in pii.BASE] == [(kind, value)], text
+    for text in ("account notes 1234567", "account number", "passport controls at 12", "Password: please choose one", "a token: short1", "account12345678"):
+        assert not [x for x in pii.find(text, anchors) if x[0] not in pii.BASE], text
+
+
 def test_pii_edges(docs):
     df = docs(*EDGES)
     assert Counter((r.doc_id, r.redacted) for r in pii.find_pii(df).collect()) == Counter((i, t or "") for i, t in EDGES)
