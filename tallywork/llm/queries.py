@@ -17,6 +17,7 @@ from .near import near_duplicates
 from .packing import best_fit_pack
 from .pii import BASE, find_pii
 from .quality import quality_rules
+from .shards import shard_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +118,8 @@ def op10_pii(spark, sf_dir):
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op13_sharding(spark, sf_dir):
+    return shard_report(table(spark, sf_dir, "documents"), shards=16, seed=42)
