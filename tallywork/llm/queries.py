@@ -17,7 +17,9 @@ from .near import near_duplicates
 from .packing import best_fit_pack
 from .pii import BASE, find_pii
 from .quality import quality_rules
+from .resample import importance_resample
 from .shards import shard_report
+from .trie import graft, prefix_trie, turn_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,6 +122,53 @@ def op10_pii(spark, sf_dir):
     return found.select("doc_id", *map(count, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+@query
+def op11_resampling(spark, sf_dir):
+    ranked = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, seed=42)
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: Prefixes as lists of turn hashes; subtrees by pairing a conversation's nodes with those further down.
+ORACLES["op12_prefix_trie"] = """
+WITH turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS pos, key, size
+    FROM (SELECT conv_id, turn, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS key, strlen(coalesce(text, '')) AS size
+          FROM conversations WHERE conv_id IS NOT NULL)),
+counts AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id),
+hashed AS (
+    SELECT conv_id, n, conv_id - conv_id % 5 AS base,
+        xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+            lambda crc, byte: list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(crc, byte)), 4294967295), 4294967295) % 9 AS keep
+    FROM counts),
+plan AS (
+    SELECT h.conv_id, h.base, h.keep, least(h.keep, coalesce(b.n, 0)) AS taken, least(h.keep, coalesce(b.n, 0)) + greatest(h.n - h.keep, 0) AS length
+    FROM hashed h LEFT JOIN counts b ON b.conv_id = h.base),
+rebuilt AS (
+    SELECT p.conv_id, p.length, t.pos AS depth, t.key, t.size FROM plan p JOIN turns t ON t.conv_id = p.base AND t.pos <= p.taken
+    UNION ALL SELECT p.conv_id, p.length, t.pos - p.keep + p.taken, t.key, t.size FROM plan p JOIN turns t USING (conv_id) WHERE t.pos > p.keep),
+paths AS (
+    SELECT conv_id, length, depth, size, md5(array_to_string(list(key) OVER (PARTITION BY conv_id ORDER BY depth), ',')) AS node FROM rebuilt
+    UNION ALL SELECT conv_id, length, 0, 0, 'root' FROM plan),
+linked AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS above FROM paths),
+nodes AS (
+    SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(above) AS above, any_value(size) AS size, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256
+    FROM linked GROUP BY node),
+kids AS (SELECT above AS node, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+below AS (
+    SELECT top AS node, sum((n.n_convs - 1) * n.size) AS saved_tokens, count(*) FILTER (k.node IS NULL) AS n_leaves
+    FROM (SELECT DISTINCT a.node AS top, b.node AS low FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND b.depth >= a.depth) JOIN nodes n ON n.node = low LEFT JOIN kids k ON k.node = low
+    GROUP BY top)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, b.n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.node = n.above LEFT JOIN kids k ON k.node = n.node JOIN below b ON b.node = n.node"""
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    keep = F.crc32(F.col("conv_id").cast("string")) % 9
+    return prefix_trie(graft(turn_rows(table(spark, sf_dir, "conversations")), F.col("conv_id") - F.col("conv_id") % 5, keep, most=8))
+
+
 @query
 def op13_sharding(spark, sf_dir):
     return shard_report(table(spark, sf_dir, "documents"), shards=16, seed=42)
