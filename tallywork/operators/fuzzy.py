@@ -1,13 +1,15 @@
-"""Best approximate match of many names against a dictionary of names.
-
-The comparison has no lossless equality key, so the work is laid out as a grid:
-dictionary rows are dealt into shards of bounded size, names into buckets, and
-each (bucket, shard) cell is one group.  There are enough buckets for the session's
-parallelism and for a bucket to hold a bounded number of names, so both sides of a
-cell are bounded; names are sent around at most once per shard.  A cell discards dictionary
-rows by an upper bound first, scores the rest with array operations and gives
-back at most one row per name; the cells of a name are merged by an aggregate.
-Pairs are never rows of a table, and every pair is either bounded or scored.
+"""Best approximate match of many names against a dictionary of names, without comparing all with all.
+
+Two searches, each exact:
+
+* :func:`closest_names` (Jaro-Winkler) has no lossless equality key, so it goes by bounds.
+  The dictionary is sorted by first letter, length and letter counts and cut into cells of
+  like entries; a directory keeps each cell's bounds on lengths and letter counts.  A
+  name visits the cell with the best bound first, and afterwards only those that can still beat what it
+  found there.
+* :func:`names_by_tokens` (token overlap, else edit distance) joins by equality: tokens, of which
+  frequent ones are compared as sets of frequent tokens, not entry by entry; and, for names that no
+  token answers, pieces of entries of which at least one must occur unchanged.
 """
 
 from __future__ import annotations
@@ -16,64 +18,73 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.similarity import code_points, jaro_winkler_rows
+from ..functions.similarity import code_points, jaro_winkler_rows, name_tokens
+from .skew import HOT_ROWS, join_counted, kept, position
 
 REVIEW_SCORE = 0.82
-SHARD_ROWS = 20_000
+#: Rows of a cell of the index, cells of the directory at most (beyond, cells grow), names that meet a cell at a time.
+CELL_ROWS = 512
+MAX_CELLS = 65_536
 BUCKET_ROWS = 5_000
 CHUNK = 512
+CLASSES = 32
+#: Entries that a token may have before it is treated as frequent.
+TOKEN_ROWS = 1_000
+#: Edits that still match, and the length of a name up to which the smaller number holds.
+EDITS, MANY_EDITS, SHORT_NAME = 5, 8, 40
+#: Entries too short to hold three tokens, and how many of them, by lowest id, a short name tries first.
+BRIEF, BRIEF_FIRST = 10, 500
 
 
-def _grid(names: DataFrame, entries: DataFrame, match, schema: str, shard_rows: int = SHARD_ROWS,
-          cells: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``names`` (distinct column ``name``) against ``entries`` (unique ``id``, column ``entry``)."""
-    cells = cells or 4 * int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = F.greatest(F.lit(1), entries.agg(F.ceil(F.count("*") / shard_rows)).scalar()).cast("int")
-    per_names = names.agg(F.ceil(F.count("*") / bucket_rows)).scalar()
-    buckets = F.greatest(F.lit(1), F.ceil(F.lit(cells) / shards), per_names).cast("int")
-    left = (names.withColumn("_bucket", F.pmod(F.xxhash64("name"), buckets).cast("int"))
-            .withColumn("_shard", F.explode(F.sequence(F.lit(0), shards - 1))))
-    right = (entries.withColumn("_shard", F.pmod(F.xxhash64("id"), shards).cast("int"))
-             .withColumn("_bucket", F.explode(F.sequence(F.lit(0), buckets - 1))))
-
-    def cell(names_part: pd.DataFrame, entries_part: pd.DataFrame) -> pd.DataFrame:
-        return match(names_part["name"], entries_part.sort_values("id", ignore_index=True))
-
-    keys = ["_bucket", "_shard"]
-    # Cells are small in bytes and heavy in work: their tasks are set here, not merged by size.
-    left, right = left.repartition(cells, *keys), right.repartition(cells, *keys)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, schema)
-
+# --- closest name by Jaro-Winkler ------------------------------------------------------
 
 def _letter_counts(codes: np.ndarray) -> np.ndarray:
-    """Letters per row, hashed to 64 classes; shared classes can only raise the bound."""
-    out = np.zeros((codes.shape[0], 64), dtype=np.int16)
+    """Letters per row, hashed to classes; shared classes can only raise the bound."""
+    out = np.zeros((codes.shape[0], CLASSES), dtype=np.int32)
     for j in range(codes.shape[1]):
         col = codes[:, j]
         used = np.flatnonzero(col >= 0)
-        out[used, col[used] % 64] += 1
+        out[used, col[used] % CLASSES] += 1
     return out
 
 
+def score_bound(common, la, lb, prefix):
+    """Most that Jaro-Winkler can be with so many letters in common, these lengths and this common prefix."""
+    jaro = (common / la + common / np.maximum(lb, 1) + 1) / 3
+    return np.where(common > 0, jaro + 0.1 * prefix * (1 - jaro), 0.0) + 1e-9
+
+
+class Directory:
+    """Bounds of the cells: most letters of each class, lengths, and first letters from and to."""
+
+    def __init__(self, rows):
+        self.cell = np.array([r["cell"] for r in rows], np.int64)
+        self.most = np.array([r["most"] for r in rows], np.int32).reshape(-1, CLASSES)
+        self.low, self.high, self.first, self.last = (np.array([r[k] for r in rows], np.int64) for k in ("low", "high", "first", "last"))
+
+    def bounds(self, name: str) -> np.ndarray:
+        codes = np.frombuffer(name.encode("utf-32-le"), "<i4")
+        letters = np.bincount(codes % CLASSES, minlength=CLASSES)
+        common = np.minimum(self.most, letters).sum(axis=1)
+        length = np.clip(common, self.low, self.high)   # the length in the cell's range that favours the name most
+        prefix = np.where((self.first <= codes[0]) & (codes[0] <= self.last), 4, 0)
+        return score_bound(np.minimum(common, np.minimum(length, len(codes))), len(codes), length, prefix)
+
+
 def _closest(names: pd.Series, entries: pd.DataFrame) -> pd.DataFrame:
     """Per name the entry of highest Jaro-Winkler score (lowest id on ties), if at least the review score."""
     found = []
     if len(names) and len(entries):
-        texts = entries["entry"].tolist()
-        codes, lengths = code_points(texts)
+        entries = entries.sort_values("id", ignore_index=True)
+        codes, lengths = code_points(entries["entry"].tolist())
         counts = _letter_counts(codes)
-        a_codes, a_lengths = code_points(names.tolist())
-        a_counts = _letter_counts(a_codes)
-        for i, name in enumerate(names):
-            la = int(a_lengths[i])
-            if la == 0:
-                continue
-            a = a_codes[i, :la]
-            common = np.minimum(counts, a_counts[i]).sum(axis=1)
+        for name in names:
+            a = np.frombuffer(name.encode("utf-32-le"), "<i4")
+            la = len(a)
+            common = np.minimum(counts, np.bincount(a % CLASSES, minlength=CLASSES)).sum(axis=1)
             width = min(4, la, codes.shape[1])
             prefix = np.cumprod(codes[:, :width] == a[:width], axis=1).sum(axis=1)
-            bound = (common / la + common / np.maximum(lengths, 1) + 1) / 3
-            bound = np.where(common > 0, bound + 0.1 * prefix * (1 - bound), 0.0) + 1e-9
+            bound = score_bound(common, la, lengths, prefix)
             live = np.flatnonzero(bound >= REVIEW_SCORE)
             live = live[np.argsort(-bound[live], kind="stable")]
             best, best_row = 0.0, -1
@@ -92,71 +103,234 @@ def _closest(names: pd.Series, entries: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["name", "id", "score"])
 
 
-def closest_names(names: DataFrame, entries: DataFrame, id_type: str = "long", **sizes) -> DataFrame:
-    """JN-15: (name, id, score) for every name with a match of at least the review score.
+def name_index(entries: DataFrame, cell_rows: int = CELL_ROWS, max_cells: int = MAX_CELLS) -> tuple[DataFrame, Directory]:
+    """Entries (unique id, distinct entry) with their cell, stored, and the directory of cells (at most ``max_cells``)."""
+    # Neighbours in this order have first letter, length and most letters alike.
+    like = [F.ascii("entry"), F.floor(4 * F.log2(F.length("entry"))), *[F.floor((F.length("entry") - F.length(F.translate("entry", x, ""))) / 2) for x in "aeoisr"]]
+    sorted_ = position(entries.withColumns({f"_l{i}": c for i, c in enumerate(like)}), [], [*[f"_l{i}" for i in range(len(like))], "id"], "_n")
+    n = sorted_.count()
+    rows = max(cell_rows, -(-n // max_cells))
+    cells = kept(sorted_.select("id", "entry", F.floor((F.col("_n") - 1) / rows).alias("cell")), "cells")
+
+    def bounds(part: pd.DataFrame) -> pd.DataFrame:
+        codes, lengths = code_points(part["entry"].tolist())
+        return pd.DataFrame({"cell": part["cell"].iloc[:1].tolist(), "most": [_letter_counts(codes).max(axis=0).tolist()], "low": [int(lengths.min())],
+                             "high": [int(lengths.max())], "first": [int(codes[:, 0].min())], "last": [int(codes[:, 0].max())]})
+
+    return cells, Directory(cells.groupBy("cell").applyInPandas(bounds, "cell long, most array<int>, low long, high long, first long, last long").collect())
+
 
-    Equal names score 1 and are found by an equality join; only the others go
-    through the grid.
+def visits(names: DataFrame, directory: Directory, best: bool) -> DataFrame:
+    """(name, cell) to look at: the cell of the best bound, or (column ``score`` given) all others that can beat or equal the score."""
+    from pyspark import cloudpickle
+
+    sent = names.sparkSession.sparkContext.broadcast(cloudpickle.dumps(directory))   # with its class
+
+    def run(parts):
+        d = cloudpickle.loads(sent.value)
+        for part in parts:
+            out = []
+            for row in part.itertuples(index=False):
+                bound = d.bounds(row.name)
+                top = int(bound.argmax()) if len(bound) else -1
+                if best:
+                    hits = [top] if top >= 0 and bound[top] >= REVIEW_SCORE else []
+                else:
+                    hits = [i for i in np.flatnonzero(bound >= max(REVIEW_SCORE, row.score)) if i != top]
+                out += [(row.name, int(d.cell[i])) for i in hits]
+            yield pd.DataFrame(out, columns=["name", "cell"])
+
+    return names.mapInPandas(run, "name string, cell long")
+
+
+def _scored(asked: DataFrame, cells: DataFrame, id_type: str, tasks: int | None, bucket_rows: int) -> DataFrame:
+    """(name, id, score) for (name, cell) rows.  A cell asked by many names is met by buckets of them, each with the cell's rows."""
+    per_cell = asked.groupBy("cell").agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("_parts"))
+    right = cells.join(per_cell, "cell").withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    left = asked.join(per_cell, "cell").withColumn("_bucket", F.pmod(F.xxhash64("name"), F.col("_parts")).cast("int")).drop("_parts")
+    tasks = tasks or 4 * int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["cell", "_bucket"]
+    # Cells are small in bytes and heavy in work: their tasks are set here, not merged by size.
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: _closest(a["name"], b), f"name string, id {id_type}, score double")
+
+
+def closest_names(names: DataFrame, entries: DataFrame, id_type: str = "long", shard_rows: int = CELL_ROWS,
+                  cells: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """JN-15: (name, id, score) for every name with a match of at least the review score; lowest id on equal scores.
+
+    Equal names score 1 and are found by an equality join; only the others are searched.
+    ``shard_rows`` is the size of a cell of the index, ``cells`` the number of scoring tasks.
     """
     names = names.where(F.col("name") != "").distinct()
     entries = entries.where(F.col("entry") != "")
     by_entry = entries.groupBy(F.col("entry").alias("name")).agg(F.min("id").alias("id"))
     equal = names.join(by_entry, "name").withColumn("score", F.lit(1.0))
-    rest = names.join(by_entry.select("name"), "name", "left_anti")
-    distinct_entries = by_entry.select("id", F.col("name").alias("entry"))
-    cells = _grid(rest, distinct_entries, _closest, f"name string, id {id_type}, score double", **sizes)
-    best = cells.groupBy("name").agg(F.max("score").alias("score"), F.min_by("id", F.struct(-F.col("score"), "id")).alias("id"))
-    return equal.unionByName(best)
-
-
-def edit_distances(a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Edit distance of one string to every row of ``b``."""
-    place = np.arange(b.shape[1] + 1)
-    row = np.repeat(place[None, :], len(b), axis=0)
-    for ch in a:
-        step = np.empty_like(row)
-        step[:, 0] = row[:, 0] + 1
-        step[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (b != ch))
-        row = np.minimum.accumulate(step - place, axis=1) + place
-    return row[np.arange(len(b)), lengths]
-
-
-def _by_tokens(names: pd.Series, entries: pd.DataFrame) -> pd.DataFrame:
-    """Per name the entry of highest token overlap among those that overlap by half or are within the edit limit."""
-    found = []
-    if len(names) and len(entries):
-        texts = entries["entry"].tolist()
-        codes, lengths = code_points(texts)
-        postings: dict[str, list[int]] = {}
-        sizes = np.zeros(len(texts), dtype=np.int64)
-        for row, text in enumerate(texts):
-            tokens = {t for t in text.split(" ") if len(t) > 2}
-            sizes[row] = len(tokens)
-            for t in tokens:
-                postings.setdefault(t, []).append(row)
-        rows_of = {t: np.array(r) for t, r in postings.items()}
-        for name in names:
-            tokens = {t for t in name.split(" ") if len(t) > 2}
-            shared = np.zeros(len(texts))
-            for t in tokens & rows_of.keys():
-                shared[rows_of[t]] += 1
-            overlap = np.where(sizes > 0, shared / np.maximum(np.minimum(sizes, len(tokens)), 1), 0.0)
-            matched = np.flatnonzero(overlap >= 0.5)
-            if not len(matched):
-                limit = 5 if len(name) <= 40 else 8
-                near = np.flatnonzero(np.abs(lengths - len(name)) <= limit)
-                a = code_points([name])[0][0]
-                matched = near[edit_distances(a, codes[near], lengths[near]) <= limit] if len(near) else near
-            if len(matched):
-                top = overlap[matched].max()
-                row = int(matched[overlap[matched] == top].min())
-                found.append((name, entries["id"].iat[row], float(top)))
-    return pd.DataFrame(found, columns=["name", "id", "overlap"])
-
-
-def names_by_tokens(names: DataFrame, entries: DataFrame, id_type: str = "long", **sizes) -> DataFrame:
-    """JN-16 search: (name, id, overlap), highest overlap, then lowest id."""
-    entries = entries.where(F.col("entry").isNotNull()).groupBy("entry").agg(F.min("id").alias("id"))
-    cells = _grid(names.where(F.col("name").isNotNull()).distinct(), entries, _by_tokens, f"name string, id {id_type}, overlap double", **sizes)
-    return cells.groupBy("name").agg(F.max("overlap").alias("overlap"),
-                                     F.min_by("id", F.struct(-F.col("overlap"), "id")).alias("id"))
+    rest = kept(names.join(by_entry.select("name"), "name", "left_anti"), "names")
+    index, directory = name_index(by_entry.select("id", F.col("name").alias("entry")), shard_rows)
+    merged = lambda df: df.groupBy("name").agg(F.max("score").alias("score"), F.min_by("id", F.struct(-F.col("score"), "id")).alias("id"))
+    first = kept(_scored(visits(rest, directory, True), index, id_type, cells, bucket_rows), "first")
+    open_names = rest.join(first.select("name", "score"), "name", "left").select("name", F.coalesce("score", F.lit(0.0)).alias("score"))
+    later = _scored(visits(open_names, directory, False), index, id_type, cells, bucket_rows)
+    return equal.unionByName(merged(first.unionByName(later)))
+
+
+# --- tokens, else edits --------------------------------------------------------------------
+
+def _token_sets(df: DataFrame, text: str, *more: Column) -> DataFrame:
+    """Distinct token sets (``key``, sorted ``tokens``, size ``n``) of a column, with aggregates ``more``; texts without tokens have none."""
+    tokens = F.array_sort(name_tokens(F.col(text)))
+    sets = df.withColumn("tokens", tokens).where(F.size("tokens") > 0).withColumn("key", F.md5(F.array_join("tokens", " ")))
+    return sets.groupBy("key").agg(F.first("tokens").alias("tokens"), *more).withColumn("n", F.size("tokens"))
+
+
+def _ordered(sets: DataFrame, frequent: DataFrame) -> DataFrame:
+    """A row per token of each set: ``at``, its place from 1 with rare tokens first, and ``rows``, its entries if it is frequent (else 0).
+
+    A set of n tokens that shares at least half of them shares one of its first n - ceil(n / 2) + 1.
+    """
+    each = sets.select("key", "n", F.explode("tokens").alias("token")).join(F.broadcast(frequent), "token", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    lists = each.groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("rows", "token"))).alias("l"))
+    return lists.select("key", "n", F.posexplode("l").alias("at", "t")).select("key", "n", (F.col("at") + 1).alias("at"), "t.*")
+
+
+def _leading(n: Column) -> Column:
+    return n - F.ceil(n / 2) + 1
+
+
+def _half(pairs: DataFrame, a: str, b: str, na: str, nb: str) -> DataFrame:
+    overlap = F.size(F.array_intersect(a, b)) / F.least(na, nb)
+    return pairs.withColumn("overlap", overlap).where("overlap >= 0.5")
+
+
+def token_candidates(asked: DataFrame, given: DataFrame, hot_rows: int) -> DataFrame:
+    """(name, entry) keys of sets that may share half of the smaller one, by rare tokens; see :func:`_ordered`."""
+    rare = lambda df, kind: df.where("rows = 0").select("token", F.col("key").alias(kind), F.col("n").alias(f"{kind}_n"), (F.col("at") <= _leading(F.col("n"))).alias(f"{kind}_leads"))
+    left, right = rare(asked, "name"), rare(given, "entry")
+    counts = left.groupBy("token").agg(F.count("*").alias("n"))
+    met = join_counted(left, right, ["token"], counts, "name", hot_rows)   # a rare token has few entries, but any number of names
+    smaller = F.when(F.col("name_n") <= F.col("entry_n"), F.col("name_leads")).otherwise(F.col("entry_leads"))
+    return met.where(F.col("entry").isNotNull() & smaller).select("name", "entry").distinct()
+
+
+def _by_frequent(asked: DataFrame, given: DataFrame, ids: DataFrame) -> DataFrame:
+    """(key, overlap, id) over pairs that share frequent tokens only.
+
+    Such a pair's overlap depends on the frequent tokens and the sizes, so both sides are reduced to those first; the lowest
+    id stands for all entries alike.  Pairs that share rare tokens too are rated too low here and rightly elsewhere.
+    """
+    def reduced(df):
+        own = df.where("rows > 0").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("rows", "token"))).alias("l"))
+        return own.withColumn("hot", F.col("l.token")).withColumn("group", F.md5(F.concat_ws(" ", "n", F.array_join("hot", " "))))
+
+    names, entries = reduced(asked), reduced(given).join(ids, "key")
+    name_groups = names.groupBy("group").agg(F.first("hot").alias("hot"), F.first("n").alias("n"))
+    entry_groups = entries.groupBy("group").agg(F.first("hot").alias("hot"), F.first("n").alias("n"), F.min("id").alias("id"))
+    leads = F.size("hot") - F.ceil(F.col("n") / 2) + 1   # of the frequent ones, which come last in the order
+    tokens = lambda df, kind, *more: df.select(F.col("group").alias(kind), F.col("hot").alias(f"{kind}_hot"), F.col("n").alias(f"{kind}_n"), *more,
+                                               leads.alias("_leads"), F.posexplode("hot").alias("_at", "token")).withColumn(f"{kind}_leads", F.col("_at") < F.col("_leads")).drop("_at", "_leads")
+    smaller = F.when(F.col("name_n") <= F.col("entry_n"), F.col("name_leads")).otherwise(F.col("entry_leads"))
+    pairs = tokens(name_groups, "name").join(tokens(entry_groups, "entry", "id"), "token").where(smaller)
+    best = _best(_half(pairs, "name_hot", "entry_hot", "name_n", "entry_n").withColumnRenamed("name", "group"), "group")
+    return names.select("key", "group").join(best, "group").select("key", "overlap", "id")
+
+
+def _best(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.max("overlap").alias("overlap"), F.min_by("id", F.struct(-F.col("overlap"), "id")).alias("id"))
+
+
+def by_overlap(names: DataFrame, entries: DataFrame, token_rows: int = TOKEN_ROWS, tasks: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(name, id, overlap) for names that share at least half of the smaller token set with an entry: highest overlap, lowest id."""
+    asked, given = kept(_token_sets(names, "name"), "asked"), kept(_token_sets(entries, "entry", F.min("id").alias("id")), "given")
+    # at most (tokens of the dictionary) / token_rows rows
+    frequent = given.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > token_rows)
+    frequent = kept(frequent, "frequent")
+    asked_tokens, given_tokens = kept(_ordered(asked, frequent), "asked_tokens"), kept(_ordered(given, frequent), "given_tokens")
+    pairs = kept(token_candidates(asked_tokens, given_tokens, hot_rows), "pairs")
+    pairs = pairs.repartition(tasks, "name") if tasks else pairs
+    left = pairs.join(asked.select(F.col("key").alias("name"), F.col("tokens").alias("a"), F.col("n").alias("na")), "name")
+    right = given.select(F.col("key").alias("entry"), F.col("tokens").alias("b"), F.col("n").alias("nb"), "id")
+    both = join_counted(left, right, ["entry"], pairs.groupBy("entry").agg(F.count("*").alias("n")), "name", hot_rows)
+    rare = _half(both, "a", "b", "na", "nb").select(F.col("name").alias("key"), "overlap", "id")
+    best = _best(rare.unionByName(_by_frequent(asked_tokens, given_tokens, given.select("key", "id"))), "key")
+    keyed = names.withColumn("key", F.md5(F.array_join(F.array_sort(name_tokens(F.col("name"))), " ")))
+    return keyed.join(best, "key").select("name", "id", "overlap")
+
+
+def _pieces(df: DataFrame, edits: int, length: Column, *more: str) -> DataFrame:
+    """A row per piece (``i``, start ``at`` from 0, ``size``) of texts of ``length``, cut evenly into ``edits`` + 1 pieces, the longer ones last."""
+    k = edits + 1
+    cut = df.withColumn("_l", length.cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(edits))))
+    base, wide = F.floor(F.col("_l") / k).cast("int"), F.lit(k) - F.col("_l") % k
+    return cut.withColumn("at", F.col("i") * base + F.greatest(F.lit(0), F.col("i") - wide)).withColumn("size", base + (F.col("i") >= wide).cast("int"))
+
+
+def edit_candidates(names: DataFrame, entries: DataFrame, edits: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(name, entry) pairs, as their MD5, that can be within ``edits``: one of the entry's ``edits`` + 1 pieces occurs in the name.
+
+    A piece is looked for only where it can stand: not shifted by more than the edits before it and behind it
+    allow.  Entries of ``edits`` characters or fewer have no pieces; they are met by single characters.
+    """
+    long_ = entries.where(F.length("entry") > edits)
+    given = _pieces(long_, edits, F.length("entry")).select(F.md5("entry").alias("entry"), F.xxhash64("_l", "i", F.expr("substring(entry, at + 1, size)")).alias("piece"))
+    m = F.length("name")
+    ranged = names.withColumn("_len", F.explode(F.sequence(F.greatest(m - edits, F.lit(edits + 1)), m + edits))).where(m > 0) if edits else names.withColumn("_len", m)
+    cut = _pieces(ranged.where(F.col("_len") <= m + edits), edits, F.col("_len"))
+    shift = m - F.col("_len")
+    low = F.greatest(F.col("at") - F.col("i"), F.col("at") + shift - (F.lit(edits) - F.col("i")), F.lit(0))
+    high = F.least(F.col("at") + F.col("i"), F.col("at") + shift + (F.lit(edits) - F.col("i")), m - F.col("size"))
+    cut = cut.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn("_at", F.explode(F.sequence("_low", "_high")))
+    asked = cut.select(F.md5("name").alias("name"), F.xxhash64("_l", "i", F.expr("substring(name, _at + 1, size)")).alias("piece")).distinct()
+    brief = entries.where(F.length("entry").between(1, edits))
+    letters = lambda c: F.array_distinct(F.split(c, ""))
+    given = given.unionByName(brief.select(F.md5("entry").alias("entry"), F.explode(letters("entry")).alias("c"), F.length("entry").alias("l")).select("entry", F.xxhash64("l", "c").alias("piece")))
+    near = names.where((m > edits) & (m <= 2 * edits)).withColumn("l", F.explode(F.sequence(m - edits, F.lit(edits))))
+    asked = asked.unionByName(near.select(F.md5("name").alias("name"), "l", F.explode(letters("name")).alias("c")).select("name", F.xxhash64("l", "c").alias("piece")))
+    counts = asked.groupBy("piece").agg(F.count("*").alias("n"))
+    return join_counted(asked, given, ["piece"], counts, "name", hot_rows).where(F.col("entry").isNotNull()).select("name", "entry").distinct()
+
+
+def within_edits(names: DataFrame, entries: DataFrame, brief_first: int = BRIEF_FIRST, hot_rows: int = HOT_ROWS, tasks: int | None = None) -> DataFrame:
+    """(name, id, overlap) for names within the edit limit of an entry (5, or 8 for names over 40 characters): highest overlap, lowest id.
+
+    ``names`` are those that :func:`by_overlap` left open.  Brief names are close to many brief entries, which share no half-way overlap with them, so that the lowest id
+    decides: they try the entries with the lowest ids first, and only names that find none go on to all brief entries.
+    """
+    m, brief = F.length("name"), F.length("entry") <= BRIEF
+    few = F.struct("id", "entry")
+    first = entries.where(brief).orderBy("id").limit(brief_first).agg(F.array_sort(F.collect_list(few)).alias("l")).scalar()
+    tried = names.withColumn("_first", first).withColumn("_hit", F.when(m <= BRIEF + EDITS, F.get(F.filter("_first", lambda e: F.levenshtein(F.col("name"), e["entry"], EDITS) >= 0), F.lit(0))["id"])).drop("_first")
+    tried = kept(tried, "tried")
+    hits = tried.where("_hit IS NOT NULL").select("name", F.col("_hit").alias("id"), F.lit(0.0).alias("overlap"))
+    # two empty-handed cases that need no pairs: a name of at most EDITS characters is near every entry of at most EDITS
+    tiny = entries.where(F.length("entry") <= EDITS).agg(F.min("id")).scalar()
+    tiny_hits = names.where(m <= EDITS).select("name", tiny.alias("id"), F.lit(0.0).alias("overlap")).where("id IS NOT NULL")
+    asked_brief = tried.where((m <= BRIEF + EDITS) & F.col("_hit").isNull()).select("name")
+    pairs = [edit_candidates(asked_brief, entries.where(brief), EDITS, hot_rows),
+             edit_candidates(names.where(m <= SHORT_NAME), entries.where(~brief), EDITS, hot_rows),
+             edit_candidates(names.where(m > SHORT_NAME), entries.where(~brief), MANY_EDITS, hot_rows)]
+    pairs = kept(pairs[0].unionByName(pairs[1]).unionByName(pairs[2]), "edit_pairs")
+    pairs = pairs.repartition(tasks, "name") if tasks else pairs
+    text = lambda df, c, *more: df.select(F.md5(c).alias("_k"), F.col(c).alias(f"_{c}"), *more)
+    left = pairs.join(text(names, "name").withColumnRenamed("_k", "name"), "name")
+    both = join_counted(left, text(entries, "entry", "id").withColumnRenamed("_k", "entry"), ["entry"], pairs.groupBy("entry").agg(F.count("*").alias("n")), "name", hot_rows)
+    near = F.when(F.length("_name") <= SHORT_NAME, F.levenshtein("_name", "_entry", EDITS)).otherwise(F.levenshtein("_name", "_entry", MANY_EDITS)) >= 0
+    x, y = name_tokens(F.col("_name")), name_tokens(F.col("_entry"))
+    small = F.least(F.size(x), F.size(y))
+    overlap = F.when(small > 0, F.size(F.array_intersect(x, y)) / small).otherwise(0.0)
+    verified = both.where(near).select(F.col("_name").alias("name"), "id", overlap.alias("overlap"))
+    return _best(hits.unionByName(tiny_hits).unionByName(verified), "name").select("name", "id", "overlap")
+
+
+def names_by_tokens(names: DataFrame, entries: DataFrame, id_type: str = "long", shard_rows: int = TOKEN_ROWS, cells: int | None = None) -> DataFrame:
+    """JN-16 search: (name, id, overlap), highest overlap, then lowest id.
+
+    An entry matches if it shares half of the smaller token set or is within the edit limit.  An overlap
+    of a half beats any edit match, so only names without one are compared by edits.  ``shard_rows``: entries from which a
+    token counts as frequent; ``cells``: tasks that verify pairs.
+    """
+    names = kept(names.where(F.col("name").isNotNull()).distinct(), "names")
+    entries = kept(entries.where(F.col("entry").isNotNull()).groupBy("entry").agg(F.min("id").alias("id")), "entries")
+    shared = kept(by_overlap(names, entries, shard_rows, cells), "shared")
+    rest = kept(names.join(shared.select("name"), "name", "left_anti"), "rest")
+    return shared.unionByName(within_edits(rest, entries, tasks=cells))

@@ -13,6 +13,13 @@ HOT_ROWS = 1_000_000
 SPREAD = 4096
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: later steps start from the files."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_counted(big: DataFrame, side: DataFrame, keys: Sequence[str], counts: DataFrame, spread: str,
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join ``big`` to ``side``, whose ``keys`` are unique, with hot keys split.

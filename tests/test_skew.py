@@ -120,3 +120,88 @@ def test_duplicates_do_not_depend_on_layout(spark, parts):
             by_key.setdefault(key, r.id)
     for k, v in want.items():
         assert (pd.isna(got[k]) and v is None) or got[k] == v
+
+
+def plain_edits(a, b):
+    prev = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        cur = [i]
+        for j, y in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
+        prev = cur
+    return prev[-1]
+
+
+@pytest.mark.parametrize("edits", [5, 8])
+def test_edit_candidates_lose_no_pair(spark, edits):
+    rng = random.Random(edits)
+
+    def spoilt(text, n):
+        for _ in range(n):
+            i = rng.randrange(len(text) + 1)
+            text = rng.choice([text[:i] + text[i + 1:], text[:i] + rng.choice("abxé ") + text[i:], text[:i] + rng.choice("abxé ") + text[i + 1:]])
+        return text
+
+    entries = sorted({"".join(rng.choice("abcdé ") for _ in range(n)) for n in [1, 2, 4, 5, 6, 7, 9, 11, 12, 16, 17, 18, 30, 41, 44, 60] for _ in range(3)})
+    names = sorted({spoilt(rng.choice(entries), rng.randint(0, edits + 2)) for _ in range(120)} | {"", "zzzzzz"})
+    a, b = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(e,) for e in entries], "entry string")
+    pairs = fuzzy.edit_candidates(a, b, edits, hot_rows=5)
+    got = {(r["_n"], r["_e"]) for r in pairs.join(a.select(F.md5("name").alias("name"), F.col("name").alias("_n")), "name")
+           .join(b.select(F.md5("entry").alias("entry"), F.col("entry").alias("_e")), "entry").collect()}
+    for n in names:
+        for e in entries:
+            if plain_edits(n, e) <= edits and not (len(n) <= edits and len(e) <= edits):   # those need no pair, see within_edits
+                assert (n, e) in got, (n, e)
+
+
+@pytest.mark.parametrize("token_rows", [1, 6, 1000])
+def test_token_search_with_frequent_tokens(spark, token_rows):
+    rng = random.Random(token_rows)
+    words = ["lda", "comercio", "silva"] * 4 + ["porto", "norte", "azul", "obras", "sol", "mar", "rio"] + [f"w{i}" for i in range(10, 40)]
+    entries = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))) for i in range(150)]
+    names = sorted({" ".join(rng.choice([*words, "unseen", "other"]) for _ in range(rng.randint(1, 7))) for _ in range(150)} | {"x " * 10000 + "lda"})
+    got = {r["name"]: (r["id"], r["overlap"]) for r in fuzzy.by_overlap(
+        spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(entries, "id long, entry string"), token_rows, hot_rows=7).collect()}
+    for n in names:
+        ok = []
+        for i, e in entries:
+            a, b = ({t for t in s.split(" ") if len(t) > 2} for s in (n, e))
+            if a and b and len(a & b) / min(len(a), len(b)) >= 0.5:
+                ok.append((len(a & b) / min(len(a), len(b)), -i))
+        assert got.get(n) == ((-max(ok)[1], pytest.approx(max(ok)[0])) if ok else None), n
+
+
+@pytest.mark.parametrize("brief_first", [1, 500])
+def test_edit_search_equals_all_pairs(spark, brief_first):
+    rng = random.Random(9)
+    entries = [(i, "".join(rng.choice("abcde fgh") for _ in range(rng.choice([0, 1, 3, 5, 6, 8, 10, 11, 13, 15, 20, 39, 43])))) for i in range(90)]
+    names = sorted({misspelt(rng, misspelt(rng, rng.choice(entries)[1] or "q") or "q") for _ in range(80)} | {"", "zz", "zzzzzz", "zzzzzzzzz", "x" * 20000})
+    unique = {}
+    for i, e in entries:
+        unique[e] = min(i, unique.get(e, i))
+    got = {r["name"]: r["id"] for r in fuzzy.within_edits(spark.createDataFrame([(n,) for n in names], "name string"),
+           spark.createDataFrame([(i, e) for e, i in unique.items()], "id long, entry string"), brief_first=brief_first).collect()}
+    tokens = lambda s: {t for t in s.split(" ") if len(t) > 2}
+    share = lambda a, b: len(a & b) / max(1, min(len(a), len(b)))
+    for n in names:
+        if any(share(tokens(n), tokens(e)) >= 0.5 for e in unique):
+            continue   # answered by tokens
+        near = [(len(tokens(n) & tokens(e)) / max(1, min(len(tokens(n)), len(tokens(e)))), -i) for e, i in unique.items()
+                if abs(len(n) - len(e)) <= 8 and plain_edits(n, e) <= (5 if len(n) <= 40 else 8)]
+        assert got.get(n) == (-max(near)[1] if near else None), n
+
+
+def test_index_skips_cells_and_survives_long_names(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    entries = [(i, f"{word()} {word()} {word()}") for i in range(600)] + [(600, "ab" * 9990)]
+    names = [(misspelt(rng, e),) for _, e in rng.sample(entries[:600], 40)] + [("ab" * 10000,)]
+    e, n = spark.createDataFrame(entries, "id long, entry string"), spark.createDataFrame(names, "name string").distinct()
+    index, directory = fuzzy.name_index(e, 20)
+    first = fuzzy.visits(n, directory, True)
+    found = fuzzy._scored(first, index, "long", 4, 100)
+    later = fuzzy.visits(n.join(found.select("name", "score"), "name", "left").fillna(0.0), directory, False)
+    cells = len(directory.cell) * n.count()
+    assert first.count() + later.count() < 0.7 * cells
+    got = {r["name"]: r["id"] for r in fuzzy.closest_names(n, e, shard_rows=20, cells=4).collect()}
+    assert got["ab" * 10000] == 600
