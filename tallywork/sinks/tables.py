@@ -53,14 +53,19 @@ def write_version(df: DataFrame, base: str, version: int) -> None:
     version simply overwrites its own folder.
     """
     df.write.mode("overwrite").parquet(f"{base}/data/version={version}")
-    one = df.sparkSession.range(1).select(F.lit(version).cast("long").alias("version"))
-    one.write.mode("append").parquet(f"{base}/commits")
+    commit(df.sparkSession, base, version)
 
 
-def latest_version(spark: SparkSession, base: str) -> int | None:
+def commit(spark: SparkSession, base: str, version: int) -> None:
+    spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode("append").parquet(f"{base}/commits")
+
+
+def latest_version(spark: SparkSession, base: str, before: int | None = None) -> int | None:
+    """Last committed version, or the last one below ``before``."""
     schema = T.StructType([T.StructField("version", T.LongType())])
     try:
-        return spark.read.schema(schema).parquet(f"{base}/commits").agg(F.max("version")).first()[0]
+        versions = spark.read.schema(schema).parquet(f"{base}/commits")
+        return (versions if before is None else versions.where(F.col("version") < before)).agg(F.max("version")).first()[0]
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
@@ -68,9 +73,18 @@ def latest_version(spark: SparkSession, base: str) -> int | None:
 
 
 def read_version(spark: SparkSession, base: str, version: int | None = None) -> DataFrame | None:
-    """The committed table, or null before the first commit."""
+    """The committed table, or null before the first commit; a table in buckets is put together from its manifest."""
     version = latest_version(spark, base) if version is None else version
-    return None if version is None else spark.read.parquet(f"{base}/data/version={version}")
+    if version is None:
+        return None
+    from .buckets import read_buckets
+
+    try:
+        return read_buckets(spark, base, before=version + 1)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):   # no manifest
+            return spark.read.parquet(f"{base}/data/version={version}")
+        raise
 
 
 def refresh_rollups(spark: SparkSession, jobs: dict[str, Callable[[], DataFrame]], base: str,

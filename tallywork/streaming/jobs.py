@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..operators.duplicates import LOOKUP_KEY, find_duplicates
+from ..operators.skew import kept
+from ..sinks.buckets import BUCKETS, append_buckets, commit_buckets, read_buckets, touched_buckets, upsert_buckets
 from ..sinks.invoices import change_images
-from ..sinks.tables import latest_version, merge_latest, read_version, write_version
+from ..sinks.tables import latest_version, merge_latest
 from ..sources.landing import content_hash, with_format
 
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def run_available(df: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     """Process everything that has arrived, then stop."""
@@ -31,81 +36,114 @@ def ingest_documents(documents: DataFrame, out: str, checkpoint: str) -> None:
 
 
 def dispatched_once(requests: DataFrame, ts: str = "ts", keys: tuple[str, ...] = ("client_id", "batch_id", "file_name"),
-                    keep: str = "1 hour") -> DataFrame:
+                    keep: str = "1 hour", in_memory: int = 100_000) -> DataFrame:
     """ST-2: a request is dispatched unless its key was within ``keep`` before it, by event time: (keys, ts).
 
     Per key the time of the last dispatch is the state; it goes when the watermark
     has passed its end.  Rows of a key are taken in event-time order within a batch,
     so the answer is the same however batches cut a stream that arrives in order;
     a row older than the last dispatch counts as a repetition.
+
+    A batch's rows of a key are read part by part and reduced to distinct times.  More than ``in_memory`` of them wait in
+    keyed map state, one packed entry per stretch of ``keep``, and are then walked entry by entry, so that
+    a key's rows are never in memory together.  A stretch holds one dispatch at most.  Needs the RocksDB state store, which is set here for the session's next streams.
     """
-    span = pd.Timedelta(keep)
+    span = int(pd.Timedelta(keep).value // 1000)
     schema = T.StructType([*[requests.schema[k] for k in keys], T.StructField(ts, T.TimestampType())])
-
-    def dispatch(key, parts, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        times = []
-        for at in pd.concat([p[ts] for p in parts]).sort_values():
-            if last is None or at >= last + span:
-                times.append(at)
-                last = at
-        state.update((int(last.value // 1000),))
-        state.setTimeoutTimestamp(max(int((last + span).value // 1_000_000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({**{k: [v] * len(times) for k, v in zip(keys, key)}, ts: times})
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+
+    class Dispatch(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.last = handle.getValueState("last", "last long")
+            self.waiting = handle.getMapState("waiting", "stretch long", "times binary")
+
+        def handleInputRows(self, key, rows, timerValues):
+            held, spilled, n = {}, set(), 0
+
+            def spill():
+                for stretch, some in held.items():
+                    if stretch in spilled:
+                        some = np.union1d(np.frombuffer(self.waiting.getValue((stretch,))[0], np.int64), some)
+                    self.waiting.updateValue((stretch,), (some.tobytes(),))
+                    spilled.add(stretch)
+                held.clear()
+
+            for part in rows:
+                times = np.unique(part[ts].to_numpy().astype("datetime64[us]").astype(np.int64))
+                for some in np.split(times, np.flatnonzero(np.diff(times // span)) + 1):
+                    stretch = int(some[0] // span)
+                    held[stretch] = np.union1d(held[stretch], some) if stretch in held else some
+                n += len(times)
+                if n > in_memory:
+                    spill()
+                    n = 0
+            if spilled:
+                spill()
+            last, sent = (self.last.get()[0] if self.last.exists() else None), []
+            for stretch in sorted(spilled or held):
+                times = np.frombuffer(self.waiting.getValue((stretch,))[0], np.int64) if spilled else held[stretch]
+                at = 0 if last is None else int(np.searchsorted(times, last + span))
+                if at < len(times):
+                    last = int(times[at])
+                    sent.append(last)
+                if spilled:
+                    self.waiting.removeKey((stretch,))
+                if len(sent) == 10_000:
+                    yield self._rows(key, sent)
+                    sent = []
+            if last is not None:
+                self.last.update((last,))
+                self.handle.registerTimer((last + span) // 1000 + 1)
+            yield self._rows(key, sent)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if self.last.exists() and (self.last.get()[0] + span) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+                self.last.clear()
+            yield self._rows(key, [])
+
+        def _rows(self, key, sent):
+            return pd.DataFrame({**{k: pd.Series([v] * len(sent), dtype=object) for k, v in zip(keys, key)}, ts: pd.to_datetime(pd.Series(sent, dtype="int64"), unit="us")})
+
+        def close(self):
+            pass
 
     rows = requests.select(*keys, ts).where(F.col(ts).isNotNull()).withWatermark(ts, keep)
-    return rows.groupBy(*keys).applyInPandasWithState(dispatch, schema, "last long", "append", "EventTimeTimeout")
+    return rows.groupBy(*keys).transformWithStateInPandas(Dispatch(), schema, "Append", "EventTime")
 
 
-def find_duplicates_as_they_arrive(invoices: DataFrame, base: str, checkpoint: str) -> None:
+def find_duplicates_as_they_arrive(invoices: DataFrame, base: str, checkpoint: str, buckets: int = BUCKETS) -> None:
     """ST-3: duplicates against everything seen before.
 
-    History is a key table on storage, not operator state; of it only the rows
-    that share a hash or a fiscal key with the batch take part.
+    History is a key table on storage, not operator state, kept twice: in buckets by document hash and in buckets by
+    fiscal key.  A batch reads the buckets its own keys fall into, and of those the rows that share a hash or a key with it.
     """
     columns = ["id", "created_at", "document_hash", "processing_status", *LOOKUP_KEY]
     spark = invoices.sparkSession
-    history, found = f"{base}/keys", f"{base}/found"
+    tables = {f"{base}/by_hash": ["document_hash"], f"{base}/by_key": list(LOOKUP_KEY)}
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        rows = df.select(*columns).withColumn("_batch", F.lit(batch_id))
-        seen = _existing(spark, history, rows)
-        if seen is None:
-            both = rows
-        else:
-            seen = seen.where(F.col("_batch") < batch_id)  # a repeated batch ignores its own first try
-            same_hash = seen.join(rows.select("document_hash").distinct(), "document_hash", "left_semi")
-            same_key = seen.join(rows.select(*LOOKUP_KEY).distinct(), LOOKUP_KEY, "left_semi")
-            both = rows.unionByName(same_hash.unionByName(same_key).dropDuplicates(["id"]))
+        rows = kept(df.select(*columns), "arrived")
+        seen = rows.limit(0)
+        for table, keys in tables.items():  # a repeated batch ignores its own first try
+            known = read_buckets(spark, table, touched_buckets(rows, keys, buckets), batch_id)
+            if known is not None:
+                seen = seen.unionByName(known.join(rows.select(*keys).distinct(), keys, "left_semi").select(*columns))
+        both = rows.unionByName(seen.dropDuplicates(["id"]))
         hits = find_duplicates(both).join(rows.select("id"), "id", "left_semi")
-        hits.write.mode("overwrite").parquet(f"{found}/batch={batch_id}")
-        rows.drop("_batch").write.mode("overwrite").parquet(f"{history}/_batch={batch_id}")
+        hits.write.mode("overwrite").parquet(f"{base}/found/batch={batch_id}")
+        for table, keys in tables.items():
+            append_buckets(rows, table, batch_id, keys, "id", buckets)
 
     run_available(invoices, checkpoint, batch)
 
 
-def _existing(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
-    try:
-        return spark.read.schema(like.schema).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-
-
 def _upsert(base: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """Batch writer that merges changed rows into a versioned table; a repeated batch rewrites its own version."""
+    """Batch writer that merges changed rows into a table in buckets; a repeated batch does nothing."""
     def batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        last = latest_version(spark, base)
-        if last is not None and last >= batch_id:
-            return
-        old = read_version(spark, base, last)
-        new = df if old is None else merge_latest(old, df, keys, [c for c in df.columns if c not in keys])
-        write_version(new, base, batch_id)
+        last = latest_version(df.sparkSession, base)
+        if last is None or last < batch_id:
+            upsert_buckets(kept(df, "changed"), base, batch_id, keys)
     return batch
 
 
@@ -116,14 +154,44 @@ def daily_throughput(invoices: DataFrame, base: str, checkpoint: str, late: str
     run_available(days, checkpoint, _upsert(base, ["day"]), "update")
 
 
-def rolling_quality(invoices: DataFrame, base: str, checkpoint: str, span: str = "30 days", late: str = "1 day") -> None:
-    """ST-5: outcome counts per client in windows of 30 days that move by a day."""
+def rolling_windows(panes: DataFrame, days: int) -> DataFrame:
+    """Counts per client in all windows of ``days`` days that hold a pane (client_id, day, total, ok_count, review_count).
+
+    A pane enters the windows that end a day later and leaves those that end ``days`` days after that: running sums over
+    two changes per pane give every window, whatever its length.
+    """
+    counts = ["total", "ok_count", "review_count"]
+    change = lambda after, sign: F.struct(F.date_add("day", after).alias("at"), *[(sign * F.col(c)).alias(c) for c in counts])
+    changes = panes.select("client_id", F.explode(F.array(change(1, F.lit(1)), change(days + 1, F.lit(-1)))).alias("x")).select("client_id", "x.*")
+    changes = changes.groupBy("client_id", "at").agg(*[F.sum(c).alias(c) for c in counts])
+    order = Window.partitionBy("client_id").orderBy("at")
+    sums = changes.select("client_id", "at", F.lead("at").over(order).alias("until"), *[F.sum(c).over(order).alias(c) for c in counts]).where("total > 0")
+    return sums.withColumn("end", F.explode(F.sequence("at", F.date_sub("until", 1)))).select("client_id", F.col("end").cast("timestamp").alias("window_end"), *counts)
+
+
+def rolling_quality(invoices: DataFrame, base: str, checkpoint: str, days: int = 30, late: str = "1 day") -> None:
+    """ST-5: outcome counts per client in windows of 30 days that move by a day.
+
+    Panes of a day are the streaming state and are kept in ``base``-panes; the windows of clients in touched buckets
+    are computed from them again, so a late day corrects all its windows.
+    """
     status = lambda s: F.count_if(F.col("processing_status") == s)
-    w = (invoices.withWatermark("created_at", late)
-         .groupBy("client_id", F.window("created_at", span, "1 day").alias("w"))
-         .agg(F.count("*").alias("total"), status("ok").alias("ok_count"), status("requires_review").alias("review_count"))
-         .select("client_id", F.col("w.end").alias("window_end"), "total", "ok_count", "review_count"))
-    run_available(w, checkpoint, _upsert(base, ["client_id", "window_end"]), "update")
+    panes = (invoices.withWatermark("created_at", late)
+             .groupBy("client_id", F.window("created_at", "1 day").alias("w"))
+             .agg(F.count("*").alias("total"), status("ok").alias("ok_count"), status("requires_review").alias("review_count"))
+             .select("client_id", F.to_date("w.start").alias("day"), "total", "ok_count", "review_count"))
+    spark, kept_panes = invoices.sparkSession, f"{base}-panes"
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        last = latest_version(spark, base)
+        if last is not None and last >= batch_id:
+            return
+        touched = upsert_buckets(kept(df, "panes"), kept_panes, batch_id, ["client_id", "day"], by=["client_id"])
+        if touched:
+            windows = rolling_windows(read_buckets(spark, kept_panes, touched, batch_id + 1), days)
+            commit_buckets(windows, base, batch_id, ["client_id"], touched, touched)
+
+    run_available(panes, checkpoint, batch, "update")
 
 
 def supplier_profiles(classified: DataFrame, base: str, checkpoint: str) -> None:
@@ -142,12 +210,14 @@ def audit_changes(changes: DataFrame, base: str, log: str, checkpoint: str, key:
         last = latest_version(spark, base)
         if last is not None and last >= batch_id:
             return
-        old = read_version(spark, base, last)
-        before = df.limit(0) if old is None else old
-        after = merge_latest(before, df, [key], [c for c in df.columns if c != key], order)
-        touched = df.select(key).distinct()
-        images = change_images(before.join(touched, key, "left_semi"), after.join(touched, key, "left_semi"), key, table)
+        rows = kept(df, "versions")
+        touched = touched_buckets(rows, [key])
+        old = read_buckets(spark, base, touched, batch_id)
+        before = rows.limit(0) if old is None else old
+        after = merge_latest(before, rows, [key], [c for c in rows.columns if c != key], order)
+        changed = rows.select(key).distinct()
+        images = change_images(before.join(changed, key, "left_semi"), after.join(changed, key, "left_semi"), key, table)
         images.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
-        write_version(after, base, batch_id)
+        commit_buckets(after, base, batch_id, [key], touched, touched)
 
     run_available(changes, checkpoint, batch)

@@ -2,6 +2,7 @@
 
 import base64
 import json
+import random
 from datetime import date, datetime
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallywork.operators.duplicates import find_duplicates
 from tallywork.session import shared_dir
-from tallywork.sinks import invoices as S, tables as W
+from tallywork.sinks import buckets as B, invoices as S, tables as W
 from tallywork.sources import collect as C, datasets as G, landing as A
 from tallywork.streaming import jobs as J
 
@@ -191,3 +192,68 @@ def test_ingest(spark, tmp_path, in_steps):
     in_steps(lambda s: J.ingest_documents(doc(s), out, str(tmp_path / "c")))
     got = spark.read.parquet(out)
     assert got.count() == 90 and got.select("doc_format").distinct().count() == 1
+
+
+def test_dispatch_agrees_however_batches_cut_and_spill(spark, tmp_path):
+    """Rows unordered within a batch, one hot key; three small batches with spilled state equal one batch and a plain walk."""
+    rng = random.Random(2)
+    rows = sorted(((rng.randrange(40_000), rng.choice("hhhxyz")) for _ in range(3000)), key=lambda r: r[0])
+    frames = [spark.createDataFrame([(t, 1, k) for t, k in rng.sample(rows[a:a + 1000], 1000)], "t long, batch_id long, file_name string")
+              .select(F.timestamp_seconds("t").alias("ts"), F.lit(1).alias("client_id"), "batch_id", "file_name") for a in (0, 1000, 2000)]
+    want = set()
+    for k in "hxyz":
+        last = None
+        for t, kk in rows:
+            if kk == k and (last is None or t >= last + 600):
+                want.add((k, t))
+                last = t
+    for name, steps, in_memory in (("three", [[f] for f in frames], 50), ("one", [frames], 100_000)):
+        src, out = str(tmp_path / f"{name}-in"), str(tmp_path / f"{name}-out")
+        for step in steps:
+            for f in step:
+                f.write.mode("append").parquet(src)
+            stream = spark.readStream.schema(frames[0].schema).parquet(src)
+            J.run_available(J.dispatched_once(stream, keep="10 minutes", in_memory=in_memory), str(tmp_path / f"{name}-c"), lambda df, i: df.write.mode("overwrite").parquet(f"{out}/b={i}"))
+        assert {(r.file_name, int(r.ts.timestamp())) for r in spark.read.parquet(out).collect()} == want
+
+
+def test_late_days_correct_their_windows(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "roll")
+    rows = [[("2024-03-10", 1, "ok"), ("2024-03-11", 1, "x"), ("2024-03-10", 2, "ok")], [("2024-03-02", 1, "ok"), ("2024-04-20", 2, "requires_review")]]
+    schema, everything = "d string, client_id long, processing_status string", []
+    for step in rows:
+        everything += step
+        df = spark.createDataFrame(step, schema).select(F.to_timestamp("d").alias("created_at"), "client_id", "processing_status")
+        df.write.mode("append").parquet(src)
+        J.rolling_quality(spark.readStream.schema(df.schema).parquet(src), out, str(tmp_path / "c"), late="40 days")
+    whole = spark.createDataFrame(everything, schema).select(F.to_timestamp("d").alias("created_at"), "client_id", "processing_status")
+    status = lambda s: F.count_if(F.col("processing_status") == s)
+    want = (whole.groupBy("client_id", F.window("created_at", "30 days", "1 day").alias("w")).agg(F.count("*").alias("total"), status("ok").alias("ok_count"), status("requires_review").alias("review_count"))
+            .select("client_id", F.col("w.end").alias("window_end"), "total", "ok_count", "review_count"))
+    assert same(W.read_version(spark, out), want)
+
+
+def test_buckets_touch_what_changes(spark, tmp_path):
+    base = str(tmp_path / "t")
+    first = spark.range(500).select("id", F.lit(0).alias("v"))
+    assert B.read_buckets(spark, base) is None
+    assert sorted(B.upsert_buckets(first, base, 0, ["id"], buckets=16)) == list(range(16))
+    some = spark.createDataFrame([(3, 7), (900, 8)], "id long, v int")
+    touched = B.upsert_buckets(some, base, 1, ["id"], buckets=16)
+    written = [p.name for p in (tmp_path / "t/data/version=1").iterdir() if p.name.startswith("_bucket=")]
+    assert len(written) == len(touched) <= 2
+    B.upsert_buckets(some, base, 1, ["id"], buckets=16)   # the same version again
+    got = {r.id: r.v for r in W.read_version(spark, base).collect()}
+    assert got == {**{i: 0 for i in range(500)}, 3: 7, 900: 8}
+    assert B.read_buckets(spark, base, before=1).count() == 500
+    assert {r.id for r in B.read_buckets(spark, base, touched).collect()} >= {3, 900} and B.read_buckets(spark, base, [77]).count() == 0
+    assert B.expire_versions(spark, base, keep=1) == len(touched) and W.read_version(spark, base).count() == 501
+
+
+def test_appended_buckets_are_compacted(spark, tmp_path):
+    base = str(tmp_path / "t")
+    for v in range(6):
+        B.append_buckets(spark.range(v * 10, v * 10 + 10).select("id", (F.col("id") % 2).alias("k")), base, v, ["k"], "id", buckets=4, compact=3)
+    pieces = B.manifest(spark, base)
+    assert max(map(len, pieces.values())) <= 3
+    assert sorted(r.id for r in B.read_buckets(spark, base).collect()) == list(range(60))
