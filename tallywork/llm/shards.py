@@ -23,8 +23,8 @@ from .common import column, store
 
 #: Children per node of the tree that the matrix is drawn down.
 FAN = 8
-#: Rows that are ordered in one task of the second permutation, about.
-BUCKET_ROWS = 8192
+#: Rows that are ordered together in the second permutation, about.
+BUCKET_ROWS = 2048
 #: A matrix of up to so many counts is sent to all executors; a larger one is joined by partition.
 SENT_COUNTS = 4_000_000
 PLACES = (1 << 33) - 1
