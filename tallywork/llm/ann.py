@@ -174,7 +174,8 @@ def nearest(df: DataFrame, query_rows, k: int = 20, id_col: str = "vec_id", vect
     all other rows.  Ties go to the smaller id; with fewer rows, all are returned.
     Vectors that are null, zero, hold a null or non-finite component, or differ in
     length from the most frequent one (of those, the longest) take no part, nor do rows
-    with a null id; of rows that share an id and a vector one counts.  Other columns are
+    with a null id; of rows that share an id and a vector one counts, and of several
+    vectors under one id, as query or as candidate, the pair that scores best.  Other columns are
     ignored; an empty table gives an empty result.  The index is fitted on at most
     ``SAMPLE`` rows and holds every row.  Lists are worked on in parts of about ``PART``
     rows by ``PART`` queries, so a list that holds most rows is spread over many tasks.
@@ -223,13 +224,21 @@ def nearest(df: DataFrame, query_rows, k: int = 20, id_col: str = "vec_id", vect
         if held.num_rows and queries.num_rows:
             ids, qids = np.array(held["vec_id"].to_pylist()), queries["query_id"].to_pylist()
             v, q, floor = matrix(held["v"].to_pylist()), matrix(queries["q"].to_pylist()), queries["floor"].to_pylist()
+            distinct, which = np.unique(ids, return_inverse=True)
             for i, rough in zip(range(len(q)), q @ v.T):
                 rough[ids == qids[i]] = -np.inf
-                cut = np.partition(rough, -k)[-k] if len(rough) > k else -np.inf
+                each = rough
+                if len(distinct) < len(ids):   # an id's best vector counts
+                    each = np.full(len(distinct), -np.inf)
+                    np.maximum.at(each, which, rough)
+                cut = np.partition(each, -k)[-k] if len(each) > k else -np.inf
                 cut = max(cut - 1e-9 * (1 + abs(cut)) if np.isfinite(cut) else -np.inf, floor[i])
                 some = np.flatnonzero((rough >= cut) & np.isfinite(rough))
                 score = (v[some] * q[i]).sum(1)
-                order = np.lexsort((ids[some], -score))[:k]
+                order = np.lexsort((ids[some], -score))
+                if len(distinct) < len(ids):
+                    order = order[np.sort(np.unique(ids[some][order], return_index=True)[1])]
+                order = order[:k]
                 answers[0] += [qids[i]] * len(order)
                 answers[1] += ids[some][order].tolist()
                 answers[2] += score[order].tolist()

@@ -125,7 +125,9 @@ def vote_quality(df: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     def make():
         terms = Terms()
         return lambda labels, texts: ((int(y), *terms.of(t)) for y, t in zip(labels, texts))
-    rows = per_batch(known.select("label", "text"), "label int, terms array<int>, weights array<float>", make).limit(max_labelled).collect()  # at most max_labelled rows
+    # ids may repeat in docs, so the bound holds once more, over texts and in an order that no run changes
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.md5("text")).limit(max_labelled)
+    rows = per_batch(known.select("label", "text"), "label int, terms array<int>, weights array<float>", make).collect()  # at most max_labelled rows
     rows.sort(key=lambda r: (r.label, r.terms, r.weights))
     model = shipped(df.sparkSession, Voter([(r.terms, r.weights) for r in rows], [r.label for r in rows], dimensions) if rows else None)
 

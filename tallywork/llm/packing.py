@@ -5,7 +5,7 @@ piece lengths).  A piece is described by its length alone, so pieces are packed
 class: the plan works on one count per length, places many equal pieces into many
 equal bins at once, and is as long as the table of lengths asks for, whatever the
 number of documents.  The driver sees that table and the plan; the pieces are
-numbered within their length and find their places in parallel.
+numbered within their length by the tasks that make them and find their places in parallel.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import at_spaces, per_batch, per_process, pick, store
+from .common import at_spaces, per_process, pick, store
 
-#: Parts of each length class, so that a class that holds most rows is numbered by many tasks.
-PARTS = 32
+#: Documents that are encoded together, and counts per task and length up to which all tasks get them (beyond, they are joined).
 BATCH = 2000
+SENT_COUNTS = 1_000_000
 
 
 def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int,
@@ -135,70 +135,77 @@ class Tokens:
             yield self.whole(parts[0]) + b"".join(map(self.parts.__getitem__, parts[1:]))
 
 
-def token_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32[, ids]``: a document's ids and ``end_id``, cut
-    into pieces of ``capacity`` of which the first may be shorter."""
-    end = array("I", [end_id]).tobytes()
+def token_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+    """``doc_id, piece, start, length, ids, task, nth``: a document's ids and ``end_id``, cut into pieces of
+    ``capacity`` of which the first may be shorter; ``nth`` counts a task's pieces of one length."""
+    schema = StructType([StructField("doc_id", df.schema["doc_id"].dataType), *StructType.fromDDL("piece int, start bigint, length bigint, ids array<int>, task int, nth bigint").fields])
 
-    def make():
-        tokens = per_process(("tokens", tokenizer), lambda: Tokens(tokenizer))
-
-        def work(doc_ids, texts):
-            for doc_id, ids in zip(doc_ids, tokens.of([t or "" for t in texts])):
-                ids += end
-                n, at, piece = len(ids) // 4, 0, 0
-                size = n % capacity or capacity
-                while at < n:
-                    part = ids[4 * at:4 * (at + size)]
-                    row = doc_id, piece, at, size, zlib.crc32(part)
-                    yield (*row, array("I", part).tolist()) if with_ids else row
-                    at, piece, size = at + size, piece + 1, capacity
-        return work
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    kind = df.schema["doc_id"].dataType.simpleString()
-    ids = ", ids array<bigint>" if with_ids else ""
-    return per_batch(df, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint{ids}", make, BATCH)
+        tokens, out = per_process(("tokens", tokenizer), lambda: Tokens(tokenizer)), to_arrow_schema(schema)
+        end, task, seen = array("I", [end_id]).tobytes(), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                docs = batch.slice(at, BATCH)
+                coded = [ids + end for ids in tokens.of([t or "" for t in docs.column(1).to_pylist()])]
+                sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+                pieces = -(-sizes // capacity)
+                first = sizes - (pieces - 1) * capacity
+                doc = np.repeat(np.arange(len(coded)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                length = np.where(piece == 0, first[doc], capacity)
+                start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
+                order = np.argsort(length, kind="stable")
+                found = np.bincount(length, minlength=capacity + 1)
+                nth = np.empty(len(doc), np.int64)
+                nth[order] = np.arange(len(doc)) + np.repeat(seen - np.cumsum(found) + found, found)
+                seen += found
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+                columns = [docs.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), ids.cast(out.field("ids").type), pa.array(np.full(len(doc), task, np.int32)), pa.array(nth)]
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
+
+    return df.mapInArrow(run, schema)
 
 
 def best_fit_pack(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, max_docs: int | None = None, max_cost: int | None = None,
-                  weights: tuple[float, float, float] = (1.0, 0.2, 0.2), rule: str = "norm", with_ids: bool = True,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of all documents with their places: ``doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset``.
+                  weights: tuple[float, float, float] = (1.0, 0.2, 0.2), rule: str = "norm", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pieces of all documents with their places: ``doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset``.
 
     ``max_docs`` and ``max_cost`` bound the pieces of a sequence and the sum of their
     squared lengths; unset they allow whatever ``capacity`` allows.  Null text counts
     as empty: one piece that holds ``end_id``.  Repeated rows are packed each; null
     ids are ids like others; an empty table gives an empty result; other columns are
-    ignored.  Equal lengths are placed by id and piece.
+    ignored.  Equal lengths are placed in the order of the written pieces.
+
+    The task that makes a piece counts it within its length; the counts of earlier tasks shift these numbers, so pieces
+    are never gathered to be numbered, whatever length is common.
     """
-    pieces = store(token_pieces(pick(df, doc_id=id_col, text=text_col), tokenizer, end_id, capacity, with_ids), "pieces")
-    parted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
-    counts = {(r.length, r.part): r.n for r in parted.groupBy("length", "part").agg(F.count("*").alias("n")).collect()}  # at most capacity x PARTS rows
-    by_length: dict[int, int] = {}
-    before = np.zeros((capacity + 1, PARTS), np.int64)
-    for length, part in sorted(counts):
-        before[length, part] = by_length.get(length, 0)
-        by_length[length] = by_length.get(length, 0) + counts[length, part]
-    placed = plan(by_length, capacity, max_docs or capacity, max_cost or capacity * capacity, weights, rule)
-    placed.sort()
-    steps = np.array(placed, np.int64).reshape(-1, 6)
-    by = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
-    numbered = parted.withColumn("number", F.row_number().over(by).cast("long") - 1)
-    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    pieces = store(token_pieces(pick(df, doc_id=id_col, text=text_col), tokenizer, end_id, capacity), "pieces")
+    counts = store(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "counts")
+    by_length = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
+    if counts.count() <= SENT_COUNTS:
+        begins = F.broadcast(begins)
+    steps = np.array(sorted(plan(by_length, capacity, max_docs or capacity, max_cost or capacity * capacity, weights, rule)), np.int64).reshape(-1, 6)
+    numbered = pieces.join(begins, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids", (F.col("nth") + F.col("begin")).alias("number"))
+    schema = StructType([*numbered.schema.fields[:-1], *[StructField(c, LongType()) for c in ("ids_crc32", "sequence_id", "offset")]])
 
     def run(batches):
         import pyarrow as pa
 
-        lengths, firsts = steps[:, 0], steps[:, 1]
-        keys = lengths << 44 | firsts
+        keys = steps[:, 0] << 44 | steps[:, 1]
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            length, part = t["length"].to_numpy(), t["part"].to_numpy()
-            number = t["number"].to_numpy() + before[length, part]
+            length, number = batch.column("length").to_numpy(), batch.column("number").to_numpy()
             s = steps[np.searchsorted(keys, length << 44 | number, "right") - 1]
             nth = number - s[:, 1]
-            t = t.drop_columns(["part", "number"])
-            t = t.append_column("sequence_id", pa.array(s[:, 4] + nth // s[:, 3])).append_column("offset", pa.array(s[:, 5] + nth % s[:, 3] * length))
-            yield from t.to_batches()
+            ids = batch.column("ids")
+            raw, ends = memoryview(ids.flatten().to_numpy().astype("<u4").tobytes()), np.cumsum(4 * length).tolist()
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(crc, pa.int64()), pa.array(s[:, 4] + nth // s[:, 3]), pa.array(s[:, 5] + nth % s[:, 3] * length)],
+                                             names=[*batch.schema.names[:-1], "ids_crc32", "sequence_id", "offset"])
 
     return numbered.mapInArrow(run, schema)

@@ -21,6 +21,8 @@ SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "ap
 ACCOUNT_CUES = ("account", "acct", "ssn", "passport", "konto")
 IBAN_CUES = ("iban",)
 PASSWORD_CUES = ("password", "passwd")   # of the secret cues those whose values may be short
+#: Characters that may stand between a cue and its value, at most.
+GAP = 16
 #: A word between a cue for accounts and its value.
 _NAMED = re.compile(r"[ _-]?(?:number|nummer|num|nr|no|id)(?![a-z])[.]?", re.IGNORECASE | re.ASCII)
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -121,9 +123,9 @@ def phone_at(text: str, at: int) -> int | None:
     return end if end > at + 3 else None
 
 
-def _value_after(text: str, at: int, gap: int = 8) -> int:
+def _value_after(text: str, at: int, gap: int) -> int:
     """Start of the value behind a cue: blanks, one of ``=:#`` and an opening quote may stand between."""
-    limit, marks = at + 2 * gap, 0
+    limit, marks = at + gap, 0
     while at < limit and (c := text[at:at + 1]):
         if c in "=:#":
             marks += 1
@@ -135,26 +137,51 @@ def _value_after(text: str, at: int, gap: int = 8) -> int:
     return at
 
 
-def secret_at(text: str, cue_end: int) -> tuple[int, int] | None:
-    start = _value_after(text, cue_end)
+class Runs:
+    """The last run of a kind of characters that was scanned.  A later start inside it ends where it ends, so that
+    texts full of cues are scanned once."""
+
+    def __init__(self, text: str, inside, trim: str = ""):
+        self.text, self.inside, self.trim = text, inside, trim
+        self.begin = self.end = self.cut = 0
+        self.digit = self.letter = self.other = -1   # last places of a digit, a letter, and anything but a letter
+
+    def at(self, start: int) -> int:
+        """End of the run that holds ``start``, without trailing ``trim``; ``start`` if there is none."""
+        text = self.text
+        if not self.begin <= start < self.end:
+            end = start
+            while end < len(text) and self.inside(text[end]):
+                end += 1
+            self.begin, self.end, self.cut = start, end, end
+            while self.cut > start and text[self.cut - 1] in self.trim:
+                self.cut -= 1
+            self.digit = self.letter = self.other = -1
+            for i in range(start, self.cut):
+                c = text[i]
+                if c in LETTERS:
+                    self.letter = i
+                else:
+                    self.other = i
+                    if c in DIGITS:
+                        self.digit = i
+        return max(start, self.cut)
+
+
+def secret_at(text: str, cue_end: int, start: int, values: Runs, passwords: Runs) -> tuple[int, int] | None:
+    """Bounds of the value that begins at ``start`` behind a cue."""
     between = set(text[cue_end:start])
     if not {"=", ":"} & between:
         return None
     if folded(text[max(0, cue_end - 8):cue_end]).endswith(PASSWORD_CUES):
-        end = start
-        while end < len(text) and not text[end].isspace() and text[end] not in "\"'<>":
-            end += 1
-        while end > start and text[end - 1] in ".,;:!?)]}":
-            end -= 1
+        end = passwords.at(start)
         # Plain letters behind a colon may be prose.
-        return (start, end) if end - start >= 4 and (between & set("=\"'") or set(text[start:end]) - LETTERS) else None
-    end = _run(text, start, VALUE)
-    value = text[start:end]
-    return (start, end) if len(value) >= 16 and DIGITS & set(value) and LETTERS & set(value) else None
+        return (start, end) if end - start >= 4 and (between & set("=\"'") or passwords.other >= start) else None
+    end = values.at(start)
+    return (start, end) if end - start >= 16 and values.digit >= start and values.letter >= start else None
 
 
-def iban_at(text: str, cue_end: int) -> tuple[int, int] | None:
-    start = _value_after(text, cue_end)
+def iban_at(text: str, start: int) -> tuple[int, int] | None:
     end, got = start, ""
     best = None
     while end < len(text) and len(got) < 34:
@@ -170,10 +197,7 @@ def iban_at(text: str, cue_end: int) -> tuple[int, int] | None:
     return best
 
 
-def account_at(text: str, cue_end: int) -> tuple[int, int] | None:
-    named = _NAMED.match(text, cue_end)
-    begin = named.end() if named else cue_end
-    start = _value_after(text, begin)
+def account_at(text: str, cue_end: int, start: int) -> tuple[int, int] | None:
     if start == cue_end:
         return None
     if text[start:start + 1] in DIGITS:
@@ -202,13 +226,17 @@ def url_at(text: str, at: int) -> tuple[int, int] | None:
     return (start, end) if start < at and end > at + 3 else None
 
 
-def find(text: str, anchors) -> list[tuple[str, int, int]]:
+def find(text: str, anchors, gap: int = GAP) -> list[tuple[str, int, int]]:
     """All spans of a text as (kind, start, end), by start and kind; code points, end exclusive.
 
     Per kind the spans are the leftmost that don't overlap; a candidate that
-    fails its check is passed over as a whole.
+    fails its check is passed over as a whole.  Values behind cues begin at most
+    ``gap`` characters after them.  Anchors inside a found span of their kind are passed over unread, and
+    runs are scanned once, so the time grows with the text's length.
     """
     spans, done = [], dict.fromkeys(KINDS, 0)
+    values = Runs(text, VALUE.__contains__)
+    passwords = Runs(text, lambda c: not c.isspace() and c not in "\"'<>", ".,;:!?)]}")
     digits_done = 0
     for last, (what, size) in anchors.iter(folded(text)):
         at = last + 1 - size
@@ -234,9 +262,15 @@ def find(text: str, anchors) -> list[tuple[str, int, int]]:
                 if 10 <= sum(c in DIGITS for c in text[at:end]) <= 15:
                     spans.append(("phone", at, end))
         else:
-            got = (url_at(text, at) if what == "scheme" else secret_at(text, last + 1) if what == "secret"
-                   else iban_at(text, last + 1) if what == "iban" else account_at(text, last + 1))
-            kind = "url" if what == "scheme" else what
+            kind, got = ("url" if what == "scheme" else what), None
+            if what == "scheme":
+                got = url_at(text, at) if at >= done["url"] else None
+            else:
+                named = _NAMED.match(text, last + 1) if what == "account" else None
+                start = _value_after(text, named.end() if named else last + 1, gap)
+                if start >= done[kind]:
+                    got = (secret_at(text, last + 1, start, values, passwords) if what == "secret"
+                           else iban_at(text, start) if what == "iban" else account_at(text, last + 1, start))
             if got and got[0] >= done[kind]:
                 spans.append((kind, *got))
                 done[kind] = got[1]
@@ -259,7 +293,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = GAP) -> DataFrame:
     """Spans and redacted text of every row: ``doc_id, spans, redacted``.
 
     A row per input row, whatever its id: repeated and null ids are kept.  Null
@@ -272,7 +306,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         anchors = per_process(("pii",), automaton)
 
         def row(doc_id, text):
-            spans = find(text or "", anchors)
+            spans = find(text or "", anchors, gap)
             clean = redact(text or "", [s for s in spans if s[0] != "url"])
             return doc_id, [{"kind": k, "start": a, "end": b} for k, a, b in spans], clean
         return row
@@ -282,9 +316,9 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return per_row(rows, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>, redacted string", make)
 
 
-def redact_pii(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("url",)) -> DataFrame:
+def redact_pii(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("url",), gap: int = GAP) -> DataFrame:
     """``df`` with its spans, but for the kinds in ``keep``, replaced by ``[KIND]``; null texts and other columns stay."""
     def make():
         anchors = per_process(("pii",), automaton)
-        return lambda text: redact(text, [s for s in find(text, anchors) if s[0] not in keep])
+        return lambda text: redact(text, [s for s in find(text, anchors, gap) if s[0] not in keep])
     return with_text(df, text_col, make)

@@ -82,10 +82,12 @@ def _levels(stats: DataFrame) -> DataFrame:
 
 
 def _quantile_bins(rows: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
-    """Per ``keys`` the smallest ``bin`` up to which each share of the rows lies: columns q0, q1, ..."""
+    """Per ``keys`` the smallest ``bin`` up to which each share of the rows lies: columns q0, q1, ...
+
+    Counts per bin are written first: what then meets by ``keys`` is a row per bin, however many tasks counted."""
     from pyspark.sql import Window
 
-    counted = rows.groupBy(*keys, "bin").agg(F.count("*").alias("c"))
+    counted = store(rows.groupBy(*keys, "bin").agg(F.count("*").alias("c")), "bins")
     by = Window.partitionBy(*keys)
     run = counted.select(*keys, "bin", F.sum("c").over(by.orderBy("bin")).alias("run"), F.sum("c").over(by).alias("all"))
     return run.groupBy(*keys).agg(*[F.min(F.when(F.col("run") >= F.ceil(s * F.col("all")), F.col("bin"))).alias(f"q{i}") for i, s in enumerate(shares)])

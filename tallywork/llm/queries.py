@@ -55,7 +55,7 @@ def op3_line_dedup(spark, sf_dir):
 
 @query
 def op4_packing(spark, sf_dir):
-    return best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024, with_ids=False)
+    return best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
 #: The digests from the table itself: what a reversible format must give back.
