@@ -188,46 +188,131 @@ def test_votes_on_held_out_texts(docs, spark):
     assert classify.vote_quality(docs(*EDGES).limit(0), labels).collect() == []
 
 
+def plain_position(p, own, i):
+    """Shares of all symbols at a position by itself, in the window that scores it."""
+    begin = 0 if i < attention.WINDOW else (i - attention.WINDOW) // attention.STRIDE * attention.STRIDE + attention.STRIDE
+    start, classes = p["embed"].shape[0] - 1, p["outc"].shape[1]
+    x = np.append(own[begin - 1] if begin else start, own[begin:i]).astype(np.int64)
+    f = attention.features(p, x[None], 0)[0, -1]
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    by_class = soft(f @ p["outc"] + p["pairc"][x[-1]])
+    return np.concatenate([by_class[c] * soft(f @ p["outm"] + p["pairm"][x[-1], c]) for c in range(classes)])
+
+
 def test_attention_gradients_and_windows():
     rnd = np.random.default_rng(13)
-    p = attention.initial(rnd.integers(0, 5, (9, 8)), width=4, hidden=5)
-    p = {k: v.astype(np.float64) for k, v in p.items()}
-    x = rnd.integers(0, 9, (3, 7))
-    y = rnd.integers(-1, 8, (3, 7))
+    p = {k: v.astype(np.float64) for k, v in attention.initial(rnd.integers(0, 5, (9, 8)), 2, width=4, hidden=5).items()}
+    x, y = rnd.integers(0, 9, (3, 40)), rnd.integers(-1, 8, (3, 40))
     loss, g = attention.gradients(p, x, y)
+    assert set(g) == set(p) - set(attention.FIXED)
     for k in g:
         at = tuple(rnd.integers(0, s) for s in p[k].shape)
         moved = {**p, k: p[k].copy()}
         moved[k][at] += 1e-5
         assert abs((attention.gradients(moved, x, y)[0] - loss) / 1e-5 - g[k][at]) < 1e-3, k
     texts = [rnd.integers(0, 8, n) for n in (1, 0, 5, 63, 64, 65, 96, 97, 400)]
-    for own, got in zip(texts, attention.log_probabilities(p, texts, rows=3)):
-        assert len(own) == len(got)
-        for i in range(len(own)):   # each position by itself, in the window that scores it
-            begin = 0 if i < attention.WINDOW else (i - attention.WINDOW) // attention.STRIDE * attention.STRIDE + attention.STRIDE
-            some = np.append(own[begin - 1] if begin else 8, own[begin:i])[None]
-            z = attention.forward(p, some, 0)[0, -1]
-            assert abs(z[own[i]] - np.log(np.exp(z).sum()) - got[i]) < 1e-3
-
-
-def test_lm_trains_on_every_id_and_scores_with_half_a_window(docs):
+    got, marked = attention.log_probabilities(p, np.concatenate(texts), np.array([len(t) for t in texts]), 1, rows=3)
+    at = 0
+    for own in texts:
+        for i in range(len(own)):
+            share = plain_position(p, own, i)
+            assert abs(share.sum() - 1) < 1e-6
+            assert abs(np.log(share[own[i]]) - got[at + i]) < 1e-3 and abs(np.log(share[:4].sum()) - marked[at + i]) < 1e-3
+        at += len(own)
+
+
+def test_lm_trains_on_every_id_and_scores_with_half_a_window(docs, monkeypatch):
+    monkeypatch.setattr(lm, "PACKED", 7)
     rnd = random.Random(17)
     rows = [(i, " ".join(rnd.choice(["ba", "dori", "kune", "lo"]) for _ in range(n))) for i, n in enumerate([1, 20, 62, 63, 64, 65, 130, 3000])] + EDGES
     coder = lm._subwords(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    there = Counter(i for _, t in rows for i in coder.of([*words(t), lm.END])[0].tolist())
-    got = lm._gathered(docs(*rows), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).where("window IS NOT NULL").collect()
-    windows = np.array([np.frombuffer(r.window, "<u2") for r in got])
-    assert windows.shape[1] == attention.WINDOW + 1
-    targets = Counter(windows[:, 1:].ravel().tolist())
-    del targets[lm._NONE]
-    assert targets == there
-    p = attention.initial(np.ones((9, 8)))
+    ids = lambda t: coder.stream(coder.of([*words(t), lm.END]))[0].tolist()
+    there, after = Counter(i for _, t in rows for i in ids(t)), Counter(pair for _, t in rows for pair in zip([coder.begin, *ids(t)], ids(t)))
+    got = lm._gathered(docs(*rows), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    windows = lm._windows([r.windows for r in got.where("windows IS NOT NULL").collect()], coder.kind)
+    targets, pairs = Counter(windows[:, 1:].ravel().tolist()), Counter(zip(windows[:, :-1].ravel().tolist(), windows[:, 1:].ravel().tolist()))
+    del targets[coder.none]
+    assert targets == there and {k: v for k, v in pairs.items() if k[1] != coder.none} == after
+    counted = {bytes(r.word): r.c for r in got.where("word IS NOT NULL").groupBy("word").agg(F.sum("c").alias("c")).collect()}
+    assert counted == Counter(w for _, t in rows for w in [*words(t), lm.END])
+    p = attention.initial(np.ones((9, 8)), 2)
     own = np.arange(400) * 7 % 8
-    base = attention.log_probabilities(p, [own])[0]
+    base = attention.log_probabilities(p, own, np.array([400]), 1)[0]
     for i in range(64, 400, 13):   # an id sees the 32 ids before it at least
         moved = own.copy()
         moved[i - 32] = (moved[i - 32] + 1) % 8
-        assert attention.log_probabilities(p, [moved])[0][i] != base[i], i
+        assert attention.log_probabilities(p, moved, np.array([400]), 1)[0][i] != base[i], i
+
+
+def small_model(seed):
+    """A model with random weights over the subwords of invented words."""
+    rnd = np.random.default_rng(seed)
+    coder = lm.Subwords(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    syllables = [b"ba", b"dori", b"ku", b"ne", b"the", b"ing", b"xq", "é".encode(), b"7"]
+    found = sorted({b"".join(rnd.choice(syllables) for _ in range(n)) for n in (1, 2, 3) for _ in range(400)})
+    counts = np.zeros(coder.end + 1, np.int64)
+    ids, sizes = coder.stream(coder.of([*found, lm.END]))
+    np.add.at(counts, ids, rnd.integers(1, 50, len(ids)))
+    model = lm.Model(counts, coder.begins)
+    model.connect(rnd.integers(0, 3, (lm.SYMBOLS + 1, lm.SYMBOLS)) * model.exists)
+    for k in ("outc", "outm", "embed"):
+        model.weights[k] = model.weights[k] * 8
+    return coder, model, found
+
+
+def test_next_words_share_a_mass_of_one_at_most():
+    coder, model, found = small_model(21)
+    rnd = random.Random(22)
+    for n in (0, 1, 5, 40, 90):
+        context = [rnd.choice(found) for _ in range(n)]
+        total = 0.0
+        for word in [*found, lm.END]:
+            text = [*context, word] if word == lm.END else [*context, word, lm.END]
+            ids, sizes = coder.stream(coder.of(text))
+            logs = lm.word_logs(*model.log10(ids, np.array([len(ids)])), sizes, np.arange(len(text)) == len(text) - 1)
+            total += 10.0 ** logs[n]
+        assert 0 < total <= 1 + 1e-5, (n, total)
+
+
+def test_classes_hold_word_begins_or_others_and_shares_sum_to_one():
+    coder, model, _ = small_model(23)
+    assert ((model.symbol < lm.SYMBOLS // 2) == coder.begins).all()
+    total = np.bincount(model.symbol, 10.0 ** model.within, lm.SYMBOLS)
+    assert np.allclose(total[model.exists], 1)
+
+
+def test_lm_score_equals_a_plain_recomputation(docs, monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 20)
+    monkeypatch.setattr(lm, "HEAD", 15)
+    kept = {}
+
+    def keeping(windows, model, *more):
+        kept["model"] = model
+        kept["weights"] = round_of(windows, model, *more)
+        return kept["weights"]
+    round_of = lm._round
+    monkeypatch.setattr(lm, "_round", keeping)
+    rnd = random.Random(19)
+    word = lambda: "".join(rnd.choice(["ba", "do", "ri", "ku", "ne"]) for _ in range(rnd.randint(1, 3)))
+    rows = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 3, 30, 90, 40])] + [(50, "ba unseen do"), (51, "")]
+    got = {r.doc_id: r.score for r in lm.lm_scores(docs(*rows), F.col("doc_id") < 50, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    seen = Counter(w for i, t in rows if i < 50 for w in [*words(t), lm.END])
+    coder, model, n = lm._subwords(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), kept["model"], sum(seen.values())
+    p = kept["weights"]
+    for i, t in rows:
+        text = [*words(t), lm.END]
+        parts = [coder.stream(coder.of([w]))[0].tolist() for w in text]
+        ids = [x for part in parts for x in part]
+        own = model.symbol[ids]
+        shares = [plain_position(p, own, k) for k in range(len(ids))]
+        begins = [s[:lm.SYMBOLS // 2].sum() for s in shares]
+        score, at = 0.0, 0
+        for w, part in zip(text, parts):
+            own_share = np.prod([shares[at + k][own[at + k]] * 10 ** model.within[ids[at + k]] for k in range(len(part))]) / begins[at]
+            at += len(part)
+            own_share *= begins[at] if w != lm.END else 1.0
+            score += np.log10((1 - lm.MIX) * own_share + lm.MIX * seen[w] / n)
+        assert abs(score - got[i]) < 1e-3 * len(text), (i, score, got[i])
 
 
 def test_lm_scores(docs, monkeypatch):
@@ -271,21 +356,6 @@ def test_lm_score_is_the_same_for_any_size_of_the_word_table(docs, monkeypatch):
         assert np.allclose([x for _, x in some], [x for _, x in scores[2]], rtol=1e-6, atol=1e-6)
 
 
-def test_symbol_and_id_shares_sum_to_one():
-    rnd = np.random.default_rng(15)
-    counts = np.where(rnd.random(2000) < 0.4, rnd.integers(0, 50, 2000), 0)
-    counts[:5] += 1000
-    model = lm.Model(counts)
-    seen = np.flatnonzero(counts)
-    before, ids = rnd.integers(0, lm.SYMBOLS + 1, 3000), rnd.choice(seen, 3000)
-    pairs, n = np.unique(before << 32 | ids, return_counts=True)
-    model.connect(pairs >> 32, pairs & 0xFFFFFFFF, n)
-    for b in (0, 7, lm.SYMBOLS):
-        share = 10.0 ** model.within[b, model.column]
-        total = np.bincount(model.symbol, share, lm.SYMBOLS)
-        assert np.allclose(total[np.unique(model.symbol)], 1, atol=1e-3)
-
-
 def test_pipeline_keeps_clean_texts_and_drops_planted_ones(spark, tmp_path):
     pipeline = importlib.import_module("corpus_pipeline")
     rnd = random.Random(16)
