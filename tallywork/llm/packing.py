@@ -16,7 +16,7 @@ from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .common import at_spaces, per_process, pick, store
 
@@ -125,20 +125,25 @@ class Tokens:
 
     def of(self, texts: list[str]):
         cut = [at_spaces(text) for text in texts]
-        wanted = set().union(*(parts[1:] for parts in cut))
-        new = [p for p in wanted if p not in self.parts]
-        if len(self.parts) + len(new) > self.keep:
-            self.parts.clear()
-            new = list(wanted)
-        self.learn(new)
-        for parts in cut:
-            yield self.whole(parts[0]) + b"".join(map(self.parts.__getitem__, parts[1:]))
+        got = [list(map(self.parts.get, parts[1:])) for parts in cut]
+        open_ = [i for i, g in enumerate(got) if None in g]
+        if open_:
+            new = {p for i in open_ for p, ids in zip(cut[i][1:], got[i]) if ids is None}
+            if len(self.parts) + len(new) > self.keep:
+                self.parts.clear()
+                new = {p for i in open_ for p in cut[i][1:]}
+            self.learn(list(new))
+            for i in open_:
+                got[i] = map(self.parts.__getitem__, cut[i][1:])
+        for parts, ids in zip(cut, got):
+            yield self.whole(parts[0]) + b"".join(ids)
 
 
 def token_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """``doc_id, piece, start, length, ids, task, nth``: a document's ids and ``end_id``, cut into pieces of
-    ``capacity`` of which the first may be shorter; ``nth`` counts a task's pieces of one length."""
-    schema = StructType([StructField("doc_id", df.schema["doc_id"].dataType), *StructType.fromDDL("piece int, start bigint, length bigint, ids array<int>, task int, nth bigint").fields])
+    ``capacity`` of which the first may be shorter; ``nth`` counts a task's pieces of one length.  Ids are
+    packed, four bytes each: written and read as they are."""
+    schema = StructType([StructField("doc_id", df.schema["doc_id"].dataType), *StructType.fromDDL("piece int, start bigint, length bigint, ids binary, task int, nth bigint").fields])
 
     def run(batches):
         import pyarrow as pa
@@ -163,7 +168,8 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
                 nth = np.empty(len(doc), np.int64)
                 nth[order] = np.arange(len(doc)) + np.repeat(seen - np.cumsum(found) + found, found)
                 seen += found
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+                ends = np.append(0, np.cumsum(4 * length)).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(coded))])
                 columns = [docs.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), ids.cast(out.field("ids").type), pa.array(np.full(len(doc), task, np.int32)), pa.array(nth)]
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
@@ -192,7 +198,7 @@ def best_fit_pack(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 10
         begins = F.broadcast(begins)
     steps = np.array(sorted(plan(by_length, capacity, max_docs or capacity, max_cost or capacity * capacity, weights, rule)), np.int64).reshape(-1, 6)
     numbered = pieces.join(begins, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids", (F.col("nth") + F.col("begin")).alias("number"))
-    schema = StructType([*numbered.schema.fields[:-1], *[StructField(c, LongType()) for c in ("ids_crc32", "sequence_id", "offset")]])
+    schema = StructType([*numbered.schema.fields[:4], StructField("ids", ArrayType(IntegerType())), *[StructField(c, LongType()) for c in ("ids_crc32", "sequence_id", "offset")]])
 
     def run(batches):
         import pyarrow as pa
@@ -202,10 +208,12 @@ def best_fit_pack(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 10
             length, number = batch.column("length").to_numpy(), batch.column("number").to_numpy()
             s = steps[np.searchsorted(keys, length << 44 | number, "right") - 1]
             nth = number - s[:, 1]
-            ids = batch.column("ids")
-            raw, ends = memoryview(ids.flatten().to_numpy().astype("<u4").tobytes()), np.cumsum(4 * length).tolist()
-            crc = [zlib.crc32(raw[a:b]) for a, b in zip([0, *ends], ends)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(crc, pa.int64()), pa.array(s[:, 4] + nth // s[:, 3]), pa.array(s[:, 5] + nth % s[:, 3] * length)],
+            raw = b"".join(batch.column("ids").to_pylist())
+            ends = np.append(0, np.cumsum(length))
+            view, cuts = memoryview(raw), (4 * ends).tolist()
+            crc = [zlib.crc32(view[a:b]) for a, b in zip(cuts, cuts[1:])]
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(raw, "<i4")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], ids, pa.array(crc, pa.int64()), pa.array(s[:, 4] + nth // s[:, 3]), pa.array(s[:, 5] + nth % s[:, 3] * length)],
                                              names=[*batch.schema.names[:-1], "ids_crc32", "sequence_id", "offset"])
 
     return numbered.mapInArrow(run, schema)
