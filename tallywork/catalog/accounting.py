@@ -40,6 +40,17 @@ def _(t):
     return A.items_by_category(t.items, t.suppliers, t.categories)
 
 
+@query("lim_7_category_ranking", f"""
+SELECT category_slug, supplier_nif, description, vat_rate::DOUBLE AS vat_rate, row_number() OVER (ORDER BY total_gross DESC NULLS LAST, category_slug NULLS FIRST, supplier_nif, description, vat_rate NULLS FIRST) AS place
+FROM ({BY_CATEGORY})""", "items suppliers categories")
+def _(t):
+    from pyspark.sql import functions as F
+    from ..operators.skew import position
+    order = [F.desc_nulls_last("total_gross"), "category_slug", "supplier_nif", "description", "vat_rate"]
+    ranked = position(A.items_by_category(t.items, t.suppliers, t.categories), [], [c if not isinstance(c, str) else F.col(c).asc() for c in order], "place")
+    return ranked.select("category_slug", "supplier_nif", "description", "vat_rate", "place")
+
+
 @query("jn_2_items_with_category", f"""
 SELECT category_slug, supplier_nif, sum(occurrences)::BIGINT AS occurrences FROM ({BY_CATEGORY}) GROUP BY 1, 2""",
        "items suppliers categories")

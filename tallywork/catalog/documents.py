@@ -271,6 +271,17 @@ def _(t):
     return S.line_checks(lines(t)).select("document_id", F.size("line_items").alias("lines"), F.size("warnings").alias("warnings"))
 
 
+@query("val_4_line_amounts", """
+SELECT id AS document_id, CASE WHEN id % 2 = 0 THEN '1.50|' || (id % 9)::VARCHAR ELSE '1.50' END AS amounts,
+  CASE WHEN id % 2 = 0 THEN 'line 1 missing quantity|line 2 missing description|line 2 missing unit_price' ELSE 'line 1 missing quantity|line 2 not an object' END AS warnings FROM invoices""", "invoices")
+def _(t):
+    kind = "CAST(1.5 AS DECIMAL(6,2))"
+    arr = (f"array(named_struct('description', 'work', 'quantity', CAST(NULL AS INT), 'unit_price', {kind}, 'subtotal', {kind}), CASE WHEN id % 2 = 0 THEN "
+           f"named_struct('description', CAST(NULL AS STRING), 'quantity', 1, 'unit_price', CAST(NULL AS DECIMAL(6,2)), 'subtotal', CAST(id % 9 AS DECIMAL(6,2))) END)")
+    checked = S.line_checks(t.invoices.select(F.col("id").alias("document_id"), F.expr(arr).alias("line_items")))
+    return checked.select("document_id", F.array_join(F.transform("line_items", lambda x: F.regexp_replace(x["subtotal"], "[.]00$", "")), "|").alias("amounts"), F.array_join("warnings", "|").alias("warnings"))
+
+
 def merged(t):
     return S.reconcile(S.header_guards(headers(t)), S.line_checks(lines(t)), S.totals_guards(totals(t)))
 

@@ -229,6 +229,30 @@ def _(t):
     return K.exact_totals(f).select("id", "outcome", "valid", "discrepancy")
 
 
+# Longer numbers and exponents: thousands as 1e3, nine decimals, and one digit more than can be kept.
+LONG = "(SELECT id, CASE WHEN id % 3 = 0 THEN (id % 1000) || 'e3' WHEN id % 3 = 1 THEN (id % 1000) || '.123456789' ELSE (id % 1000) || '.5E-2' END AS s, CASE WHEN id % 7 = 0 THEN '1e-19' ELSE '0.000000001' END AS v FROM invoices)"
+
+
+@query("val_2_long_numbers", f"""
+SELECT id, CASE WHEN gap IS NULL THEN 'unreadable' WHEN gap = 0 THEN 'exact' ELSE 'mismatch' END AS outcome, CAST(gap AS DOUBLE) AS discrepancy FROM (
+  SELECT id, CASE WHEN v <> '1e-19' THEN abs(CASE WHEN id % 3 = 0 THEN (id % 1000) * 1000 WHEN id % 3 = 1 THEN (id % 1000) + 0.123456789 ELSE (id % 1000) * CAST(0.01 AS DECIMAL(4,2)) + 0.005 END
+    + 0.000000001 - CASE WHEN id % 5 = 0 THEN CAST((id % 1000) AS DECIMAL(30,12)) + 0.123456790 ELSE 1 END) END AS gap FROM {LONG})""", "invoices")
+def _(t):
+    s = F.expr("CASE WHEN id % 3 = 0 THEN concat(id % 1000, 'e3') WHEN id % 3 = 1 THEN concat(id % 1000, '.123456789') ELSE concat(id % 1000, '.5E-2') END")
+    g = F.expr("CASE WHEN id % 5 = 0 THEN concat(id % 1000, '.12345679') ELSE '1' END")
+    f = t.invoices.select("id", s.alias("subtotal"), F.expr("CASE WHEN id % 7 = 0 THEN '1e-19' ELSE '0.000000001' END").alias("vat_amount"), g.alias("total"))
+    return K.exact_totals(f).select("id", "outcome", F.col("discrepancy").cast("double").alias("discrepancy"))
+
+
+@query("r_1_broken_queue_rows", """
+SELECT id, 'priority' AS rule FROM queue WHERE id % 7 = 0 UNION ALL SELECT id, 'status' FROM queue WHERE id % 11 = 0
+UNION ALL SELECT id, 'reason_code' FROM queue WHERE id % 13 = 0""", "queue")
+def _(t):
+    q = t.queue.withColumns({"priority": F.expr("CASE WHEN id % 7 = 0 THEN 9 ELSE priority END"), "status": F.expr("CASE WHEN id % 11 = 0 THEN 'gone' ELSE status END"),
+                             "reason_code": F.expr("CASE WHEN id % 13 = 0 THEN 'other' ELSE reason_code END")})
+    return K.violations(q, "id", K.queue_item_rules())
+
+
 @query("r_1_invoice_violations", """
 SELECT id, 'totals_agree' AS rule FROM invoices WHERE abs(total_with_vat - total_without_vat - vat_total) > 0.02""", "invoices")
 def _(t):

@@ -111,6 +111,45 @@ def _(t):
     return Q.confidence_entries(t.invoices, "id")
 
 
+# Confidences with nine decimals, one field each.
+NANO = "(id * 7919 + client_id * 104729) % 1000000007"
+FIELD = "CASE WHEN id % 2 = 0 THEN 'total_with_vat' ELSE 'currency' END"
+
+
+def nano_invoices(t):
+    from pyspark.sql import functions as F
+    return t.invoices.withColumn("field_confidence", F.expr(f"map({FIELD}, CAST({NANO} AS DOUBLE) / 1000000000D)"))
+
+
+@query("json_2_nine_decimals", f"SELECT id, {FIELD} AS field_name, ({NANO})::DOUBLE / 1e9 AS confidence FROM invoices", "invoices")
+def _(t):
+    return Q.confidence_entries(nano_invoices(t), "id")
+
+
+@query("ag_19_nine_decimals", f"""
+SELECT k.legal_name AS client_name, field_name, {half_up('sum(v)', '(1000000000 * count(*))', 4)} AS avg_confidence
+FROM (SELECT client_id, {FIELD} AS field_name, {NANO} AS v FROM invoices WHERE {W30}) x JOIN clients k ON k.id = x.client_id GROUP BY 1, 2""", "invoices clients")
+def _(t):
+    return Q.field_confidence_by_client(nano_invoices(t), t.clients, 30, as_of(t.invoices))
+
+
+@query("ag_28_nine_decimals", f"""
+SELECT client_id, field_key, count(*) AS sample_size, {half_up('sum(v)', '(1000000000 * count(*))', 4)} AS avg_confidence,
+  {half_up('CAST(2 * quantile_cont(v, 0.5) AS BIGINT)', '2000000000', 4)} AS median_confidence
+FROM (SELECT client_id, {FIELD} AS field_key, {NANO} AS v FROM invoices WHERE {W30}) GROUP BY 1, 2""", "invoices")
+def _(t):
+    return Q.confidence_rollup(nano_invoices(t), as_of(t.invoices))
+
+
+@query("ag_36_nine_decimals", f"""
+SELECT id, ((2 * (v * w + 500000000::BIGINT * (15 - w)) + 15 * 10000000) // (30 * 10000000)) / 100.0::DOUBLE AS confidence
+FROM (SELECT id, {NANO} AS v, CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END AS w FROM invoices)""", "invoices")
+def _(t):
+    from pyspark.sql import functions as F
+    from ..functions import confidence
+    return nano_invoices(t).select("id", confidence.overall(F.col("field_confidence")).cast("double").alias("confidence"))
+
+
 CONF = f"(SELECT i.client_id, c.field_key, c.conf_c FROM confidences c JOIN invoices i ON i.id = c.invoice_id WHERE {W30})"
 
 
@@ -229,6 +268,19 @@ def _(t):
     return S.critical_backlog(t.queue, as_of(t.queue))
 
 
+@query("ag_24_sla_document", f"""
+SELECT c.*, f.uploaded, f.approved, f.pending, (SELECT string_agg(day || ':' || count, ',' ORDER BY day) FROM (SELECT {day('created_at')} AS day, count(*) AS count FROM invoices WHERE {W7} GROUP BY 1)) AS days,
+  (SELECT string_agg(staff_id || ':' || name || ':' || count || ':' || CAST(round(10 * avg_hours) AS BIGINT), ',' ORDER BY count DESC, staff_id) FROM ({APPROVERS.format(d=7)})) AS approvers
+FROM ({CARD}) c, ({FUNNEL}) f""", "invoices approvals queue staff")
+def _(t):
+    from pyspark.sql import functions as F
+    doc = S.sla_document(t.invoices, t.approvals, t.queue, t.staff, 7, as_of(t.invoices))
+    listed = lambda c, one: F.array_join(F.transform(c, one), ",")
+    return doc.select("kpis.*", "funnel.uploaded", "funnel.approved", "funnel.pending",
+                      listed("throughput_by_day", lambda x: F.concat_ws(":", x["day"].cast("string"), x["count"])).alias("days"),
+                      listed("approvers", lambda x: F.concat_ws(":", x["staff_id"], x["name"], x["count"], F.round(10 * x["avg_hours"]).cast("long"))).alias("approvers"))
+
+
 @query("ag_24_sla_bundle", f"""
 SELECT section, count(*) AS entries FROM (
   SELECT 'kpis' AS section FROM ({CARD}) UNION ALL SELECT 'funnel' FROM ({FUNNEL})

@@ -106,6 +106,11 @@ def _(t):
     return R.checklist_verdict(checklist(t))
 
 
+@query("val_8_checklist_issues", "SELECT event_id // 4 AS run_id, 'note ' || event_id AS notes FROM events WHERE event_type = 'error'")
+def _(t):
+    return R.checklist_issues(checklist(t))
+
+
 # --- periods -------------------------------------------------------------------
 
 ENDS = {"W": "CAST(date_trunc('week', created_at) AS DATE) + 6",

@@ -7,7 +7,7 @@ from ..operators.tax import tax_rows
 from ..plans import invoices as I, quality as Q
 from ..session import shared_dir
 from ..sinks import invoices as S, tables as W
-from .base import num, query
+from .base import num, query, stamp
 from .text import UNIT_VALUES, norm
 
 
@@ -108,6 +108,42 @@ def _(t):
     return status.drop("error").join(counts[0].unionByName(counts[1]).unionByName(counts[2]), "view")
 
 
+@query("snk_7_rollup_contents", f"""
+SELECT 'extraction_quality' AS "view", client_id, {stamp("date_trunc('day', created_at)::TIMESTAMP")} AS entry, count(*) AS total, count(*) FILTER (processing_status = 'ok') AS ok_count FROM invoices WHERE {W30} GROUP BY 2, date_trunc('day', created_at)
+UNION ALL SELECT 'supplier_quality', client_id, supplier_id::VARCHAR, count(*), count(*) FILTER (processing_status = 'ok') FROM invoices WHERE {W30} AND supplier_id IS NOT NULL GROUP BY 2, 3
+UNION ALL SELECT 'field_confidence', client_id, field_key, count(*), NULL FROM invoices JOIN confidences ON id = invoice_id WHERE {W30} GROUP BY 2, 3""", "invoices confidences")
+def _(t):
+    now, base = as_of(t.invoices), scratch(t, "rollups")
+    W.refresh_rollups(t.spark, {
+        "extraction_quality": lambda: Q.extraction_rollup(t.invoices, now),
+        "supplier_quality": lambda: Q.supplier_rollup(t.invoices, t.suppliers, now),
+        "field_confidence": lambda: Q.confidence_rollup(t.invoices, now),
+    }, base)
+    read = lambda v, entry, total, ok: t.spark.read.parquet(f"{base}/{v}").select(F.lit(v).alias("view"), "client_id", entry.alias("entry"), F.col(total).alias("total"), ok.alias("ok_count"))
+    return (read("extraction_quality", F.date_format("day", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "total", F.col("ok_count"))
+            .unionByName(read("supplier_quality", F.col("supplier_id").cast("string"), "total", F.col("ok_count")))
+            .unionByName(read("field_confidence", F.col("field_key"), "sample_size", F.lit(None).cast("long"))))
+
+
+@query("snk_1_documents_by_hash", """
+SELECT document_hash, CASE WHEN bool_or(id % 3 = 0) THEN 'again' ELSE 'first' END AS state, count(*) FILTER (id % 3 <> 0) > 0 AS known FROM invoices GROUP BY 1""", "invoices")
+def _(t):
+    rows = t.invoices.select("id", "document_hash")
+    old = rows.where("id % 3 <> 0").select("document_hash").distinct().select("document_hash", F.lit("first").alias("state"), F.lit(True).alias("known"))
+    new = rows.where("id % 3 = 0").select("document_hash", F.lit("again").alias("state"), F.lit(False).alias("known"))
+    return W.merge_latest(old, new, ["document_hash"], ["state"])
+
+
+@query("snk_1_status_by_id", """
+SELECT id, CASE WHEN id % 4 = 0 THEN 'archived' ELSE processing_status END AS processing_status FROM invoices""", "invoices")
+def _(t):
+    from ..sinks.buckets import read_buckets, upsert_buckets
+    base, rows = scratch(t, "by_id"), t.invoices.select("id", "processing_status")
+    upsert_buckets(rows, base, 0, ["id"])
+    upsert_buckets(rows.where("id % 4 = 0").withColumn("processing_status", F.lit("archived")), base, 1, ["id"])
+    return read_buckets(t.spark, base)
+
+
 NOW = "DATE '2009-01-01'"
 GONE = f"issue_date + INTERVAL 10 YEAR < {NOW}"
 

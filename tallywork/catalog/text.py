@@ -170,6 +170,11 @@ def _(t):
                                  text.duration_text(F.col("page_id") * 77777).alias("took"))
 
 
+@query("str_4_edit_distance", "SELECT id, levenshtein(issuer_name, receiver_name) AS edits FROM invoices", "invoices")
+def _(t):
+    return t.invoices.select("id", F.levenshtein("issuer_name", "receiver_name").cast("long").alias("edits"))
+
+
 WEIGHT = "CASE WHEN field_key IN ('invoice_number','issue_date','issuer_name','issuer_nif','total_with_vat') THEN 2 ELSE 1 END"
 
 

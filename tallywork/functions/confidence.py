@@ -11,6 +11,9 @@ WEIGHTS = {
 }
 DEFAULT = 0.5
 REVIEW_BELOW = 0.7
+#: Confidences as exact numbers: 15 decimals are all that a double near one holds.
+EXACT = "decimal(22,15)"
+EXACT_SUM = "decimal(32,15)"
 
 
 def of_field(fc: Column, field: str) -> Column:
@@ -24,9 +27,11 @@ def complete_map(fc: Column) -> Column:
 
 def overall(fc: Column) -> Column:
     """AG-36: weighted mean to two places (half up)."""
-    dec = lambda c: c.cast("decimal(9,6)")
-    total = sum((dec(of_field(fc, f)) * w for f, w in WEIGHTS.items()), F.lit(0).cast("decimal(12,6)"))
-    return F.floor(total * 100 / sum(WEIGHTS.values()) + F.lit(0.5).cast("decimal(2,1)")).cast("decimal(7,0)") / 100
+    total = sum(((of_field(fc, f).cast(EXACT) * w).cast(EXACT_SUM) for f, w in WEIGHTS.items()), F.lit(0).cast(EXACT_SUM))
+    # whole hundredths of the doubled mean, so that halves are met exactly
+    double = 2 * sum(WEIGHTS.values())
+    hundredths = F.floor((total * 200 + sum(WEIGHTS.values())).cast("decimal(36,15)") / double)
+    return hundredths.cast("decimal(9,0)") / 100
 
 
 def needs_review(fc: Column) -> Column:

@@ -21,9 +21,9 @@ def share_pct_even(part: Column, whole: Column, places: int) -> Column:
                     places)
 
 
-def mean(total: Column, n: Column, places: int) -> Column:
-    """total/n for a decimal total, half away from zero; null when n is 0."""
-    return F.round(F.try_divide(total.cast("decimal(26,6)"), F.nullif(n, F.lit(0)).cast("decimal(18,0)")), places)
+def mean(total: Column, n: Column, places: int, kind: str = "decimal(26,6)") -> Column:
+    """total/n for a decimal total that fits ``kind``, half away from zero; null when n is 0."""
+    return F.round(F.try_divide(total.cast(kind), F.nullif(n, F.lit(0)).cast("decimal(18,0)")), places)
 
 
 def hours_between(later: Column, earlier: Column) -> Column:

@@ -129,15 +129,23 @@ def first_time_suppliers(log: DataFrame) -> DataFrame:
 def exact_totals(fields: DataFrame) -> DataFrame:
     """VAL-2: subtotal + vat_amount must equal total exactly; the three arrive as text.
 
-    Numbers of up to 18 digits before and behind the point are compared as they are;
-    longer ones count as unreadable and are never rounded.
+    Numbers of up to 18 digits before and behind the point, exponents written out, are compared as they are;
+    longer ones, and exponents of more than four digits, count as unreadable and are never rounded.
     """
     parts = ["subtotal", "vat_amount", "total"]
     missing = F.lit(False)
     for p in parts:
         missing = missing | F.col(p).isNull()
-    long = r"[.][0-9]{18}[0-9]*[1-9]|[eE]"
-    n = {p: F.when(~F.col(p).rlike(long), F.col(p).try_cast("decimal(36,18)")) for p in parts}
+    def read(p: str) -> Column:
+        c = F.trim(p)
+        exponent = F.regexp_extract(c, r"[eE]([+-]?[0-9]{1,4})$", 1)
+        behind = F.regexp_extract(c, r"[.]([0-9]*)", 1)
+        digits = F.concat(F.regexp_extract(c, r"^[+-]?([0-9]*)", 1), behind)
+        zeros = F.length(digits) - F.length(F.regexp_replace(digits, "0+$", ""))
+        decimals = F.length(behind) - F.coalesce(exponent.try_cast("int"), F.lit(0)) - zeros
+        exact = (decimals <= 18) & (~c.rlike("[eE]") | (exponent != ""))
+        return F.when(exact, c.try_cast("decimal(36,18)"))
+    n = {p: read(p) for p in parts}
     unreadable = n["subtotal"].isNull() | n["vat_amount"].isNull() | n["total"].isNull()
     both = (n["subtotal"] + n["vat_amount"]).cast("decimal(37,18)")
     gap = F.abs(both - n["total"])

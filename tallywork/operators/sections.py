@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.taxid import valid_tax_id
 from .tax import VALID_RATES
 
 MONEY = ["subtotal", "vat_amount", "total"]
 LINE_FIELDS = ["description", "quantity", "unit_price", "subtotal"]
+LINE_MONEY = ["unit_price", "subtotal", "vat_amount", "total"]
 HEADER_FIELDS = ["supplier_name", "supplier_nif", "invoice_number", "invoice_date"]
 
 
@@ -34,15 +35,18 @@ def totals_guards(totals: DataFrame) -> DataFrame:
 
 
 def line_checks(lines: DataFrame) -> DataFrame:
-    """VAL-4: a warning per missing part of a line; lines that are no objects (null) are dropped with one."""
+    """VAL-4: amounts of lines become text, and a part that is missing gives a warning; lines that are no objects (null)
+    are dropped with one."""
+    item = lines.schema["line_items"].dataType.elementType
+    as_text = lambda line: F.struct(*[(line[f.name].cast("string") if f.name in LINE_MONEY else line[f.name]).alias(f.name) for f in item.fields])
+    kind = T.ArrayType(T.StructType([T.StructField(f.name, T.StringType() if f.name in LINE_MONEY else f.dataType) for f in item.fields]))
     def notes(line: Column, i: Column) -> Column:
         at = F.concat(F.lit("line "), (i + 1).cast("string"))
         missing = [F.when(line[c].isNull(), F.concat(at, F.lit(f" missing {c}"))) for c in LINE_FIELDS]
         return F.when(line.isNull(), F.array(F.concat(at, F.lit(" not an object")))).otherwise(_warnings(*missing))
     return lines.withColumns({
         "warnings": F.coalesce(F.flatten(F.transform("line_items", notes)), F.array().cast("array<string>")),
-        "line_items": F.coalesce(F.filter("line_items", lambda x: x.isNotNull()),
-                                 F.array().cast(lines.schema["line_items"].dataType))})
+        "line_items": F.coalesce(F.transform(F.filter("line_items", lambda x: x.isNotNull()), as_text), F.array().cast(kind))})
 
 
 def reconcile(headers: DataFrame, lines: DataFrame, totals: DataFrame, key: str = "document_id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..operators.percentiles import exact_percentiles
 from ..operators.ratios import mean, share_pct
+from ..functions.confidence import EXACT, EXACT_SUM
 from .accounting import display_name
 
 STATUSES = ["ok", "duplicado", "requires_review", "failed", "processing"]
@@ -124,7 +125,7 @@ def confidence_trend(invoices: DataFrame, days: int, as_of: Column) -> DataFrame
 def confidence_entries(invoices: DataFrame, *keep: str) -> DataFrame:
     """JSON-2: one row per key of the per-field confidence map."""
     return invoices.select(*keep, F.explode("field_confidence").alias("field_name", "confidence")).withColumn(
-        "confidence", F.col("confidence").cast("decimal(9,6)"))
+        "confidence", F.col("confidence").cast(EXACT))
 
 
 def field_confidence_by_client(invoices: DataFrame, clients: DataFrame, days: int, as_of: Column) -> DataFrame:
@@ -134,7 +135,7 @@ def field_confidence_by_client(invoices: DataFrame, clients: DataFrame, days: in
            .agg(F.sum("confidence").alias("s"), F.count("confidence").alias("n")))
     names = clients.select(F.col("id").alias("client_id"), F.col("legal_name").alias("client_name"))
     return (per.join(names, "client_id").groupBy("client_name", "field_name")
-            .agg(mean(F.sum("s"), F.sum("n"), 4).alias("avg_confidence"))
+            .agg(mean(F.sum("s"), F.sum("n"), 4, EXACT_SUM).alias("avg_confidence"))
             .orderBy("client_name", "field_name"))
 
 
@@ -191,10 +192,10 @@ def confidence_rollup(invoices: DataFrame, as_of: Column, days: int = 30) -> Dat
     entries = confidence_entries(invoices.where(since("created_at", days, as_of)), "client_id")
     keys = ["client_id", "field_name"]
     base = entries.groupBy(*keys).agg(F.count("confidence").alias("sample_size"),
-                                      mean(F.sum("confidence"), F.count("confidence"), 4).alias("avg_confidence"))
-    med = (exact_percentiles(entries, keys, "confidence", [.5], ["_m"], scale=1_000_000)
+                                      mean(F.sum("confidence"), F.count("confidence"), 4, EXACT_SUM).alias("avg_confidence"))
+    med = (exact_percentiles(entries, keys, "confidence", [.5], ["_m"], scale=10 ** 15)
            .select(F.col("client_id").alias("_c"), F.col("field_name").alias("_f"),
-                   F.round(F.col("_m").cast("decimal(12,7)"), 4).alias("median_confidence")))
+                   F.round(F.col("_m").cast(EXACT), 4).alias("median_confidence")))
     return (base.join(med, base.client_id.eqNullSafe(med._c) & (base.field_name == med._f))
             .select("client_id", F.col("field_name").alias("field_key"), "sample_size",
                     "avg_confidence", "median_confidence"))

@@ -92,7 +92,7 @@ def project_table(projects: DataFrame) -> DataFrame:
 def checklist_verdict(items: DataFrame, run: str = "run_id") -> DataFrame:
     """VAL-8: verdict per run from (run, category, passed, notes) rows.
 
-    Notes stay as rows of :func:`checklist_issues`; here they are only counted.
+    Notes stay as rows of :func:`checklist_issues`, so that a run may have any number; here they are only counted.
     """
     failed = ~F.col("passed")
     critical = failed & F.col("category").isin("security", "error-handling")

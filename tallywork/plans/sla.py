@@ -73,6 +73,22 @@ def critical_backlog(queue: DataFrame, as_of: Column) -> DataFrame:
             .orderBy("created_at"))
 
 
+def sla_document(invoices: DataFrame, approvals: DataFrame, queue: DataFrame, staff: DataFrame, days: int, as_of: Column) -> DataFrame:
+    """AG-24 as one nested row: ``kpis``, ``funnel``, ``throughput_by_day`` and ``approvers``.
+
+    The two lists hold at most a day each of the window and a member of the staff each.  Backlog items, of which there
+    may be any number, stay rows: :func:`critical_backlog`.
+    """
+    one = lambda df, name: df.select(F.struct("*").alias(name))
+    daily = throughput(invoices, days, as_of).agg(F.array_sort(F.collect_list(F.struct("day", "count"))).alias("throughput_by_day"))
+    people = approvers(approvals, invoices, staff, days, as_of).select((-F.col("count")).alias("order"), "staff_id", "name", "count", "avg_hours")
+    people = people.agg(F.transform(F.array_sort(F.collect_list(F.struct("*"))), lambda p: F.struct(p["staff_id"].alias("staff_id"), p["name"].alias("name"), p["count"].alias("count"), p["avg_hours"].alias("avg_hours"))).alias("approvers"))
+    out = one(sla_card(invoices, approvals, queue, days, as_of), "kpis")
+    for part in (one(funnel(invoices, days, as_of), "funnel"), daily, people):   # a row each
+        out = out.withColumn(part.columns[0], part.scalar())
+    return out
+
+
 def sla_bundle(invoices: DataFrame, approvals: DataFrame, queue: DataFrame, staff: DataFrame,
                days: int, as_of: Column) -> DataFrame:
     """AG-24: the five parts as rows ``(section, position key, body)`` with a JSON body.
