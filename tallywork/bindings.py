@@ -13,6 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .plans.quality import latest, store_by_month
 from .session import shared_dir
 
 # Fixed values of the derived tables.
@@ -365,10 +366,13 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def _stored(self, name: str, df: DataFrame) -> DataFrame:
+    def _path(self, name: str) -> str:
         app, root = self.spark.sparkContext.applicationId, shared_dir(self.spark)
         tag = hashlib.sha256(self.dir.encode()).hexdigest()[:12]
-        path = f"{root}/tables/{app}-{tag}/{name}"
+        return f"{root}/tables/{app}-{tag}/{name}"
+
+    def _stored(self, name: str, df: DataFrame) -> DataFrame:
+        path = self._path(name)
         if path not in _STORED:
             df.write.mode("overwrite").parquet(path)
             _STORED.add(path)
@@ -419,6 +423,15 @@ class Tables:
         rules["vat_breakdown"] = f"CASE WHEN {rules['has_bands']} THEN {self._bands()} END"
         return self._stored("invoices", _apply(joined, rules))
 
+    @cached_property
+    def invoices_by_month(self) -> DataFrame:
+        """The invoices in a folder per month of creation, for reports on a window of days."""
+        path = self._path("invoices_by_month")
+        if path not in _STORED:
+            store_by_month(self.invoices, "created_at", path)
+            _STORED.add(path)
+        return self.spark.read.parquet(path)
+
     @staticmethod
     def _bands() -> str:
         """Bands as structs holding every accepted key name; one naming style per invoice."""
@@ -479,7 +492,7 @@ class Tables:
 
 def as_of(df: DataFrame, column: str = "created_at") -> Column:
     """Latest timestamp of a table as a scalar subquery (no driver action)."""
-    return df.agg(F.max(column)).scalar()
+    return latest(df, column)
 
 
 # --- check side -------------------------------------------------------------

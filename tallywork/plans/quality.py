@@ -21,6 +21,35 @@ def since(column: str, days: int, as_of: Column) -> Column:
     return F.col(column) >= as_of - F.make_dt_interval(days=F.lit(days))
 
 
+def month_of(column: str) -> str:
+    """Name of the partition column of a table stored by month of ``column``."""
+    return f"{column}_month"
+
+
+def recent(df: DataFrame, column: str, days: int, as_of: Column) -> DataFrame:
+    """Rows of :func:`since`; of a table stored by month only the months of the window are listed and read."""
+    rows, month = df.where(since(column, days, as_of)), month_of(column)
+    if month not in df.columns:
+        return rows
+    first = F.date_trunc("month", as_of - F.make_dt_interval(days=F.lit(days))).cast("date")
+    return rows.where(F.col(month) >= first)
+
+
+def latest(df: DataFrame, column: str) -> Column:
+    """Newest value of ``column`` as a scalar subquery; of a table stored by month only its last month is read."""
+    month = month_of(column)
+    if month not in df.columns:
+        return df.agg(F.max(column)).scalar()
+    return df.where(F.col(month) >= df.agg(F.max(month)).scalar()).agg(F.max(column)).scalar()
+
+
+def store_by_month(df: DataFrame, column: str, path: str) -> None:
+    """Write ``df`` in a folder per month of ``column``; months are split and merged to files of like size."""
+    month = month_of(column)
+    (df.withColumn(month, F.trunc(F.col(column).cast("date"), "month")).hint("rebalance", month)
+     .write.mode("overwrite").partitionBy(month).parquet(path))
+
+
 def _status(s: str) -> Column:
     return F.col("processing_status") == s
 
@@ -104,7 +133,7 @@ def ai_quality(invoices: DataFrame, days: int, as_of: Column) -> DataFrame:
     """AG-17: confidence, auto-approvable, review and correction rates of the window."""
     decided = F.count_if(F.col("approval_status").isin("approved", "edited", "rejected"))
     n = F.count("*")
-    return invoices.where(since("created_at", days, as_of)).agg(
+    return recent(invoices, "created_at", days, as_of).agg(
         mean(F.sum("llm_confidence"), F.count("llm_confidence"), 4).alias("avg_confidence"),
         share_pct(F.count_if(F.col("llm_confidence") >= F.lit(0.90).cast("decimal(5,2)")), n, 2)
         .alias("auto_approvable_pct"),
@@ -115,7 +144,7 @@ def ai_quality(invoices: DataFrame, days: int, as_of: Column) -> DataFrame:
 
 def confidence_trend(invoices: DataFrame, days: int, as_of: Column) -> DataFrame:
     """AG-18: mean confidence per day, oldest first."""
-    return (invoices.where(since("created_at", days, as_of) & F.col("llm_confidence").isNotNull())
+    return (recent(invoices, "created_at", days, as_of).where(F.col("llm_confidence").isNotNull())
             .groupBy(F.to_date("created_at").alias("day"))
             .agg(mean(F.sum("llm_confidence"), F.count("*"), 4).alias("avg_confidence"),
                  F.count("*").alias("invoice_count"))
@@ -130,7 +159,7 @@ def confidence_entries(invoices: DataFrame, *keep: str) -> DataFrame:
 
 def field_confidence_by_client(invoices: DataFrame, clients: DataFrame, days: int, as_of: Column) -> DataFrame:
     """AG-19, JN-7: mean confidence per client name and field; summed per client before the join."""
-    per = (confidence_entries(invoices.where(since("created_at", days, as_of)), "client_id")
+    per = (confidence_entries(recent(invoices, "created_at", days, as_of), "client_id")
            .groupBy("client_id", "field_name")
            .agg(F.sum("confidence").alias("s"), F.count("confidence").alias("n")))
     names = clients.select(F.col("id").alias("client_id"), F.col("legal_name").alias("client_name"))
@@ -168,7 +197,7 @@ def approximate_latency_percentiles(invoices: DataFrame, accuracy: int = 10_000)
 def extraction_rollup(invoices: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     """AG-26: per client and day; counts the status ``error``, not ``failed``."""
     n = F.count("*")
-    return (invoices.where(since("created_at", days, as_of))
+    return (recent(invoices, "created_at", days, as_of)
             .groupBy("client_id", F.date_trunc("day", "created_at").alias("day"))
             .agg(n.alias("total"), F.count_if(_status("ok")).alias("ok_count"),
                  F.count_if(_status("requires_review")).alias("review_count"),
@@ -178,7 +207,7 @@ def extraction_rollup(invoices: DataFrame, as_of: Column, days: int = 30) -> Dat
 
 def supplier_rollup(invoices: DataFrame, suppliers: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     """AG-27: per client and supplier, with mean processing time in whole ms."""
-    per = (invoices.where(since("created_at", days, as_of) & F.col("supplier_id").isNotNull())
+    per = (recent(invoices, "created_at", days, as_of).where(F.col("supplier_id").isNotNull())
            .groupBy("client_id", "supplier_id")
            .agg(F.count("*").alias("total"), F.count_if(_status("ok")).alias("ok_count"),
                 mean(F.sum("processing_time_ms"), F.count("processing_time_ms"), 0).alias("avg_processing_ms")))
@@ -189,7 +218,7 @@ def supplier_rollup(invoices: DataFrame, suppliers: DataFrame, as_of: Column, da
 
 def confidence_rollup(invoices: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     """AG-28: sample size, mean and median confidence per client and field."""
-    entries = confidence_entries(invoices.where(since("created_at", days, as_of)), "client_id")
+    entries = confidence_entries(recent(invoices, "created_at", days, as_of), "client_id")
     keys = ["client_id", "field_name"]
     base = entries.groupBy(*keys).agg(F.count("confidence").alias("sample_size"),
                                       mean(F.sum("confidence"), F.count("confidence"), 4, EXACT_SUM).alias("avg_confidence"))

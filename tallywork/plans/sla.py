@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.ratios import hours_between, mean, share_pct
-from .quality import since
+from .quality import recent
 
 
 
@@ -18,14 +18,14 @@ def _timed(invoices: DataFrame, approvals: DataFrame) -> DataFrame:
 
 def approval_hours(invoices: DataFrame, approvals: DataFrame, days: int, as_of: Column) -> DataFrame:
     """JN-8 as rows."""
-    return _timed(invoices.where(since("created_at", days, as_of)), approvals).select(
+    return _timed(recent(invoices, "created_at", days, as_of), approvals).select(
         F.col("id").alias("invoice_id"), "hours")
 
 
 def sla_card(invoices: DataFrame, approvals: DataFrame, queue: DataFrame, days: int, as_of: Column) -> DataFrame:
     """AG-20: one row; the 24-hour share is over all joined rows, as is the total."""
     n = F.count("*")
-    card = _timed(invoices.where(since("created_at", days, as_of)), approvals).agg(
+    card = _timed(recent(invoices, "created_at", days, as_of), approvals).agg(
         mean(F.sum("hours"), F.count("hours"), 1).alias("avg_approval_hours"),
         F.round(n.cast("decimal(20,0)") / F.nullif(F.lit(days), F.lit(0)).cast("decimal(10,0)"), 1).alias("daily_throughput"),
         share_pct(F.count_if(F.col("hours") <= 24), n, 1).alias("sla_24h_pct"),
@@ -38,14 +38,14 @@ def funnel(invoices: DataFrame, days: int, as_of: Column) -> DataFrame:
     """AG-21: how many invoices reached each stage."""
     def at(s):
         return F.count_if(F.col("approval_status") == s).alias(s)
-    return invoices.where(since("created_at", days, as_of)).agg(
+    return recent(invoices, "created_at", days, as_of).agg(
         F.count("*").alias("uploaded"), F.count("llm_confidence").alias("extracted"),
         F.count_if("review_required").alias("review"), at("approved"), at("edited"), at("rejected"), at("pending"))
 
 
 def throughput(invoices: DataFrame, days: int, as_of: Column) -> DataFrame:
     """AG-22: invoices per creation day, oldest first."""
-    return (invoices.where(since("created_at", days, as_of)).groupBy(F.to_date("created_at").alias("day"))
+    return (recent(invoices, "created_at", days, as_of).groupBy(F.to_date("created_at").alias("day"))
             .agg(F.count("*").alias("count")).orderBy("day"))
 
 
@@ -55,7 +55,7 @@ def approvers(approvals: DataFrame, invoices: DataFrame, staff: DataFrame, days:
     Summed per staff id before names are joined.
     """
     i = invoices.select(F.col("id").alias("invoice_id"), "created_at")
-    per = (approvals.where(since("decided_at", days, as_of)).join(i, "invoice_id")
+    per = (recent(approvals, "decided_at", days, as_of).join(i, "invoice_id")
            .withColumn("hours", hours_between(F.col("decided_at"), F.col("created_at")))
            .groupBy("decided_by").agg(F.count("id").alias("count"), F.sum("hours").alias("h"),
                                       F.count("hours").alias("n")))
