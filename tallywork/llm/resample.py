@@ -211,11 +211,12 @@ def radix_ranks(df: DataFrame, keys: list[str], *, block: int = BLOCK, bits: int
     signed = [F.col(k).bitwiseXOR(F.lit(-(1 << 63))).alias(n) for k, n in zip(keys, names)]  # unsigned order
     rows = store(df.select("*", *signed, F.monotonically_increasing_id().alias("pos")), "unsorted")
     differ = rows.agg(*[F.bit_or(n).bitwiseXOR(F.bit_and(n)).alias(n) for n in names]).first()
+    digits = []
     for name in reversed(names):
         span = ((differ[name] or 0) & ((1 << 64) - 1)).bit_length()
-        for shift in range(0, span, bits):
-            if (differ[name] >> shift) & ((1 << min(bits, span - shift)) - 1):
-                rows = store(radix_pass(rows, _digit(name, shift, bits), block), "sorted")
+        digits += [(name, shift) for shift in range(0, span, bits) if (differ[name] >> shift) & ((1 << min(bits, span - shift)) - 1)]
+    for name, shift in digits or [(names[0], 0)]:   # equal rows are numbered by one pass
+        rows = store(radix_pass(rows, _digit(name, shift, bits), block), "sorted")
     return rows.drop(*names)
 
 
