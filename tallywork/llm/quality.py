@@ -70,6 +70,8 @@ def transformed() -> list[Column]:
     return [F.round(1000 * x).cast("long").alias(f"x{i}") for i, x in enumerate(raw)]
 
 
+#: Groups whose estimates are sent to all executors (some 20 numbers each).
+SENT_GROUPS = 100_000
 X = [f"x{i}" for i in range(DIM)]
 PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
 
@@ -129,6 +131,12 @@ def _estimate(rows: DataFrame) -> DataFrame:
     return out.select("g", "c", *[f"m{i}" for i in range(DIM)], *[f"l{i}{j}" for i, j in PAIRS])
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """A stored table of a row per group, sent to all executors if it has at most ``SENT_GROUPS`` rows, so that no row moves to
+    its group; with more groups the join is left to Spark, and none of them holds most rows."""
+    return F.broadcast(df) if df.limit(SENT_GROUPS + 1).count() <= SENT_GROUPS else df
+
+
 def robust_estimates(stats: DataFrame) -> DataFrame:
     """Minimum-covariance-determinant estimate per group ``g`` with its row count ``rows``.
 
@@ -143,9 +151,9 @@ def robust_estimates(stats: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("d") == i, F.greatest((F.col("q2") - F.col("q0")) / 134.9, F.lit(FLOORS[i])))).alias(f"l{i}{i}") for i in range(DIM)])
     now = store(spots.select("*", *[F.lit(0.0).alias(f"l{i}{j}") for i, j in PAIRS if i != j]), "start")
     for _ in range(STEPS):
-        ranked = rows.join(now, "g").select("g", *X, _bin(_distance()).alias("bin"))
+        ranked = rows.join(_sent(now), "g").select("g", *X, _bin(_distance()).alias("bin"))
         cut = store(_quantile_bins(ranked, ["g"], [SHARE]), "cut")
-        now = store(_estimate(ranked.join(cut, "g").where("bin <= q0")), "estimate")
+        now = store(_estimate(ranked.join(_sent(cut), "g").where("bin <= q0")), "estimate")
     sizes = rows.groupBy("g").agg(F.count("*").alias("rows"))
     return now.join(sizes, "g")
 
@@ -169,10 +177,10 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stats = store(stats.select("*", *transformed()), "statistics")
     found = store(robust_estimates(stats.where("NOT base_failed")), "estimates")
     rows = _levels(stats)
-    small = found.select("g", "rows")
+    small = _sent(found.select("g", "rows"))
     for i in (0, 1):
         rows = rows.join(small.select(F.col("g").alias(f"g{i}"), F.col("rows").alias(f"rows{i}")), f"g{i}", "left")
     rows = rows.withColumn("g", F.when(F.col("rows0") >= least_rows, F.col("g0")).when(F.col("rows1") >= least_rows, F.col("g1")).otherwise(F.col("g2")))
-    judged = rows.join(found, "g", "left").withColumn("distance", _distance())
+    judged = rows.join(_sent(found), "g", "left").withColumn("distance", _distance())
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
                          (~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(False))).alias("kept"))
