@@ -57,35 +57,76 @@ def jaro_winkler_rows(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarr
     return np.where((la == 0) & (lb == 0), 1.0, score)
 
 
-@F.pandas_udf(T.DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """STR-5."""
+#: Cells (pairs x width) of an array of code points, at most; a single longer pair is taken alone.
+CELLS = 4_000_000
+
+
+def length_classes(a: list[str], b: list[str]):
+    """Indices of pairs that fit one array: of like length (up to twice as long) and not too many at once."""
+    size = np.array([max(len(x), len(y)) for x, y in zip(a, b)], dtype=np.int64)
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        wide = max(1, 2 * int(size[order[at]]))
+        end = at + int(np.searchsorted(size[order[at:]], wide, "right"))
+        end = min(end, at + max(1, CELLS // max(1, int(size[order[end - 1]]))))
+        yield order[at:end]
+        at = end
+
+
+def over_pairs(a: pd.Series, b: pd.Series, score) -> pd.Series:
+    """``score(codes, lengths, codes, lengths)`` of pairs, nulls kept, equal pairs computed once, like lengths together."""
     known = (a.notna() & b.notna()).to_numpy()
     out = np.full(len(a), np.nan)
-    if known.any():
-        out[known] = jaro_winkler_rows(*code_points(a[known]), *code_points(b[known]))
+    if not known.any():
+        return pd.Series(out).where(known, None)
+    which, pairs = pd.MultiIndex.from_arrays([a[known].astype(object), b[known].astype(object)]).factorize()
+    left, right = [p[0] for p in pairs], [p[1] for p in pairs]
+    got = np.empty(len(pairs))
+    for some in length_classes(left, right):
+        got[some] = score(*code_points([left[i] for i in some]), *code_points([right[i] for i in some]))
+    out[known] = got[which]
     return pd.Series(out).where(known, None)
 
 
+@F.pandas_udf(T.DoubleType())
+def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
+    """STR-5."""
+    return over_pairs(a, b, jaro_winkler_rows)
+
+
+def lcs_lengths(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Longest common subsequence of row i of ``a`` with row i of ``b``: bit-parallel, 64 characters a word, all rows at once."""
+    words = -(-a.shape[1] // 64)
+    row = np.full((len(a), words), ~np.uint64(0))
+    place = np.arange(a.shape[1])[None, :] < la[:, None]
+    packed = np.zeros((len(a), words * 8), np.uint8)
+    for j in range(b.shape[1]):
+        hits = np.packbits((a == b[:, j:j + 1]) & place & (j < lb)[:, None], axis=1, bitorder="little")
+        packed[:, :hits.shape[1]] = hits
+        hit = packed.view("<u8") & row
+        total, carry = np.empty_like(row), np.zeros(len(a), np.uint64)
+        for w in range(words):
+            first = row[:, w] + hit[:, w]
+            total[:, w] = first + carry
+            carry = ((first < hit[:, w]) | (total[:, w] < carry)).astype(np.uint64)
+        row = total | (row & ~hit)
+    bits = np.zeros((len(a), words * 8), np.uint8)
+    ends = np.packbits(place, axis=1, bitorder="little")
+    bits[:, :ends.shape[1]] = ends
+    return np.bitwise_count(~row & bits.view("<u8")).sum(axis=1).astype(np.int64)
+
+
 def lcs_length(a: str, b: str) -> int:
-    """Longest common subsequence by bit-parallel rows."""
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & masks.get(ch, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+    return int(lcs_lengths(*code_points([a]), *code_points([b]))[0])
+
+
+def indel_rows(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    n = la + lb
+    return np.where(n > 0, 2 * lcs_lengths(a, la, b, lb) / np.maximum(n, 1), 1.0)
 
 
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """STR-7: 2*LCS over the summed lengths; 1 for two empty strings."""
-    def one(x, y):
-        if x is None or y is None:
-            return None
-        n = len(x) + len(y)
-        return 2 * lcs_length(x, y) / n if n else 1.0
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+    return over_pairs(a, b, indel_rows)

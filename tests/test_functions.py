@@ -121,3 +121,46 @@ def test_confidence(spark):
     assert one(spark, confidence.needs_review(edge)) is False
     assert one(spark, confidence.needs_review(F.create_map(F.lit("currency"), F.lit(0.69)))) is True
     assert len(one(spark, confidence.complete_map(edge))) == 10
+
+
+def test_pairs_of_all_lengths_in_length_classes(monkeypatch):
+    import random
+
+    import pandas as pd
+
+    def plain_lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last, row = row, [0] * (len(b) + 1)
+            for j, y in enumerate(b, 1):
+                row[j] = last[j - 1] + 1 if x == y else max(last[j], row[j - 1])
+        return row[-1]
+
+    monkeypatch.setattr(sim, "CELLS", 700)
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcé€") for _ in range(n))
+    lengths = [0, 1, 2, 5, 31, 63, 64, 65, 127, 128, 129, 200, 300]
+    pairs = [(text(rng.choice(lengths)), text(rng.choice(lengths))) for _ in range(80)] + [("", ""), ("abc", "abc"), (None, "a"), ("a", None)] * 3
+    a, b = pd.Series([p[0] for p in pairs]), pd.Series([p[1] for p in pairs])
+    indel, jaro = sim.over_pairs(a, b, sim.indel_rows), sim.over_pairs(a, b, sim.jaro_winkler_rows)
+    for (x, y), i, j in zip(pairs, indel, jaro):
+        if x is None or y is None:
+            assert pd.isna(i) and pd.isna(j)
+            continue
+        assert i == pytest.approx(2 * plain_lcs(x, y) / (len(x) + len(y)) if x or y else 1.0)
+        assert j == pytest.approx(plain_jaro_winkler(x, y))
+    sizes = [len(c) for c in sim.length_classes([p[0] or "" for p in pairs], [p[1] or "" for p in pairs])]
+    assert sum(sizes) == len(pairs) and len(sizes) > 5
+
+
+def test_one_long_pair_does_not_widen_the_others():
+    short = ["abc"] * 5000
+    classes = list(sim.length_classes(short + ["x" * 20000], short + ["y" * 20000]))
+    assert classes[-1].tolist() == [5000] and all(len(c) * 6 <= sim.CELLS for c in classes[:-1])
+
+
+def test_pairs_without_values():
+    import pandas as pd
+
+    for n in (0, 3):
+        assert sim.over_pairs(pd.Series([None] * n, dtype=object), pd.Series(["a"] * n, dtype=object), sim.indel_rows).isna().tolist() == [True] * n
