@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from itertools import chain, combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
+
+from .common import column
 from pyspark.sql.types import ArrayType, DataType, StructType
 
 TURNS = "array<struct<role:string,text:string>>"
@@ -147,14 +149,14 @@ def format_chat(df: DataFrame, record: str = "record", template: Template = Temp
     (start, end) code points of the texts of learned roles as escaped there.  Null
     roles and texts count as empty.
     All of a conversation's text meets in its own row, as it does in the output.
-    Other columns pass, but for one named ``chat``; an empty table gives an empty result.
+    Other columns pass, but for one named ``chat`` in any case; an empty table gives an empty result.
     """
     kind = df.schema[record].dataType
     layout, turns = canonical_turns(F.col(record), kind, mappings)
     pieces = F.transform("turns", lambda t: F.struct(
         template.turn(t).alias("s"), F.length(template.escape(t["text"])).alias("n"), t["role"].isin(*template.learned).alias("learned")))
-    rest = [c for c in df.columns if c not in (record, "chat")]
-    out = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), layout.alias("layout"), turns.alias("turns"))
+    rest = [c for c in df.columns if c != record and c.lower() != "chat"]
+    out = df.select(F.struct(*[column(c) for c in rest]).alias("rest"), layout.alias("layout"), turns.alias("turns"))
     out = out.select("rest", "layout", pieces.alias("p"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
 

@@ -392,3 +392,39 @@ def test_pipeline_keeps_clean_texts_and_drops_planted_ones(spark, tmp_path):
     plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     plain.encode_special_tokens = True
     assert ids == {i: [*plain.encode(t, add_special_tokens=False).ids, 2] for i, t in seen["personal_data"].items()}
+
+
+def test_nearest_answers_are_full_when_ids_have_several_vectors(spark):
+    rnd = np.random.default_rng(41)
+    x = rnd.standard_normal((70, 8))
+    ids = [*range(60), 5, 5, 5, 7, 20, 20, *[33] * 4]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=20).collect()
+    best = {}
+    for i, v in zip(ids, x):
+        for j, w in zip(ids, x):
+            if i % 20 == 0 and i != j:
+                best[i, j] = max(best.get((i, j), -np.inf), float((w * v).sum()))
+    for q in (0, 20, 40):
+        own = sorted((r.rank, r.vec_id) for r in got if r.query_id == q)
+        want = sorted(((-s, j) for (i, j), s in best.items() if i == q))[:20]
+        assert [j for _, j in own] == [j for _, j in want], q
+
+
+def test_quality_votes_equal_plain_cosine_votes(docs, rows):
+    rnd = random.Random(43)
+    good = lambda: " ".join(rnd.choice(["the", "river", "house", "walks", "slowly", "green"]) for _ in range(40))
+    bad = lambda: " ".join(rnd.choice(["buy", "$$$", "now!!!", "click", "free"]) for _ in range(40))
+    texts = [(i, good() if i % 2 else bad()) for i in range(60)] + [(100, "river house free click"), (101, good()), (102, bad())]
+    labels = [(i, i % 2) for i in range(60)]
+    terms = classify.Terms()
+    coded = sorted(((l, *terms.of(dict(texts)[i])) for i, l in labels), key=lambda r: (r[0], list(r[1]), list(r[2])))
+    voter = classify.Voter([r[1:] for r in coded], [r[0] for r in coded], 8)
+    got = {r.doc_id: r.score for r in classify.vote_quality(docs(*texts), rows("doc_id long, label int", *labels), dimensions=8, neighbours=5, power=3).collect()}
+    for i, t in texts:
+        v = classify.unit((classify.dense([terms.of(t)]) * voter.weights) @ voter.directions)[0]
+        near = sorted(((float(k @ v), float(y)) for k, y in zip(voter.known, voter.labels)), reverse=True)[:5]
+        weight = [max(c, 0.0) ** 3 for c, _ in near]
+        want = (sum(w * y for w, (_, y) in zip(weight, near)) + 1e-6 * 0.5) / (sum(weight) + 1e-6)
+        assert abs(got[i] - min(1.0, max(0.0, want))) < 0.02, (i, got[i], want)
+    assert got[101] > 0.7 > got[102]

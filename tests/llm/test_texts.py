@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -233,3 +234,24 @@ def test_chat_layouts(spark):
     assert turns[3] == [("system", "s"), ("user", "p"), ("assistant", "r")] and turns[5] == [("user", "i"), ("user", "n"), ("assistant", "o")]
     assert turns[7] == [("user", "h"), ("assistant", "g"), ("tool", "t")] and got[1].mine == "mine" and got[8].formatted is None
     assert chat.format_chat(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("cue", ["password=", "token=", "http://a.b,", "secret: '", "passport=", "account 1 ", "iban x   ", "a://,,,", "+1((((", "@a.b."])
+def test_pii_takes_time_in_proportion(cue):
+    anchors = pii.automaton()
+
+    def least(n):
+        took = []
+        for _ in range(3):
+            start = time.process_time()
+            pii.find(cue * n, anchors)
+            took.append(time.process_time() - start)
+        return min(took)
+    assert least(40_000) < 2.6 * least(20_000) + 0.02
+
+
+def test_chat_keeps_columns_with_odd_names(spark):
+    row = "struct<prompt:string,completion:string>"
+    df = spark.createDataFrame([(1, ("hi", "yo"), "x", "gone")], f"id long, record {row}, `a``b` string, Chat string")
+    got = chat.format_chat(df)
+    assert got.columns == ["id", "a`b", "chat"] and got.first().chat.formatted
