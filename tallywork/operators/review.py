@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+# Fixed value: status after a decision.
 STATUS_AFTER = {"approved": "ok", "rejected": "failed", "edited": "ok"}
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.taxid import valid_tax_id
 from .tax import VALID_RATES
 
+# Fields of the sections.
 MONEY = ["subtotal", "vat_amount", "total"]
 LINE_FIELDS = ["description", "quantity", "unit_price", "subtotal"]
 LINE_MONEY = ["unit_price", "subtotal", "vat_amount", "total"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.skew import running_number
 
+# Listed columns, shown statuses.
 SUMMARY = ["id", "source_type", "file_name", "processing_status", "invoice_number", "issuer_name",
            "issue_date", "total_with_vat", "llm_confidence", "created_at"]
 # Status labels shown to reviewers.

@@ -9,6 +9,7 @@ from ..operators.ratios import mean, share_pct
 from ..functions.confidence import EXACT, EXACT_SUM
 from .accounting import display_name
 
+# Statuses and header fields of the reports.
 STATUSES = ["ok", "duplicado", "requires_review", "failed", "processing"]
 HEADER_FIELDS = ["receiver_name", "receiver_nif", "issuer_nif", "issuer_name", "invoice_number",
                  "issue_date", "due_date", "currency", "document_type", "atcud"]

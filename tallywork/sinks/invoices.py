@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.units import normalize_unit
 
+# Fixed value: extracted header fields.
 HEADER = ["invoice_number", "issuer_nif", "receiver_nif", "issuer_name", "issue_date", "total_with_vat",
           "total_without_vat", "vat_total", "llm_confidence", "receiver_name", "due_date", "currency",
           "document_type", "origin_country", "atcud"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+# Fixed value: accepted file types.
 MIME_TYPES = ["application/pdf", "image/jpeg", "image/png"]
 
 
