@@ -95,14 +95,16 @@ SELECT {half_up(cents('sum(llm_confidence)'), '(100 * count(llm_confidence))', 4
   {pct(n_if("approval_status = 'edited'"), n_if("approval_status IN ('approved', 'edited', 'rejected')"))} AS correction_rate_pct,
   count(*) AS total_invoices FROM invoices WHERE {W30}""", "invoices")
 def _(t):
-    return Q.ai_quality(t.invoices_by_month, 30, as_of(t.invoices_by_month))
+    i = t.invoices_by_month("llm_confidence", "review_required", "approval_status")
+    return Q.ai_quality(i, 30, as_of(i))
 
 
 @query("ag_18_confidence_trend", f"""
 SELECT {day('created_at')} AS day, {half_up(cents('sum(llm_confidence)'), '(100 * count(*))', 4)} AS avg_confidence,
   count(*) AS invoice_count FROM invoices WHERE {W30} AND llm_confidence IS NOT NULL GROUP BY 1""", "invoices")
 def _(t):
-    return Q.confidence_trend(t.invoices_by_month, 30, as_of(t.invoices_by_month))
+    i = t.invoices_by_month("llm_confidence")
+    return Q.confidence_trend(i, 30, as_of(i))
 
 
 @query("json_2_confidence_entries", "SELECT invoice_id AS id, field_key AS field_name, conf_c / 100.0::DOUBLE AS confidence "
@@ -118,7 +120,7 @@ FIELD = "CASE WHEN id % 2 = 0 THEN 'total_with_vat' ELSE 'currency' END"
 
 def nano_invoices(t):
     from pyspark.sql import functions as F
-    return t.invoices_by_month.withColumn("field_confidence", F.expr(f"map({FIELD}, CAST({NANO} AS DOUBLE) / 1000000000D)"))
+    return t.invoices_by_month("id", "client_id").withColumn("field_confidence", F.expr(f"map({FIELD}, CAST({NANO} AS DOUBLE) / 1000000000D)"))
 
 
 @query("json_2_nine_decimals", f"SELECT id, {FIELD} AS field_name, ({NANO})::DOUBLE / 1e9 AS confidence FROM invoices", "invoices")
@@ -130,7 +132,8 @@ def _(t):
 SELECT k.legal_name AS client_name, field_name, {half_up('sum(v)', '(1000000000 * count(*))', 4)} AS avg_confidence
 FROM (SELECT client_id, {FIELD} AS field_name, {NANO} AS v FROM invoices WHERE {W30}) x JOIN clients k ON k.id = x.client_id GROUP BY 1, 2""", "invoices clients")
 def _(t):
-    return Q.field_confidence_by_client(nano_invoices(t), t.clients, 30, as_of(t.invoices_by_month))
+    i = nano_invoices(t)
+    return Q.field_confidence_by_client(i, t.clients, 30, as_of(i))
 
 
 @query("ag_28_nine_decimals", f"""
@@ -138,7 +141,8 @@ SELECT client_id, field_key, count(*) AS sample_size, {half_up('sum(v)', '(10000
   {half_up('CAST(2 * quantile_cont(v, 0.5) AS BIGINT)', '2000000000', 4)} AS median_confidence
 FROM (SELECT client_id, {FIELD} AS field_key, {NANO} AS v FROM invoices WHERE {W30}) GROUP BY 1, 2""", "invoices")
 def _(t):
-    return Q.confidence_rollup(nano_invoices(t), as_of(t.invoices_by_month))
+    i = nano_invoices(t)
+    return Q.confidence_rollup(i, as_of(i))
 
 
 @query("ag_36_nine_decimals", f"""
@@ -158,7 +162,8 @@ SELECT k.legal_name AS client_name, x.field_key AS field_name,
   {half_up('sum(x.conf_c)', '(100 * count(*))', 4)} AS avg_confidence
 FROM {CONF} x JOIN clients k ON k.id = x.client_id GROUP BY 1, 2""", "confidences invoices clients")
 def _(t):
-    return Q.field_confidence_by_client(t.invoices_by_month, t.clients, 30, as_of(t.invoices_by_month))
+    i = t.invoices_by_month("client_id", "field_confidence")
+    return Q.field_confidence_by_client(i, t.clients, 30, as_of(i))
 
 
 @query("jn_7_field_confidence_client_counts", f"""
@@ -166,7 +171,8 @@ SELECT k.legal_name AS client_name, count(*) AS n FROM {CONF} x JOIN clients k O
        "confidences invoices clients")
 def _(t):
     from pyspark.sql import functions as F
-    per = Q.confidence_entries(t.invoices_by_month.where(Q.since("created_at", 30, as_of(t.invoices_by_month))), "client_id") \
+    i = t.invoices_by_month("client_id", "field_confidence")
+    per = Q.confidence_entries(i.where(Q.since("created_at", 30, as_of(i))), "client_id") \
         .groupBy("client_id").agg(F.count("*").alias("n"))
     return per.join(t.clients.select(F.col("id").alias("client_id"), "legal_name"), "client_id") \
         .groupBy(F.col("legal_name").alias("client_name")).agg(F.sum("n").alias("n"))
@@ -186,7 +192,8 @@ SELECT client_id, {stamp("date_trunc('day', created_at)::TIMESTAMP")} AS day, co
   {st('requires_review')} AS review_count, {st('error')} AS error_count, {pct(st('ok'))} AS ok_rate_pct
 FROM invoices WHERE {W30} GROUP BY client_id, date_trunc('day', created_at)""", "invoices")
 def _(t):
-    return Q.extraction_rollup(t.invoices_by_month, as_of(t.invoices_by_month))
+    i = t.invoices_by_month("client_id", "processing_status")
+    return Q.extraction_rollup(i, as_of(i))
 
 
 @query("ag_27_supplier_rollup", f"""
@@ -196,7 +203,8 @@ SELECT i.client_id, i.supplier_id, coalesce(s.commercial_name, s.legal_name, s.n
 FROM invoices i LEFT JOIN suppliers s ON s.id = i.supplier_id
 WHERE i.supplier_id IS NOT NULL AND i.{W30} GROUP BY ALL""", "invoices suppliers")
 def _(t):
-    return Q.supplier_rollup(t.invoices_by_month, t.suppliers, as_of(t.invoices_by_month))
+    i = t.invoices_by_month("client_id", "supplier_id", "processing_status", "processing_time_ms")
+    return Q.supplier_rollup(i, t.suppliers, as_of(i))
 
 
 @query("ag_28_confidence_rollup", f"""
@@ -204,7 +212,8 @@ SELECT client_id, field_key, count(*) AS sample_size, {half_up('sum(conf_c)', '(
   {half_up('CAST(2 * quantile_cont(conf_c, 0.5) AS BIGINT)', '200', 4)} AS median_confidence
 FROM {CONF} GROUP BY 1, 2""", "confidences invoices")
 def _(t):
-    return Q.confidence_rollup(t.invoices_by_month, as_of(t.invoices_by_month))
+    i = t.invoices_by_month("client_id", "field_confidence")
+    return Q.confidence_rollup(i, as_of(i))
 
 
 # --- service levels -----------------------------------------------------------
@@ -219,12 +228,14 @@ CARD = f"""SELECT {half_up('sum(secs)', '(3600 * count(secs))', 1)} AS avg_appro
 
 @query("jn_8_approval_hours", f"SELECT id AS invoice_id, secs / 3600.0::DOUBLE AS hours FROM {TIMED}", "invoices approvals")
 def _(t):
-    return S.approval_hours(t.invoices_by_month, t.approvals, 7, as_of(t.invoices_by_month))
+    i = t.invoices_by_month("id")
+    return S.approval_hours(i, t.approvals, 7, as_of(i))
 
 
 @query("ag_20_sla_card", CARD, "invoices approvals queue")
 def _(t):
-    return S.sla_card(t.invoices_by_month, t.approvals, t.queue, 7, as_of(t.invoices_by_month))
+    i = t.invoices_by_month("id")
+    return S.sla_card(i, t.approvals, t.queue, 7, as_of(i))
 
 
 FUNNEL = f"""SELECT count(*) AS uploaded, count(llm_confidence) AS extracted, {n_if('review_required')} AS review,
@@ -234,13 +245,15 @@ FUNNEL = f"""SELECT count(*) AS uploaded, count(llm_confidence) AS extracted, {n
 
 @query("ag_21_stage_funnel", FUNNEL, "invoices")
 def _(t):
-    return S.funnel(t.invoices_by_month, 7, as_of(t.invoices_by_month))
+    i = t.invoices_by_month("llm_confidence", "review_required", "approval_status")
+    return S.funnel(i, 7, as_of(i))
 
 
 @query("ag_22_daily_throughput", f"SELECT {day('created_at')} AS day, count(*) AS count FROM invoices WHERE {W7} GROUP BY 1",
        "invoices")
 def _(t):
-    return S.throughput(t.invoices_by_month, 7, as_of(t.invoices_by_month))
+    i = t.invoices_by_month()
+    return S.throughput(i, 7, as_of(i))
 
 
 APPROVERS = f"""
@@ -252,12 +265,14 @@ WHERE a.decided_at >= (SELECT max(created_at) FROM invoices) - INTERVAL {{d}} DA
 
 @query("ag_23_approver_performance", APPROVERS.format(d=7), "invoices approvals staff")
 def _(t):
-    return S.approvers(t.approvals, t.invoices_by_month, t.staff, 7, as_of(t.invoices_by_month))
+    i = t.invoices_by_month("id")
+    return S.approvers(t.approvals, i, t.staff, 7, as_of(i))
 
 
 @query("jn_9_approver_joins", APPROVERS.format(d=365), "invoices approvals staff")
 def _(t):
-    return S.approvers(t.approvals, t.invoices_by_month, t.staff, 365, as_of(t.invoices_by_month))
+    i = t.invoices_by_month("id")
+    return S.approvers(t.approvals, i, t.staff, 365, as_of(i))
 
 
 @query("lim_3_critical_backlog", f"""
@@ -274,7 +289,8 @@ SELECT c.*, f.uploaded, f.approved, f.pending, (SELECT string_agg(day || ':' ||
 FROM ({CARD}) c, ({FUNNEL}) f""", "invoices approvals queue staff")
 def _(t):
     from pyspark.sql import functions as F
-    doc = S.sla_document(t.invoices_by_month, t.approvals, t.queue, t.staff, 7, as_of(t.invoices_by_month))
+    i = t.invoices_by_month("id", "llm_confidence", "review_required", "approval_status")
+    doc = S.sla_document(i, t.approvals, t.queue, t.staff, 7, as_of(i))
     listed = lambda c, one: F.array_join(F.transform(c, one), ",")
     return doc.select("kpis.*", "funnel.uploaded", "funnel.approved", "funnel.pending",
                       listed("throughput_by_day", lambda x: F.concat_ws(":", x["day"].cast("string"), x["count"])).alias("days"),
@@ -289,5 +305,6 @@ SELECT section, count(*) AS entries FROM (
   UNION ALL SELECT 'critical_backlog_items' {BACKLOG}) GROUP BY 1""", "invoices approvals queue staff")
 def _(t):
     from pyspark.sql import functions as F
-    return (S.sla_bundle(t.invoices_by_month, t.approvals, t.queue, t.staff, 7, as_of(t.invoices_by_month))
+    i = t.invoices_by_month("id", "llm_confidence", "review_required", "approval_status")
+    return (S.sla_bundle(i, t.approvals, t.queue, t.staff, 7, as_of(i))
             .groupBy("section").agg(F.count("body").alias("entries")))

@@ -97,11 +97,12 @@ UNION ALL SELECT 'supplier_quality', true, count(*) FROM (SELECT DISTINCT client
 UNION ALL SELECT 'field_confidence', true, count(*) FROM (SELECT DISTINCT client_id, field_key FROM invoices JOIN confidences ON id = invoice_id WHERE {W30})""",
        "invoices confidences")
 def _(t):
-    now, base = as_of(t.invoices_by_month), scratch(t, "rollups")
+    i, base = t.invoices_by_month("client_id", "supplier_id", "processing_status", "processing_time_ms", "field_confidence"), scratch(t, "rollups")
+    now = as_of(i)
     status = W.refresh_rollups(t.spark, {
-        "extraction_quality": lambda: Q.extraction_rollup(t.invoices_by_month, now),
-        "supplier_quality": lambda: Q.supplier_rollup(t.invoices_by_month, t.suppliers, now),
-        "field_confidence": lambda: Q.confidence_rollup(t.invoices_by_month, now),
+        "extraction_quality": lambda: Q.extraction_rollup(i, now),
+        "supplier_quality": lambda: Q.supplier_rollup(i, t.suppliers, now),
+        "field_confidence": lambda: Q.confidence_rollup(i, now),
     }, base)
     counts = [t.spark.read.parquet(f"{base}/{v}").agg(F.lit(v).alias("view"), F.count("*").alias("entries"))
               for v in ("extraction_quality", "supplier_quality", "field_confidence")]
@@ -113,11 +114,12 @@ SELECT 'extraction_quality' AS "view", client_id, {stamp("date_trunc('day', crea
 UNION ALL SELECT 'supplier_quality', client_id, supplier_id::VARCHAR, count(*), count(*) FILTER (processing_status = 'ok') FROM invoices WHERE {W30} AND supplier_id IS NOT NULL GROUP BY 2, 3
 UNION ALL SELECT 'field_confidence', client_id, field_key, count(*), NULL FROM invoices JOIN confidences ON id = invoice_id WHERE {W30} GROUP BY 2, 3""", "invoices confidences")
 def _(t):
-    now, base = as_of(t.invoices_by_month), scratch(t, "rollups")
+    i, base = t.invoices_by_month("client_id", "supplier_id", "processing_status", "processing_time_ms", "field_confidence"), scratch(t, "rollups")
+    now = as_of(i)
     W.refresh_rollups(t.spark, {
-        "extraction_quality": lambda: Q.extraction_rollup(t.invoices_by_month, now),
-        "supplier_quality": lambda: Q.supplier_rollup(t.invoices_by_month, t.suppliers, now),
-        "field_confidence": lambda: Q.confidence_rollup(t.invoices_by_month, now),
+        "extraction_quality": lambda: Q.extraction_rollup(i, now),
+        "supplier_quality": lambda: Q.supplier_rollup(i, t.suppliers, now),
+        "field_confidence": lambda: Q.confidence_rollup(i, now),
     }, base)
     read = lambda v, entry, total, ok: t.spark.read.parquet(f"{base}/{v}").select(F.lit(v).alias("view"), "client_id", entry.alias("entry"), F.col(total).alias("total"), ok.alias("ok_count"))
     return (read("extraction_quality", F.date_format("day", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "total", F.col("ok_count"))

@@ -44,11 +44,17 @@ def latest(df: DataFrame, column: str) -> Column:
     return df.where(F.col(month) >= df.agg(F.max(month)).scalar()).agg(F.max(column)).scalar()
 
 
-def store_by_month(df: DataFrame, column: str, path: str) -> None:
-    """Write ``df`` in a folder per month of ``column``; months are split and merged to files of like size."""
+def store_by_month(df: DataFrame, column: str, path: str, columns: dict[str, str] | None = None) -> None:
+    """Write ``df`` in a folder per month of ``column``; months are split and merged to files of like size.
+
+    With ``columns`` (expressions by name) these and ``column`` are stored; they are computed when the
+    rows have been moved and sorted, so that wide values are only written.
+    """
     month = month_of(column)
-    (df.withColumn(month, F.trunc(F.col(column).cast("date"), "month")).hint("rebalance", month)
-     .write.mode("overwrite").partitionBy(month).parquet(path))
+    moved = df.withColumn(month, F.trunc(F.col(column).cast("date"), "month")).hint("rebalance", month).sortWithinPartitions(month)
+    if columns is not None:
+        moved = moved.select(column, *[F.expr(e).alias(c) for c, e in columns.items()], month)
+    moved.write.mode("overwrite").partitionBy(month).parquet(path)
 
 
 def _status(s: str) -> Column:

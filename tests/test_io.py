@@ -257,3 +257,19 @@ def test_appended_buckets_are_compacted(spark, tmp_path):
     pieces = B.manifest(spark, base)
     assert max(map(len, pieces.values())) <= 3
     assert sorted(r.id for r in B.read_buckets(spark, base).collect()) == list(range(60))
+
+
+def test_invoices_make_only_the_columns_read(spark, tmp_path):
+    from tallywork.bindings import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = t.invoices.groupBy("processing_status").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "l_orderkey" not in plan
+
+
+def test_month_store_computes_columns_behind_the_move(spark, tmp_path):
+    from tallywork.plans.quality import store_by_month
+    df = spark.sql("SELECT id, timestampadd(DAY, id, TIMESTAMP '2024-01-20') AS at FROM range(40)")
+    store_by_month(df, "at", f"{tmp_path}/m", {"id": "id", "wide": "repeat('x', int(id))"})
+    got = spark.read.parquet(f"{tmp_path}/m")
+    assert set(got.columns) == {"id", "at", "wide", "at_month"} and got.count() == 40
+    assert got.where("length(wide) <> id OR date_trunc('month', at) <> at_month").isEmpty()
