@@ -4,7 +4,7 @@ Two searches, each exact:
 
 * :func:`closest_names` (Jaro-Winkler) has no lossless equality key, so it goes by bounds.
   The dictionary is sorted by first letter, length and letter counts and cut into cells of
-  like entries; a directory keeps each cell's bounds on lengths and letter counts.  A
+  like entries; a directory keeps bounds on lengths and letter counts for parts of each cell.  A
   name visits the cell with the best bound first, and afterwards only those that can still beat what it
   found there.
 * :func:`names_by_tokens` (token overlap, else edit distance) joins by equality: tokens, of which
@@ -14,6 +14,8 @@ Two searches, each exact:
 
 from __future__ import annotations
 
+import string
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -28,10 +30,15 @@ MAX_CELLS = 65_536
 BUCKET_ROWS = 5_000
 CHUNK = 512
 CLASSES = 32
+#: Parts of a cell with bounds of their own, letters that sort the dictionary.
+CELL_PARTS = 8
+SORT_LETTERS = 8
 #: Entries that a token may have before it is treated as frequent.
 TOKEN_ROWS = 1_000
 #: Edits that still match, and the length of a name up to which the smaller number holds.
 EDITS, MANY_EDITS, SHORT_NAME = 5, 8, 40
+#: Letters by which texts are told apart before they are compared; digits count as one.
+LETTERS = [*string.ascii_lowercase, string.digits, " "]
 #: Entries too short to hold three tokens, and how many of them, by lowest id, a short name tries first.
 BRIEF, BRIEF_FIRST = 10, 500
 
@@ -55,20 +62,21 @@ def score_bound(common, la, lb, prefix):
 
 
 class Directory:
-    """Bounds of the cells: most letters of each class, lengths, and first letters from and to."""
+    """Bounds of parts of the cells: most letters of each class, lengths, and first letters from and to."""
 
     def __init__(self, rows):
-        self.cell = np.array([r["cell"] for r in rows], np.int64)
+        rows = sorted(rows, key=lambda r: r["cell"])
+        self.cell, self.start = np.unique(np.array([r["cell"] for r in rows], np.int64), return_index=True)
         self.most = np.array([r["most"] for r in rows], np.int32).reshape(-1, CLASSES)
         self.low, self.high, self.first, self.last = (np.array([r[k] for r in rows], np.int64) for k in ("low", "high", "first", "last"))
 
-    def bounds(self, name: str) -> np.ndarray:
-        codes = np.frombuffer(name.encode("utf-32-le"), "<i4")
-        letters = np.bincount(codes % CLASSES, minlength=CLASSES)
+    def bounds(self, letters: np.ndarray, size: int, initial: int) -> np.ndarray:
+        """Per cell, for names of ``size`` characters with these letter counts that begin with ``initial``."""
         common = np.minimum(self.most, letters).sum(axis=1)
-        length = np.clip(common, self.low, self.high)   # the length in the cell's range that favours the name most
-        prefix = np.where((self.first <= codes[0]) & (codes[0] <= self.last), 4, 0)
-        return score_bound(np.minimum(common, np.minimum(length, len(codes))), len(codes), length, prefix)
+        length = np.clip(common, self.low, self.high)   # the length in the part's range that favours the name most
+        prefix = np.where((self.first <= initial) & (initial <= self.last), 4, 0)
+        bound = score_bound(np.minimum(common, np.minimum(length, size)), size, length, prefix)
+        return np.maximum.reduceat(bound, self.start) if len(bound) else bound
 
 
 def _closest(names: pd.Series, entries: pd.DataFrame) -> pd.DataFrame:
@@ -77,11 +85,12 @@ def _closest(names: pd.Series, entries: pd.DataFrame) -> pd.DataFrame:
     if len(names) and len(entries):
         entries = entries.sort_values("id", ignore_index=True)
         codes, lengths = code_points(entries["entry"].tolist())
-        counts = _letter_counts(codes)
+        counts, same = np.unique(_letter_counts(codes), axis=0, return_inverse=True)
         for name in names:
             a = np.frombuffer(name.encode("utf-32-le"), "<i4")
             la = len(a)
             common = np.minimum(counts, np.bincount(a % CLASSES, minlength=CLASSES)).sum(axis=1)
+            common = common[same]
             width = min(4, la, codes.shape[1])
             prefix = np.cumprod(codes[:, :width] == a[:width], axis=1).sum(axis=1)
             bound = score_bound(common, la, lengths, prefix)
@@ -105,19 +114,32 @@ def _closest(names: pd.Series, entries: pd.DataFrame) -> pd.DataFrame:
 
 def name_index(entries: DataFrame, cell_rows: int = CELL_ROWS, max_cells: int = MAX_CELLS) -> tuple[DataFrame, Directory]:
     """Entries (unique id, distinct entry) with their cell, stored, and the directory of cells (at most ``max_cells``)."""
-    # Neighbours in this order have first letter, length and most letters alike.
-    like = [F.ascii("entry"), F.floor(4 * F.log2(F.length("entry"))), *[F.floor((F.length("entry") - F.length(F.translate("entry", x, ""))) / 2) for x in "aeoisr"]]
+    # Neighbours in this order have first letter, length and most letters alike; the letters whose counts differ most come first.
+    count = lambda x: F.length("entry") - F.length(F.translate("entry", x, ""))
+    letters = string.ascii_lowercase + string.digits
+    spread = entries.agg(*[F.coalesce(F.var_pop(count(x)), F.lit(0.0)).alias(x) for x in letters]).first()
+    used = sorted(letters, key=lambda x: (-round(spread[x], 6), x))[:SORT_LETTERS]
+    like = [F.ascii("entry"), F.floor(4 * F.log2(F.length("entry"))), *[count(x) for x in used]]
     sorted_ = position(entries.withColumns({f"_l{i}": c for i, c in enumerate(like)}), [], [*[f"_l{i}" for i in range(len(like))], "id"], "_n")
     n = sorted_.count()
     rows = max(cell_rows, -(-n // max_cells))
-    cells = kept(sorted_.select("id", "entry", F.floor((F.col("_n") - 1) / rows).alias("cell")), "cells")
+    part_rows = max(-(-rows // CELL_PARTS), -(-n // max_cells))
+    at = F.col("_n") - 1
+    cells = kept(sorted_.select("id", "entry", F.floor(at / rows).alias("cell"), F.floor(at % rows / part_rows).alias("part")), "cells")
 
     def bounds(part: pd.DataFrame) -> pd.DataFrame:
         codes, lengths = code_points(part["entry"].tolist())
-        return pd.DataFrame({"cell": part["cell"].iloc[:1].tolist(), "most": [_letter_counts(codes).max(axis=0).tolist()], "low": [int(lengths.min())],
-                             "high": [int(lengths.max())], "first": [int(codes[:, 0].min())], "last": [int(codes[:, 0].max())]})
+        most, start = _letter_counts(codes), np.unique(part["part"], return_inverse=True)[1]
+        per = pd.DataFrame({"p": start, "low": lengths, "high": lengths, "first": codes[:, 0], "last": codes[:, 0]}).groupby("p").agg(
+            {"low": "min", "high": "max", "first": "min", "last": "max"})
+        return pd.DataFrame({"cell": part["cell"].iloc[0], "most": [most[start == p].max(axis=0).tolist() for p in per.index], "low": per["low"].tolist(),
+                             "high": per["high"].tolist(), "first": per["first"].tolist(), "last": per["last"].tolist()})
+
+    return cells.drop("part"), Directory(cells.groupBy("cell").applyInPandas(bounds, "cell long, most array<int>, low long, high long, first long, last long").collect())
+
 
-    return cells, Directory(cells.groupBy("cell").applyInPandas(bounds, "cell long, most array<int>, low long, high long, first long, last long").collect())
+def _tasks(df: DataFrame) -> int:
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def visits(names: DataFrame, directory: Directory, best: bool) -> DataFrame:
@@ -129,26 +151,34 @@ def visits(names: DataFrame, directory: Directory, best: bool) -> DataFrame:
     def run(parts):
         d = cloudpickle.loads(sent.value)
         for part in parts:
-            out = []
-            for row in part.itertuples(index=False):
-                bound = d.bounds(row.name)
+            alike, out = {}, []   # names that differ in the order of their letters only have the same bounds
+            for i, name in enumerate(part["name"]):
+                codes = np.frombuffer(name.encode("utf-32-le"), "<i4")
+                alike.setdefault((np.bincount(codes % CLASSES, minlength=CLASSES).tobytes(), len(codes), int(codes[0])), []).append(i)
+            for (letters, size, initial), rows in alike.items():
+                bound = d.bounds(np.frombuffer(letters, np.int64), size, initial)
                 top = int(bound.argmax()) if len(bound) else -1
                 if best:
-                    hits = [top] if top >= 0 and bound[top] >= REVIEW_SCORE else []
-                else:
-                    hits = [i for i in np.flatnonzero(bound >= max(REVIEW_SCORE, row.score)) if i != top]
-                out += [(row.name, int(d.cell[i])) for i in hits]
+                    hits = np.array([top] if top >= 0 and bound[top] >= REVIEW_SCORE else [], np.int64)
+                    out += [(part["name"].iat[i], int(d.cell[h])) for i in rows for h in hits]
+                    continue
+                near = np.flatnonzero(bound >= REVIEW_SCORE)
+                near = near[near != top]
+                for i in rows if len(near) else []:
+                    out += [(part["name"].iat[i], int(d.cell[h])) for h in near[bound[near] >= part["score"].iat[i]]]
             yield pd.DataFrame(out, columns=["name", "cell"])
 
-    return names.mapInPandas(run, "name string, cell long")
+    # Names are few in bytes and heavy in work.
+    return names.repartition(_tasks(names), "name").mapInPandas(run, "name string, cell long")
 
 
 def _scored(asked: DataFrame, cells: DataFrame, id_type: str, tasks: int | None, bucket_rows: int) -> DataFrame:
     """(name, id, score) for (name, cell) rows.  A cell asked by many names is met by buckets of them, each with the cell's rows."""
+    asked = kept(asked, "visits")
     per_cell = asked.groupBy("cell").agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("_parts"))
     right = cells.join(per_cell, "cell").withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     left = asked.join(per_cell, "cell").withColumn("_bucket", F.pmod(F.xxhash64("name"), F.col("_parts")).cast("int")).drop("_parts")
-    tasks = tasks or 4 * int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks or _tasks(asked)
     keys = ["cell", "_bucket"]
     # Cells are small in bytes and heavy in work: their tasks are set here, not merged by size.
     left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
@@ -242,8 +272,10 @@ def _best(df: DataFrame, key: str) -> DataFrame:
 def by_overlap(names: DataFrame, entries: DataFrame, token_rows: int = TOKEN_ROWS, tasks: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(name, id, overlap) for names that share at least half of the smaller token set with an entry: highest overlap, lowest id."""
     asked, given = kept(_token_sets(names, "name"), "asked"), kept(_token_sets(entries, "entry", F.min("id").alias("id")), "given")
-    # at most (tokens of the dictionary) / token_rows rows
-    frequent = given.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > token_rows)
+    # frequent: met by many pairs; at most (tokens of names and dictionary) / token_rows rows
+    uses = lambda df, c: df.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias(c))
+    both = uses(given, "rows").join(uses(asked, "asked"), "token", "left")
+    frequent = both.where((F.col("rows") > token_rows) | (F.col("rows") * F.col("asked") > token_rows ** 2)).select("token", "rows")
     frequent = kept(frequent, "frequent")
     asked_tokens, given_tokens = kept(_ordered(asked, frequent), "asked_tokens"), kept(_ordered(given, frequent), "given_tokens")
     pairs = kept(token_candidates(asked_tokens, given_tokens, hot_rows), "pairs")
@@ -257,6 +289,12 @@ def by_overlap(names: DataFrame, entries: DataFrame, token_rows: int = TOKEN_ROW
     return keyed.join(best, "key").select("name", "id", "overlap")
 
 
+def _letters(c: str) -> Column:
+    """How often each of ``LETTERS`` is in a text, and how many other characters."""
+    n = [F.length(c) - F.length(F.translate(c, x, "")) for x in LETTERS]
+    return F.array(*n, F.length(c) - sum(n, F.lit(0)))
+
+
 def _pieces(df: DataFrame, edits: int, length: Column, *more: str) -> DataFrame:
     """A row per piece (``i``, start ``at`` from 0, ``size``) of texts of ``length``, cut evenly into ``edits`` + 1 pieces, the longer ones last."""
     k = edits + 1
@@ -270,24 +308,40 @@ def edit_candidates(names: DataFrame, entries: DataFrame, edits: int, hot_rows:
 
     A piece is looked for only where it can stand: not shifted by more than the edits before it and behind it
     allow.  Entries of ``edits`` characters or fewer have no pieces; they are met by single characters.
+    Texts with the same piece and letters first stand for one another, so that pieces which many texts share
+    meet once, and only where the letters differ by so few edits.
     """
+    names = names.select("name", _letters("name").alias("letters"))
+    entries = entries.select("entry", _letters("entry").alias("letters"))
+    lengths = F.broadcast(entries.select(F.length("entry").alias("_len")).distinct())   # few: texts are short or of like length
     long_ = entries.where(F.length("entry") > edits)
-    given = _pieces(long_, edits, F.length("entry")).select(F.md5("entry").alias("entry"), F.xxhash64("_l", "i", F.expr("substring(entry, at + 1, size)")).alias("piece"))
+    given = _pieces(long_, edits, F.length("entry")).select(F.md5("entry").alias("entry"), "letters", F.xxhash64("_l", "i", F.expr("substring(entry, at + 1, size)")).alias("piece"))
     m = F.length("name")
     ranged = names.withColumn("_len", F.explode(F.sequence(F.greatest(m - edits, F.lit(edits + 1)), m + edits))).where(m > 0) if edits else names.withColumn("_len", m)
-    cut = _pieces(ranged.where(F.col("_len") <= m + edits), edits, F.col("_len"))
+    cut = _pieces(ranged.where(F.col("_len") <= m + edits).join(lengths, "_len", "left_semi"), edits, F.col("_len"))
     shift = m - F.col("_len")
     low = F.greatest(F.col("at") - F.col("i"), F.col("at") + shift - (F.lit(edits) - F.col("i")), F.lit(0))
     high = F.least(F.col("at") + F.col("i"), F.col("at") + shift + (F.lit(edits) - F.col("i")), m - F.col("size"))
     cut = cut.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn("_at", F.explode(F.sequence("_low", "_high")))
-    asked = cut.select(F.md5("name").alias("name"), F.xxhash64("_l", "i", F.expr("substring(name, _at + 1, size)")).alias("piece")).distinct()
+    asked = cut.select(F.md5("name").alias("name"), "letters", F.xxhash64("_l", "i", F.expr("substring(name, _at + 1, size)")).alias("piece")).distinct()
     brief = entries.where(F.length("entry").between(1, edits))
-    letters = lambda c: F.array_distinct(F.split(c, ""))
-    given = given.unionByName(brief.select(F.md5("entry").alias("entry"), F.explode(letters("entry")).alias("c"), F.length("entry").alias("l")).select("entry", F.xxhash64("l", "c").alias("piece")))
+    single = lambda c: F.array_distinct(F.split(c, ""))
+    given = given.unionByName(brief.select(F.md5("entry").alias("entry"), "letters", F.explode(single("entry")).alias("c"), F.length("entry").alias("l")).select("entry", "letters", F.xxhash64("l", "c").alias("piece")))
     near = names.where((m > edits) & (m <= 2 * edits)).withColumn("l", F.explode(F.sequence(m - edits, F.lit(edits))))
-    asked = asked.unionByName(near.select(F.md5("name").alias("name"), "l", F.explode(letters("name")).alias("c")).select("name", F.xxhash64("l", "c").alias("piece")))
-    counts = asked.groupBy("piece").agg(F.count("*").alias("n"))
-    return join_counted(asked, given, ["piece"], counts, "name", hot_rows).where(F.col("entry").isNotNull()).select("name", "entry").distinct()
+    asked = asked.unionByName(near.select(F.md5("name").alias("name"), "letters", "l", F.explode(single("name")).alias("c")).select("name", "letters", F.xxhash64("l", "c").alias("piece")))
+    asked, given = kept(asked.distinct(), "asked_pieces"), kept(given.distinct(), "given_pieces")
+    kinds = lambda df, c: df.select("piece", F.col("letters").alias(c)).distinct()
+    left, right = kinds(asked, "a"), kinds(given, "b")
+    met = join_counted(left, right, ["piece"], left.groupBy("piece").agg(F.count("*").alias("n")), "a", hot_rows)
+    more = lambda x, y: sum(F.greatest(F.get(x, F.lit(i)) - F.get(y, F.lit(i)), F.lit(0)) for i in range(len(LETTERS) + 1))
+    few = F.greatest(more("a", "b"), more("b", "a")) <= edits   # each edit takes one letter away, adds one, or both
+    met = kept(met.where(F.col("b").isNotNull() & few), "pieces")
+    counts = lambda df, *keys: df.groupBy(*keys).agg(F.count("*").alias("n"))
+    some = asked.withColumnRenamed("letters", "a")
+    found = join_counted(some, met, ["piece", "a"], counts(some, "piece", "a"), "name", hot_rows).where(F.col("b").isNotNull()).select("piece", "b", "name")
+    met_counts = counts(some, "piece", "a").join(met, ["piece", "a"]).groupBy("piece", "b").agg(F.sum("n").alias("n"))
+    pairs = join_counted(found, given.withColumnRenamed("letters", "b"), ["piece", "b"], met_counts, "name", hot_rows)
+    return pairs.where(F.col("entry").isNotNull()).select("name", "entry").distinct()
 
 
 def within_edits(names: DataFrame, entries: DataFrame, brief_first: int = BRIEF_FIRST, hot_rows: int = HOT_ROWS, tasks: int | None = None) -> DataFrame:

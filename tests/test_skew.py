@@ -205,3 +205,30 @@ def test_index_skips_cells_and_survives_long_names(spark):
     assert first.count() + later.count() < 0.7 * cells
     got = {r["name"]: r["id"] for r in fuzzy.closest_names(n, e, shard_rows=20, cells=4).collect()}
     assert got["ab" * 10000] == 600
+
+
+def test_common_pieces_meet_by_letters(spark):
+    # "000" is in every text, but the letters around it are too far apart to be within the edits
+    names = spark.createDataFrame([(f"manual co 5000000{i:03d}",) for i in range(60)] + [("suplier 000000007x",)], "name string")
+    entries = spark.createDataFrame([(f"supplier 000000{i:03d}",) for i in range(60)], "entry string")
+    pairs = fuzzy.edit_candidates(names, entries, 5)
+    assert pairs.count() == 60 and pairs.select("name").distinct().count() == 1
+
+
+def test_token_of_many_names_and_entries_makes_no_pairs(spark):
+    names = spark.createDataFrame([(f"supplier n{i:04d}",) for i in range(300)], "name string")
+    entries = spark.createDataFrame([(i, f"supplier e{i:04d}") for i in range(30)], "id long, entry string")
+    frequent = []
+    real, fuzzy.kept = fuzzy.kept, lambda df, name: (frequent.append(df.count()) if name in ("frequent", "pairs") else None, df)[1]
+    try:
+        got = fuzzy.by_overlap(names, entries, token_rows=50).collect()
+    finally:
+        fuzzy.kept = real
+    assert frequent == [1, 0] and len(got) == 300 and {(r["id"], r["overlap"]) for r in got} == {(0, 0.5)}
+
+
+def test_like_names_visit_few_cells(spark):
+    entries = spark.createDataFrame([(i, f"supplier {i:09d}") for i in range(2000)], "id long, entry string")
+    _, directory = fuzzy.name_index(entries, 50)
+    names = spark.createDataFrame([(f"supblier {i:09d}", 0.97) for i in range(0, 2000, 40)], "name string, score double")
+    assert fuzzy.visits(names, directory, False).count() < 0.5 * 50 * len(directory.cell)
