@@ -94,7 +94,7 @@ def append_buckets(df: DataFrame, base: str, version: int, by: Sequence[str], sp
     known = manifest(spark, base, version) or {}
     touched = touched_buckets(df, by, buckets)
     full = [b for b in touched if len(known.get(b, ())) >= compact]
-    rows = df if not full else df.unionByName(read_buckets(spark, base, full, version))
+    rows = df if not full else df.unionByName(read_buckets(spark, base, full, version).select(*df.columns))
     commit_buckets(rows, base, version, by, touched, full, buckets, spread)
 
 

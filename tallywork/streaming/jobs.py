@@ -115,12 +115,15 @@ def dispatched_once(requests: DataFrame, ts: str = "ts", keys: tuple[str, ...] =
 def find_duplicates_as_they_arrive(invoices: DataFrame, base: str, checkpoint: str, buckets: int = BUCKETS) -> None:
     """ST-3: duplicates against everything seen before.
 
-    History is a key table on storage, not operator state, kept twice: in buckets by document hash and in buckets by
-    fiscal key.  A batch reads the buckets its own keys fall into, and of those the rows that share a hash or a key with it.
+    History is a key table on storage, not operator state: hashes in buckets by document hash, fiscal keys in buckets by
+    key, each with the age of its row and no other column.  A batch reads the buckets its own keys fall into, and of those
+    the rows that share a hash or a key with it.  Rows without a hash, or with a part of the key missing, match nothing later.
     """
-    columns = ["id", "created_at", "document_hash", "processing_status", *LOOKUP_KEY]
+    age, status = ["id", "created_at"], "processing_status"
+    columns = [*age, "document_hash", status, *LOOKUP_KEY]
     spark = invoices.sparkSession
     tables = {f"{base}/by_hash": ["document_hash"], f"{base}/by_key": list(LOOKUP_KEY)}
+    held = {f"{base}/by_hash": [*age, "document_hash"], f"{base}/by_key": [*age, status, *LOOKUP_KEY]}
 
     def batch(df: DataFrame, batch_id: int) -> None:
         rows = kept(df.select(*columns), "arrived")
@@ -128,12 +131,13 @@ def find_duplicates_as_they_arrive(invoices: DataFrame, base: str, checkpoint: s
         for table, keys in tables.items():  # a repeated batch ignores its own first try
             known = read_buckets(spark, table, touched_buckets(rows, keys, buckets), batch_id)
             if known is not None:
-                seen = seen.unionByName(known.join(rows.select(*keys).distinct(), keys, "left_semi").select(*columns))
-        both = rows.unionByName(seen.dropDuplicates(["id"]))
-        hits = find_duplicates(both).join(rows.select("id"), "id", "left_semi")
+                seen = seen.unionByName(known.join(rows.select(*keys), keys, "left_semi"), allowMissingColumns=True)
+        # A row found by both halves of the history becomes one again.
+        seen = seen.groupBy(*age).agg(*[F.max(c).alias(c) for c in columns if c not in age]).select(*columns)
+        hits = find_duplicates(rows.unionByName(seen)).join(rows.select("id"), "id", "left_semi")
         hits.write.mode("overwrite").parquet(f"{base}/found/batch={batch_id}")
         for table, keys in tables.items():
-            append_buckets(rows, table, batch_id, keys, "id", buckets)
+            append_buckets(rows.select(*held[table]).dropna(subset=keys), table, batch_id, keys, "id", buckets)
 
     run_available(invoices, checkpoint, batch)
 

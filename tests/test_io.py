@@ -8,7 +8,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tallywork.operators.duplicates import find_duplicates
+from tallywork.operators.duplicates import LOOKUP_KEY, find_duplicates
 from tallywork.session import shared_dir
 from tallywork.sinks import buckets as B, invoices as S, tables as W
 from tallywork.sources import collect as C, datasets as G, landing as A
@@ -148,6 +148,19 @@ def test_duplicates_on_arrival(spark, tmp_path, in_steps):
     assert got.count() == 90 and same(got, find_duplicates(everything))
 
 
+def test_arrival_history_keeps_what_it_looks_up(spark, tmp_path, in_steps):
+    out = str(tmp_path / "out")
+    with_gaps = lambda df: df.withColumns({"document_hash": F.expr("CASE WHEN id % 7 <> 0 THEN document_hash END"),
+                                           "invoice_number": F.expr("CASE WHEN id % 5 <> 0 THEN invoice_number END")})
+    everything = in_steps(lambda s: J.find_duplicates_as_they_arrive(with_gaps(s), out, str(tmp_path / "c")))
+    by_hash, by_key = B.read_buckets(spark, f"{out}/by_hash"), B.read_buckets(spark, f"{out}/by_key")
+    assert set(by_hash.columns) == {"id", "created_at", "document_hash"}
+    assert set(by_key.columns) == {"id", "created_at", "processing_status", *LOOKUP_KEY}
+    assert by_hash.count() == everything.where("id % 7 <> 0").count()
+    got = spark.read.parquet(f"{out}/found").drop("batch")
+    assert got.count() == 90 and same(got, find_duplicates(with_gaps(everything)))
+
+
 def test_throughput_and_rolling_windows(spark, tmp_path, in_steps):
     out = str(tmp_path / "days")
     everything = in_steps(lambda s: J.daily_throughput(s, out, str(tmp_path / "c")))
