@@ -24,12 +24,13 @@ def is_nine_digits(c: Column) -> Column:
 
 def valid_tax_id(c: Column) -> Column:
     """STR-10: nine digits, allowed first digit, modulo-11 check digit; null is not valid."""
-    def check(x):
-        digit = lambda i: F.ascii(F.substring(x, i, 1)) - 48
-        total = sum((digit(i + 1) * w for i, w in enumerate(WEIGHTS[1:], 1)), digit(1) * WEIGHTS[0])
-        rest = total % 11
-        control = F.when(rest <= 1, 0).otherwise(F.lit(11) - rest)
-        return is_nine_digits(x) & F.substring(x, 1, 1).isin(FIRST_DIGITS) & (control == digit(9))
-
-    # The one-element array binds the input, so it is computed once and not once per digit.
-    return F.exists(F.array(F.coalesce(c, F.lit(""))), check)
+    def check(n):
+        # Weighted digits and the check digit (weight 1) add up to a multiple of 11; the check digit is 0 where it would be 10 or 11.
+        total = sum(((F.call_function("div", n, F.lit(10 ** (8 - i))) % 10) * w for i, w in enumerate(WEIGHTS)), F.lit(0))
+        rest, last = total % 11, n % 10
+        return ((rest > 1) & (rest + last == 11)) | ((rest <= 1) & (last == 0))
+
+    # The one-element array binds the number, so it is computed once and not once per digit; other texts give no number.
+    text = F.coalesce(c, F.lit(""))
+    number = F.when(text.rlike(f"^[{''.join(FIRST_DIGITS)}][0-9]{{8}}$"), text.try_cast("long"))
+    return F.exists(F.array(number), lambda n: F.coalesce(check(n), F.lit(False)))

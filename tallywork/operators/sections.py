@@ -20,11 +20,11 @@ def _warnings(*found: Column) -> Column:
 
 def header_guards(headers: DataFrame) -> DataFrame:
     """VAL-5: tax ids that are missing or fail the checksum become null with a warning."""
-    out, notes = headers, []
-    for c in ("supplier_nif", "receiver_nif"):
-        notes.append(F.when(F.col(c).isNull(), f"{c} missing").when(~valid_tax_id(F.col(c)), f"{c} invalid"))
-    out = out.withColumn("warnings", _warnings(*notes))
-    return out.withColumns({c: F.when(valid_tax_id(F.col(c)), F.col(c)) for c in ("supplier_nif", "receiver_nif")})
+    ids = ("supplier_nif", "receiver_nif")
+    out = headers.withColumns({f"_{c}_valid": valid_tax_id(F.col(c)) for c in ids})   # once for the warning and the value
+    notes = [F.when(F.col(c).isNull(), f"{c} missing").when(~F.col(f"_{c}_valid"), f"{c} invalid") for c in ids]
+    out = out.withColumn("warnings", _warnings(*notes)).withColumns({c: F.when(F.col(f"_{c}_valid"), F.col(c)) for c in ids})
+    return out.drop(*[f"_{c}_valid" for c in ids])
 
 
 def totals_guards(totals: DataFrame) -> DataFrame:

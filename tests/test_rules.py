@@ -235,3 +235,11 @@ def test_unmapped_items_carry_their_count(rows):
     from tallywork.operators.ledger import unmapped_items
     got = unmapped_items(rows("invoice_id long, description string, product_catalog_id long", (1, "a", None), (2, "a", None), (3, "b", 5), (4, None, None)))
     assert sorted((r.invoice_id, r.occurrence_count) for r in got.collect()) == [(1, 2), (2, 2), (4, 1)]
+
+
+def test_ids_are_checked_once_for_warning_and_value(spark, rows):
+    df = rows("supplier_nif string, receiver_nif string", ("502030712", "516315242"), ("302030712", None), ("502030713", "12345678"), ("502030712\n", "abcdefghi"))
+    out = S.header_guards(df)
+    assert [tuple(r) for r in out.select("supplier_nif", "receiver_nif", F.size("warnings")).collect()] == [
+        ("502030712", "516315242", 0), (None, None, 2), (None, None, 2), ("502030712\n", None, 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("exists(") == 2
