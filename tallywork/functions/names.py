@@ -25,7 +25,7 @@ def lookup_name(c: Column) -> Column:
 
 def compare_name(c: Column) -> Column:
     """STR-3: as STR-1, keeping letters and digits of every script."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), r"(?U)\W+", " "))
 
 
 def squeeze(c: Column) -> Column:

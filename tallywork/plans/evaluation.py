@@ -33,8 +33,10 @@ def same_value(e: Column, a: Column) -> Column:
 
 
 def close_name(e: Column, a: Column) -> Column:
-    x, y = compare_name(e), compare_name(a)
-    return _both(e, a, x.contains(y) | y.contains(x) | (F.levenshtein(x, y) <= 3))
+    """Equal names need no normal form; of others it is made once: the one-element array binds it."""
+    near = lambda p: p["x"].contains(p["y"]) | p["y"].contains(p["x"]) | (F.levenshtein(p["x"], p["y"], 3) >= 0)
+    forms = F.array(F.struct(compare_name(e).alias("x"), compare_name(a).alias("y")))
+    return _both(e, a, F.when(e == a, True).otherwise(F.exists(forms, near)))
 
 
 def same_digits(e: Column, a: Column) -> Column:
@@ -48,9 +50,11 @@ def close_number(e: Column, a: Column, tolerance: str = MONEY_TOLERANCE) -> Colu
 
 
 def close_description(e: Column, a: Column) -> Column:
-    x, y = compare_name(e), compare_name(a)
-    edits, longest = F.levenshtein(x, y), F.greatest(F.length(x), F.length(y))
-    return _both(e, a, (edits <= 5) | (edits * 5 <= longest))
+    def near(p):
+        edits, longest = F.levenshtein(p["x"], p["y"]), F.greatest(F.length(p["x"]), F.length(p["y"]))
+        return edits <= F.greatest(F.lit(5), F.floor(longest / 5))
+    forms = F.array(F.struct(compare_name(e).alias("x"), compare_name(a).alias("y")))
+    return _both(e, a, F.when(e == a, True).otherwise(F.exists(forms, near)))
 
 
 def _list(c: Column) -> Column:

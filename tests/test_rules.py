@@ -243,3 +243,16 @@ def test_ids_are_checked_once_for_warning_and_value(spark, rows):
     assert [tuple(r) for r in out.select("supplier_nif", "receiver_nif", F.size("warnings")).collect()] == [
         ("502030712", "516315242", 0), (None, None, 2), (None, None, 2), ("502030712\n", None, 1)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("exists(") == 2
+
+
+def test_names_are_normalised_once_and_only_if_they_differ(spark, rows):
+    texts = ["Acme, Lda.", "ACME lda", "Acmee Lda", "", "  ", "Other\u00a0Name", "other name", "Acme Lda Porto", "Acne Lida", "\u0301x"]
+    pairs = rows("e string, a string", *[(x, y) for x in texts for y in texts], (None, "x"), (None, None))
+    x, y = (F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", " "), r"(?U)\s+", " ")) for c in ("e", "a"))
+    edits, longest = F.levenshtein(x, y), F.greatest(F.length(x), F.length(y))
+    e, a = F.col("e"), F.col("a")
+    both = lambda same: F.when(e.isNull() & a.isNull(), True).when(e.isNull() | a.isNull(), False).otherwise(same)
+    for made, want in ((E.close_name(e, a), both(x.contains(y) | y.contains(x) | (edits <= 3))),
+                       (E.close_description(e, a), both((edits <= 5) | (edits * 5 <= longest)))):
+        assert pairs.where(~made.eqNullSafe(want)).count() == 0
+        assert str(made).count("regexp_replace") == 2
