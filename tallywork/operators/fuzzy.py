@@ -31,7 +31,7 @@ BUCKET_ROWS = 5_000
 CHUNK = 512
 CLASSES = 32
 #: Parts of a cell with bounds of their own, letters that sort the dictionary.
-CELL_PARTS = 8
+CELL_PARTS = 32
 SORT_LETTERS = 8
 #: Entries that a token may have before it is treated as frequent.
 TOKEN_ROWS = 1_000
