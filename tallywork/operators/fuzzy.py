@@ -15,6 +15,7 @@ Two searches, each exact:
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,8 +40,10 @@ TOKEN_ROWS = 1_000
 EDITS, MANY_EDITS, SHORT_NAME = 5, 8, 40
 #: Letters by which texts are told apart before they are compared; digits count as one.
 LETTERS = [*string.ascii_lowercase, string.digits, " "]
-#: Entries too short to hold three tokens, and how many of them, by lowest id, a short name tries first.
-BRIEF, BRIEF_FIRST = 10, 500
+#: Entries that every name tries first, by lowest id; how blocks of further ones grow; pairs to a row of a hot key.
+BRIEF_FIRST = 500
+BLOCK_GROWTH = 4
+PAIRS_A_ROW = 10
 
 
 # --- closest name by Jaro-Winkler ------------------------------------------------------
@@ -290,9 +293,9 @@ def by_overlap(names: DataFrame, entries: DataFrame, token_rows: int = TOKEN_ROW
 
 
 def _letters(c: str) -> Column:
-    """How often each of ``LETTERS`` is in a text, and how many other characters."""
+    """How often each of ``LETTERS`` is in a text, and how many other characters; beyond 127 counts as 127, which brings texts closer at most."""
     n = [F.length(c) - F.length(F.translate(c, x, "")) for x in LETTERS]
-    return F.array(*n, F.length(c) - sum(n, F.lit(0)))
+    return F.array(*[F.least(x, F.lit(127)).cast("byte") for x in [*n, F.length(c) - sum(n, F.lit(0))]])
 
 
 def _pieces(df: DataFrame, edits: int, length: Column, *more: str) -> DataFrame:
@@ -303,9 +306,10 @@ def _pieces(df: DataFrame, edits: int, length: Column, *more: str) -> DataFrame:
     return cut.withColumn("at", F.col("i") * base + F.greatest(F.lit(0), F.col("i") - wide)).withColumn("size", base + (F.col("i") >= wide).cast("int"))
 
 
-def edit_candidates(names: DataFrame, entries: DataFrame, edits: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(name, entry) pairs, as their MD5, that can be within ``edits``: one of the entry's ``edits`` + 1 pieces occurs in the name.
+def _edit_groups(names: DataFrame, entries: DataFrame, edits: int, hot_rows: int, key) -> tuple[DataFrame, DataFrame]:
+    """Names and entries, as their ``key``, by what they can meet at: (piece, b, name) and (piece, b, entry), ``b`` being the entry's letters.
 
+    A pair within ``edits`` shares such a row: one of the entry's ``edits`` + 1 pieces occurs in the name.
     A piece is looked for only where it can stand: not shifted by more than the edits before it and behind it
     allow.  Entries of ``edits`` characters or fewer have no pieces; they are met by single characters.
     Texts with the same piece and letters first stand for one another, so that pieces which many texts share
@@ -315,7 +319,7 @@ def edit_candidates(names: DataFrame, entries: DataFrame, edits: int, hot_rows:
     entries = entries.select("entry", _letters("entry").alias("letters"))
     lengths = F.broadcast(entries.select(F.length("entry").alias("_len")).distinct())   # few: texts are short or of like length
     long_ = entries.where(F.length("entry") > edits)
-    given = _pieces(long_, edits, F.length("entry")).select(F.md5("entry").alias("entry"), "letters", F.xxhash64("_l", "i", F.expr("substring(entry, at + 1, size)")).alias("piece"))
+    given = _pieces(long_, edits, F.length("entry")).select(key("entry").alias("entry"), "letters", F.xxhash64("_l", "i", F.expr("substring(entry, at + 1, size)")).alias("piece"))
     m = F.length("name")
     ranged = names.withColumn("_len", F.explode(F.sequence(F.greatest(m - edits, F.lit(edits + 1)), m + edits))).where(m > 0) if edits else names.withColumn("_len", m)
     cut = _pieces(ranged.where(F.col("_len") <= m + edits).join(lengths, "_len", "left_semi"), edits, F.col("_len"))
@@ -323,57 +327,110 @@ def edit_candidates(names: DataFrame, entries: DataFrame, edits: int, hot_rows:
     low = F.greatest(F.col("at") - F.col("i"), F.col("at") + shift - (F.lit(edits) - F.col("i")), F.lit(0))
     high = F.least(F.col("at") + F.col("i"), F.col("at") + shift + (F.lit(edits) - F.col("i")), m - F.col("size"))
     cut = cut.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn("_at", F.explode(F.sequence("_low", "_high")))
-    asked = cut.select(F.md5("name").alias("name"), "letters", F.xxhash64("_l", "i", F.expr("substring(name, _at + 1, size)")).alias("piece")).distinct()
+    asked = cut.select(key("name").alias("name"), "letters", F.xxhash64("_l", "i", F.expr("substring(name, _at + 1, size)")).alias("piece"))
     brief = entries.where(F.length("entry").between(1, edits))
     single = lambda c: F.array_distinct(F.split(c, ""))
-    given = given.unionByName(brief.select(F.md5("entry").alias("entry"), "letters", F.explode(single("entry")).alias("c"), F.length("entry").alias("l")).select("entry", "letters", F.xxhash64("l", "c").alias("piece")))
+    given = given.unionByName(brief.select(key("entry").alias("entry"), "letters", F.explode(single("entry")).alias("c"), F.length("entry").alias("l")).select("entry", "letters", F.xxhash64("l", "c").alias("piece")))
     near = names.where((m > edits) & (m <= 2 * edits)).withColumn("l", F.explode(F.sequence(m - edits, F.lit(edits))))
-    asked = asked.unionByName(near.select(F.md5("name").alias("name"), "letters", "l", F.explode(single("name")).alias("c")).select("name", "letters", F.xxhash64("l", "c").alias("piece")))
-    asked, given = kept(asked.distinct(), "asked_pieces"), kept(given.distinct(), "given_pieces")
+    asked = asked.unionByName(near.select(key("name").alias("name"), "letters", "l", F.explode(single("name")).alias("c")).select("name", "letters", F.xxhash64("l", "c").alias("piece")))
+    given = kept(given.distinct(), "given_pieces")
+    # most pieces of most names are in no entry
+    asked = kept(asked.join(given.select("piece").distinct(), "piece", "left_semi").select("name", "letters", "piece").distinct(), "asked_pieces")
     kinds = lambda df, c: df.select("piece", F.col("letters").alias(c)).distinct()
     left, right = kinds(asked, "a"), kinds(given, "b")
     met = join_counted(left, right, ["piece"], left.groupBy("piece").agg(F.count("*").alias("n")), "a", hot_rows)
     more = lambda x, y: sum(F.greatest(F.get(x, F.lit(i)) - F.get(y, F.lit(i)), F.lit(0)) for i in range(len(LETTERS) + 1))
     few = F.greatest(more("a", "b"), more("b", "a")) <= edits   # each edit takes one letter away, adds one, or both
     met = kept(met.where(F.col("b").isNotNull() & few), "pieces")
-    counts = lambda df, *keys: df.groupBy(*keys).agg(F.count("*").alias("n"))
     some = asked.withColumnRenamed("letters", "a")
-    found = join_counted(some, met, ["piece", "a"], counts(some, "piece", "a"), "name", hot_rows).where(F.col("b").isNotNull()).select("piece", "b", "name")
-    met_counts = counts(some, "piece", "a").join(met, ["piece", "a"]).groupBy("piece", "b").agg(F.sum("n").alias("n"))
-    pairs = join_counted(found, given.withColumnRenamed("letters", "b"), ["piece", "b"], met_counts, "name", hot_rows)
+    counts = some.groupBy("piece", "a").agg(F.count("*").alias("n"))
+    found = join_counted(some, met, ["piece", "a"], counts, "name", hot_rows).where(F.col("b").isNotNull()).select("piece", "b", "name")
+    return kept(found, "found"), given.withColumnRenamed("letters", "b")
+
+
+def edit_candidates(names: DataFrame, entries: DataFrame, edits: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(name, entry) pairs, as their MD5, that can be within ``edits``; see :func:`_edit_groups`."""
+    found, given = _edit_groups(names, entries, edits, hot_rows, F.md5)
+    counts = found.groupBy("piece", "b").agg(F.count("*").alias("n"))
+    pairs = join_counted(found, given, ["piece", "b"], counts, "name", hot_rows)
     return pairs.where(F.col("entry").isNotNull()).select("name", "entry").distinct()
 
 
+def _first_within(names: DataFrame, entries: DataFrame, n: int, edits: int, first: int, hot_rows: int) -> DataFrame:
+    """(name, at) for ``names`` within ``edits`` of one of the ``n`` entries (numbered ``at``) but the first ``first``: the lowest of these.
+
+    Entries come in blocks that grow by ``BLOCK_GROWTH``, in order, and a name that found one asks no further.  So names that
+    are near to many entries try few, and for the others there are few pairs.  Pairs are verified where they meet: none are
+    moved or written.
+    """
+    found, given = _edit_groups(names, entries.where(F.col("at") > first), edits, hot_rows, F.xxhash64)
+    keyed = lambda df, c, *more: df.select(F.xxhash64(c).alias("_k"), F.col(c).alias(f"_{c}"), *more)
+    asked = kept(found.join(keyed(names, "name"), found.name == F.col("_k")).select("piece", "b", "_name"), "asked_groups")
+    answers, low = [], first
+    while low < n and asked.take(1):
+        high = max(low, 1) * BLOCK_GROWTH
+        block = keyed(entries.where((F.col("at") > low) & (F.col("at") <= high)), "entry", "at")
+        block = given.join(block, given.entry == F.col("_k")).select("piece", "b", "_entry", "at")
+        # a key is hot by its pairs, of which a task takes PAIRS_A_ROW for each of the hot rows
+        many = block.groupBy("piece", "b").agg(F.ceil(F.count("*") / PAIRS_A_ROW).alias("_m"))
+        counts = asked.groupBy("piece", "b").agg(F.count("*").alias("n")).join(many, ["piece", "b"]).select("piece", "b", (F.col("n") * F.col("_m")).alias("n"))
+        met = join_counted(asked, block, ["piece", "b"], counts, "_name", hot_rows)
+        hit = F.col("_entry").isNotNull() & (F.levenshtein("_name", "_entry", edits) >= 0)
+        answers.append(kept(met.where(hit).groupBy(F.col("_name").alias("name")).agg(F.min("at").alias("at")), "answers"))
+        low = high
+        if low < n:
+            asked = kept(asked.join(answers[-1].select(F.col("name").alias("_name")), "_name", "left_anti").select("piece", "b", "_name"), "asked_groups")
+    return reduce(DataFrame.unionByName, answers) if answers else names.select("name", F.lit(0).cast("long").alias("at")).limit(0)
+
+
+def _sharing(names: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The names and entries that share a token but less than half of the smaller set: three tokens or more, one of them known to the other side."""
+    each = lambda df, c: df.select("*", F.explode(name_tokens(F.col(c))).alias("_t")).where(F.size(name_tokens(F.col(c))) >= 3)
+    asked, given = each(names, "name"), each(entries, "entry")
+    both = kept(asked.select("_t").distinct().join(given.select("_t").distinct(), "_t"), "shared_tokens")
+    known = lambda df: df.join(both, "_t", "left_semi").drop("_t").distinct()
+    return known(asked), known(given)
+
+
 def within_edits(names: DataFrame, entries: DataFrame, brief_first: int = BRIEF_FIRST, hot_rows: int = HOT_ROWS, tasks: int | None = None) -> DataFrame:
     """(name, id, overlap) for names within the edit limit of an entry (5, or 8 for names over 40 characters): highest overlap, lowest id.
 
-    ``names`` are those that :func:`by_overlap` left open.  Brief names are close to many brief entries, which share no half-way overlap with them, so that the lowest id
-    decides: they try the entries with the lowest ids first, and only names that find none go on to all brief entries.
+    ``names`` are those that :func:`by_overlap` left open, so nearly all pairs share no token and the lowest id decides.  Names may be close
+    to very many entries: they try the entries with the lowest ids first, and only names that find none go on, see :func:`_first_within`.
+    Pairs that share a token, less than half of three or more, win over those and are all compared.
     """
-    m, brief = F.length("name"), F.length("entry") <= BRIEF
-    few = F.struct("id", "entry")
-    first = entries.where(brief).orderBy("id").limit(brief_first).agg(F.array_sort(F.collect_list(few)).alias("l")).scalar()
-    tried = names.withColumn("_first", first).withColumn("_hit", F.when(m <= BRIEF + EDITS, F.get(F.filter("_first", lambda e: F.levenshtein(F.col("name"), e["entry"], EDITS) >= 0), F.lit(0))["id"])).drop("_first")
-    tried = kept(tried, "tried")
-    hits = tried.where("_hit IS NOT NULL").select("name", F.col("_hit").alias("id"), F.lit(0.0).alias("overlap"))
-    # two empty-handed cases that need no pairs: a name of at most EDITS characters is near every entry of at most EDITS
-    tiny = entries.where(F.length("entry") <= EDITS).agg(F.min("id")).scalar()
-    tiny_hits = names.where(m <= EDITS).select("name", tiny.alias("id"), F.lit(0.0).alias("overlap")).where("id IS NOT NULL")
-    asked_brief = tried.where((m <= BRIEF + EDITS) & F.col("_hit").isNull()).select("name")
-    pairs = [edit_candidates(asked_brief, entries.where(brief), EDITS, hot_rows),
-             edit_candidates(names.where(m <= SHORT_NAME), entries.where(~brief), EDITS, hot_rows),
-             edit_candidates(names.where(m > SHORT_NAME), entries.where(~brief), MANY_EDITS, hot_rows)]
-    pairs = kept(pairs[0].unionByName(pairs[1]).unionByName(pairs[2]), "edit_pairs")
-    pairs = pairs.repartition(tasks, "name") if tasks else pairs
+    m = F.length("name")
+    limits = [(m <= SHORT_NAME, EDITS), (m > SHORT_NAME, MANY_EDITS)]
+    numbered = kept(position(entries.select("id", "entry"), [], ["id", "entry"], "at"), "numbered")
+    n = numbered.count()
+    first = numbered.where(F.col("at") <= brief_first).agg(F.array_sort(F.collect_list(F.struct("at", "entry"))).alias("l")).scalar()
+    near = lambda e: F.when(m <= SHORT_NAME, F.levenshtein(F.col("name"), e["entry"], EDITS)).otherwise(F.levenshtein(F.col("name"), e["entry"], MANY_EDITS)) >= 0
+    spread = names.repartition(tasks or _tasks(names), "name")   # names are few in bytes and heavy in work
+    tried = kept(spread.withColumn("_first", first).withColumn("at", F.get(F.filter("_first", near), F.lit(0))["at"]).drop("_first"), "tried")
+    answers = [tried.where("at IS NOT NULL").select("name", "at")]
+    # a name of at most EDITS characters is near every entry of at most EDITS, which needs no pairs
+    tiny = numbered.where(F.length("entry") <= EDITS).agg(F.min("at")).scalar()
+    answers.append(names.where(m <= EDITS).select("name", tiny.alias("at")).where("at IS NOT NULL"))
+    open_names = tried.where("at IS NULL").select("name")
+    answers += [_first_within(open_names.where(size), numbered, n, edits, brief_first, hot_rows) for size, edits in limits]
+    lowest = reduce(DataFrame.unionByName, answers).groupBy("name").agg(F.min("at").alias("at"))
+    hits = lowest.join(numbered.select("at", "id"), "at").select("name", "id", F.lit(0.0).alias("overlap"))
+
+    asked, given = _sharing(names, entries.select("id", "entry"))
+    asked, given = kept(asked, "sharing_names"), kept(given, "sharing_entries")
+    if not asked.take(1):
+        return hits.select("name", "id", "overlap")
+    pairs = [edit_candidates(asked.where(size), given, edits, hot_rows) for size, edits in limits]
+    pairs = kept(pairs[0].unionByName(pairs[1]), "edit_pairs")
     text = lambda df, c, *more: df.select(F.md5(c).alias("_k"), F.col(c).alias(f"_{c}"), *more)
-    left = pairs.join(text(names, "name").withColumnRenamed("_k", "name"), "name")
-    both = join_counted(left, text(entries, "entry", "id").withColumnRenamed("_k", "entry"), ["entry"], pairs.groupBy("entry").agg(F.count("*").alias("n")), "name", hot_rows)
-    near = F.when(F.length("_name") <= SHORT_NAME, F.levenshtein("_name", "_entry", EDITS)).otherwise(F.levenshtein("_name", "_entry", MANY_EDITS)) >= 0
+    left = pairs.join(text(asked, "name").withColumnRenamed("_k", "name"), "name")
+    both = join_counted(left, text(given, "entry", "id").withColumnRenamed("_k", "entry"), ["entry"], pairs.groupBy("entry").agg(F.count("*").alias("n")), "name", hot_rows)
+    close = F.when(F.length("_name") <= SHORT_NAME, F.levenshtein("_name", "_entry", EDITS)).otherwise(F.levenshtein("_name", "_entry", MANY_EDITS)) >= 0
     x, y = name_tokens(F.col("_name")), name_tokens(F.col("_entry"))
     small = F.least(F.size(x), F.size(y))
     overlap = F.when(small > 0, F.size(F.array_intersect(x, y)) / small).otherwise(0.0)
-    verified = both.where(near).select(F.col("_name").alias("name"), "id", overlap.alias("overlap"))
-    return _best(hits.unionByName(tiny_hits).unionByName(verified), "name").select("name", "id", "overlap")
+    verified = both.where(close).select(F.col("_name").alias("name"), "id", overlap.alias("overlap"))
+    return _best(hits.unionByName(verified), "name").select("name", "id", "overlap")
 
 
 def names_by_tokens(names: DataFrame, entries: DataFrame, id_type: str = "long", shard_rows: int = TOKEN_ROWS, cells: int | None = None) -> DataFrame:

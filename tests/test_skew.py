@@ -232,3 +232,22 @@ def test_like_names_visit_few_cells(spark):
     _, directory = fuzzy.name_index(entries, 50)
     names = spark.createDataFrame([(f"supblier {i:09d}", 0.97) for i in range(0, 2000, 40)], "name string, score double")
     assert fuzzy.visits(names, directory, False).count() < 0.5 * 50 * len(directory.cell)
+
+
+def test_names_near_to_most_entries_try_few(spark):
+    # nearly all pairs are within the edits: they are neither stored nor all compared, and the lowest id is found all the same
+    entries = [(1000 - i, f"supplier#{i * 7919 % 100000:09d}") for i in range(400)]
+    names = [f"supblier#{i * 104729 % 100000:09d}" for i in range(150)] + ["three other words", "supplier 000000000 of lisbon"]
+    entries += [(5, "supplier#000000000 of lisbom"), (2000, "supplier 00000000x fo lisben")]
+    stored = {}
+    real, fuzzy.kept = fuzzy.kept, lambda df, name: stored.setdefault(name, []).append(out := real(df, name)) or out
+    try:
+        got = {r["name"]: r["id"] for r in fuzzy.within_edits(spark.createDataFrame([(n,) for n in names], "name string"),
+               spark.createDataFrame(entries, "id long, entry string"), brief_first=30).collect()}
+    finally:
+        fuzzy.kept = real
+    assert max(df.count() for dfs in stored.values() for df in dfs) < len(names) * len(entries) / 5
+    for n in names[:-1]:
+        near = [i for i, e in entries if abs(len(n) - len(e)) <= 5 and plain_edits(n, e) <= 5]
+        assert got.get(n) == (min(near) if near else None), n
+    assert got[names[-1]] == 2000   # shares one token of three, which beats a lower id
