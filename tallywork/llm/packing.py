@@ -10,7 +10,9 @@ numbered within their length by the tasks that make them and find their places i
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 
@@ -24,6 +26,11 @@ from .common import at_spaces, per_process, pick, store
 BATCH = 2000
 SENT_COUNTS = 1_000_000
 
+#: The split of byte-level vocabularies, and texts that all regex engines split alike by it: characters of blocks
+#: whose letters, numbers and blanks have been settled for long.  Other texts are left to the tokenizer.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SETTLED = re.compile("[\x00-\u052f\u2000-\u2064\u20a0-\u20b2\u3001\u3002\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e]*").fullmatch
+
 
 def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int,
          weights: tuple[float, float, float] = (1.0, 0.2, 0.2), rule: str = "norm") -> list[tuple[int, int, int, int, int, int]]:
@@ -84,8 +91,35 @@ def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int,
     return out
 
 
+def quick_coder(model):
+    """tiktoken's encoding with the same ids as the tokenizer ``model`` on settled texts; None if that isn't sure.
+
+    Both merge the pair of lowest rank, the leftmost among equals, but one asks for listed pairs, the other for
+    pairs whose joined bytes are a token (or takes the whole pre-token, if it is one).  What becomes of a stretch of
+    bytes doesn't depend on its neighbours until a token crosses its ends: where every token's own bytes end as that
+    token, by the listed pairs, no pair but the last of these can ever stand for it.
+    """
+    import tiktoken
+
+    spec = json.loads(model.to_str())
+    bpe, split = spec["model"], spec["pre_tokenizer"] or {}
+    if (bpe["type"] != "BPE" or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space")
+            or any(spec.get(k) for k in ("normalizer", "truncation", "padding")) or not all(t["special"] for t in spec["added_tokens"])
+            or any(bpe.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    vocab = bpe["vocab"]
+    made = [vocab["".join(pair.split(" ") if isinstance(pair, str) else pair)] for pair in bpe["merges"]]
+    if (any(a >= b for a, b in zip(made, made[1:])) or not byte.keys() <= vocab.keys() or any(not byte.keys() >= set(t) for t in vocab)
+            or any([x.id for x in model.model.tokenize(t)] != [i] for t, i in vocab.items())):
+        return None
+    return tiktoken.Encoding("same ids", pat_str=SPLIT, mergeable_ranks={bytes(map(byte.__getitem__, t)): i for t, i in vocab.items()}, special_tokens={})
+
+
 class Tokens:
-    """Token ids of whole texts as little-endian 32-bit numbers; parts between single blanks are kept once encoded."""
+    """Token ids of whole texts as little-endian 32-bit numbers, of settled texts by :func:`quick_coder` if it can;
+    of the others, parts between single blanks are kept once encoded."""
 
     def __init__(self, path: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -93,6 +127,7 @@ class Tokens:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.quick = quick_coder(self.model)
         self.parts: dict[str, bytes] = {}
         self.keep = keep
         self.size = np.zeros(self.model.get_vocab_size(), np.int64)   # a token's bytes: one character each in a byte-level vocabulary
@@ -124,6 +159,15 @@ class Tokens:
         return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
 
     def of(self, texts: list[str]):
+        if not self.quick:
+            yield from self.by_parts(texts)
+            return
+        settled = [SETTLED(text) is not None for text in texts]
+        others = self.by_parts([text for text, quick in zip(texts, settled) if not quick])
+        for text, quick in zip(texts, settled):
+            yield self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes() if quick else next(others)
+
+    def by_parts(self, texts: list[str]):
         cut = [at_spaces(text) for text in texts]
         got = [list(map(self.parts.get, parts[1:])) for parts in cut]
         open_ = [i for i, g in enumerate(got) if None in g]

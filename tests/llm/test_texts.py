@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
 import struct
@@ -202,6 +203,42 @@ def test_packing(docs):
     assert packing.best_fit_pack(df.limit(0), P.path("byte_bpe_50k.json"), 2).collect() == []
 
 
+def test_tokens_equal_the_tokenizer_by_either_way():
+    path, rnd = P.path("byte_bpe_50k.json"), random.Random(61)
+    tokens, model = packing.Tokens(path), Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+    letters = [chr(c) for c in range(0x10000) if packing.SETTLED(chr(c))]
+    texts = [f"a{c}a1{c}1.{c}. {c}{c} {c}'s\n{c} \n" for c in letters]
+    texts += [noise(rnd, "aab  \n\t'sétheing1,. \x1c\x85\xa0中ß") for _ in range(3000)] + [noise(rnd, "ab 🙂é\U0001e900", 30) for _ in range(300)]
+    texts += ["", " " * 50_000 + "x", "a" * 50_000, "\n" * 50_000, "<|endoftext|> x", *["".join(rnd.choices("aehinorst", k=200)) for _ in range(500)]]
+    want = [struct.pack(f"<{len(c.ids)}I", *c.ids) for c in model.encode_batch(texts, add_special_tokens=False)]
+    assert list(tokens.of(texts)) == want
+    assert list(tokens.by_parts(texts[-900:])) == want[-900:]
+    assert tokens.quick and not set(tokens.parts) & {"settled", "texts"}
+    assert list(tokens.of(["only settled texts", "a 🙂"])) == [model_bytes(model, "only settled texts"), model_bytes(model, "a 🙂")]
+    assert "🙂" in tokens.parts and not set(tokens.parts) & {"settled", "texts"}
+
+
+def model_bytes(model, text):
+    ids = model.encode(text, add_special_tokens=False).ids
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_tokens_of_models_that_may_differ_stay_with_the_tokenizer(tmp_path):
+    spec = json.loads(open(P.path("byte_bpe_50k.json")).read())
+    base = {t: i for t, i in spec["model"]["vocab"].items() if len(t) == 1}
+    own = lambda merges, **more: spec | {"added_tokens": [], "model": spec["model"] | {"vocab": base | {a + b: 256 + i for i, (a, b) in enumerate(merges)}, "merges": merges}} | more
+    # "abc" by itself is ab, c: the pair a, bc is listed but never comes up, while tiktoken would take the whole.
+    kinds = {"same": own([["a", "b"], ["ab", "c"]]), "unreached": own([["a", "b"], ["b", "c"], ["a", "bc"]]), "normalized": own([["a", "b"]], normalizer={"type": "Lowercase"})}
+    for name, kind in kinds.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(kind))
+        tokens, model = packing.Tokens(str(path)), Tokenizer.from_file(str(path))
+        assert (tokens.quick is not None) == (name == "same")
+        texts = ["abc ABc bc abcabc", "ab abc", "", "cabbc 1"]
+        assert list(tokens.of(texts)) == [model_bytes(model, t) for t in texts]
+
+
 def test_chat_round_trip_of_control_strings(spark):
     rnd = random.Random(7)
     parts = ["\\", "<s>", "</s>", "[INST]", "[/INST]", " ", "\n", "<", "s>", "/", "[", "é", "$1"]
