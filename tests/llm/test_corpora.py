@@ -260,6 +260,39 @@ def small_model(seed):
     return coder, model, found
 
 
+def test_subwords_of_many_words_at_once_are_those_of_each(monkeypatch):
+    rnd = random.Random(31)
+    coder = lm.Subwords(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    found = words(" ".join("".join(rnd.choice("abé'1.中🙂") for _ in range(rnd.randint(1, 12))) for _ in range(5000)))
+    odd = [w for x in "\x85\xa0\x1c\u2003" for w in (x.encode(), ("a" + x).encode(), (x + "b").encode(), f"a{x}{x}b".encode())]
+    plain = lambda w: [coder.end] if w == lm.END else coder.coder.encode_ordinary(" " + w.decode())
+    want, calls, each = {w: plain(w) for w in [*found, *odd, lm.END]}, [], coder.coder.encode_ordinary
+    monkeypatch.setattr(coder.coder, "encode_ordinary", lambda text: calls.append(text) or each(text))
+    for some in (found[:3000], [*found, found[0]], [*odd, lm.END], [lm.END], found + odd):
+        ids, sizes = coder.stream(coder.of(some))
+        assert ids.tolist() == [i for w in some for i in want[w]] and sizes.tolist() == [len(want[w]) for w in some]
+    assert len(calls) <= len(odd)   # a call for each word before
+
+
+def test_training_steps_on_one_vector_equal_steps_weight_by_weight():
+    rnd = np.random.default_rng(33)
+    p = attention.initial(rnd.integers(0, 5, (9, 8)), 2, width=4, hidden=5)
+    windows = rnd.integers(-1, 8, (40, attention.WINDOW + 1)).astype(np.int16)
+    kept = {k: v.copy() for k, v in p.items()}
+    got = attention.train(p, windows, 6, 0.01, 3, 16)
+    assert all((p[k] == kept[k]).all() for k in p)
+    m, v, order, draws = {k: 0.0 for k in p}, {k: 0.0 for k in p}, np.empty(0, int), np.random.default_rng(3)
+    for s in range(6):
+        if not len(order):
+            order = draws.permutation(len(windows))
+        some, order = windows[order[:16]].astype(np.int64), order[16:]
+        _, g = attention.gradients(kept, np.where(some[:, :-1] < 0, 8, some[:, :-1]), some[:, 1:])
+        for k in g:
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.98 * v[k] + 0.02 * g[k] ** 2
+            kept[k] = kept[k] - 0.01 * min(1, (s + 1) / 20) * (1 - 0.9 * s / 6) * m[k] / (1 - 0.9 ** (s + 1)) / (np.sqrt(v[k] / (1 - 0.98 ** (s + 1))) + 1e-8)
+    assert all(np.allclose(got[k], kept[k], atol=1e-4) for k in kept)
+
+
 def test_next_words_share_a_mass_of_one_at_most():
     coder, model, found = small_model(21)
     rnd = random.Random(22)
