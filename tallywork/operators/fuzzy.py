@@ -4,9 +4,9 @@ Two searches, each exact:
 
 * :func:`closest_names` (Jaro-Winkler) has no lossless equality key, so it goes by bounds.
   The dictionary is sorted by first letter, length and letter counts and cut into cells of
-  like entries; a directory keeps bounds on lengths and letter counts for parts of each cell.  A
-  name visits the cell with the best bound first, and afterwards only those that can still beat what it
-  found there.
+  like entries; a directory keeps bounds on lengths, letter counts and the places of letters for parts of
+  each cell.  A name visits the cell with the best bound first, and afterwards only those that can still beat
+  what it found there.
 * :func:`names_by_tokens` (token overlap, else edit distance) joins by equality: tokens, of which
   frequent ones are compared as sets of frequent tokens, not entry by entry; and, for names that no
   token answers, pieces of entries of which at least one must occur unchanged.
@@ -30,7 +30,12 @@ CELL_ROWS = 512
 MAX_CELLS = 65_536
 BUCKET_ROWS = 5_000
 CHUNK = 512
-CLASSES = 32
+#: Classes of characters, places that a word of bits tells apart, pairs of names and cells or entries in an array.
+CLASSES = 39
+WORD = 64
+PAIRS = 1 << 15
+#: Names, or visits of names to cells, that are worth a task.
+TASK_ROWS = 4_000
 #: Parts of a cell with bounds of their own, letters that sort the dictionary.
 CELL_PARTS = 32
 SORT_LETTERS = 8
@@ -48,16 +53,37 @@ PAIRS_A_ROW = 10
 
 # --- closest name by Jaro-Winkler ------------------------------------------------------
 
+def _classes(codes: np.ndarray) -> np.ndarray:
+    """Characters hashed to classes; ASCII letters and digits have one each.  Shared classes can only raise a bound."""
+    return codes % CLASSES
+
+
 def _letter_counts(codes: np.ndarray) -> np.ndarray:
-    """Letters per row, hashed to classes; shared classes can only raise the bound."""
+    """Characters of each class per row."""
     out = np.zeros((codes.shape[0], CLASSES), dtype=np.int32)
     for j in range(codes.shape[1]):
-        col = codes[:, j]
-        used = np.flatnonzero(col >= 0)
-        out[used, col[used] % CLASSES] += 1
+        used = np.flatnonzero(codes[:, j] >= 0)
+        out[used, _classes(codes[used, j])] += 1
     return out
 
 
+def _places(codes: np.ndarray) -> np.ndarray:
+    """Per row and class a word with a bit for each place that holds the class; the last bit stands for all places from there on."""
+    out = np.zeros((codes.shape[0], CLASSES), dtype=np.uint64)
+    for j in range(codes.shape[1]):
+        used = np.flatnonzero(codes[:, j] >= 0)
+        out[used, _classes(codes[used, j])] |= np.uint64(1 << min(j, WORD - 1))
+    return out
+
+
+def _windows(la: int, lengths: np.ndarray) -> list[np.ndarray]:
+    """Per place (of the first ``WORD``) of a text of ``la`` characters the places of texts of ``lengths`` that it can match, as bits."""
+    reach, which = np.unique(np.maximum(np.maximum(la, lengths) // 2 - 1, 0), return_inverse=True)
+    bits = lambda i, w: ((2 << min(WORD - 1, i + w)) - 1) & ~((1 << max(0, i - w)) - 1)
+    table = [np.array([bits(i, int(w)) for w in reach], np.uint64) for i in range(min(la, WORD))]
+    return table if len(reach) == 1 else [row[which] for row in table]
+
+
 def score_bound(common, la, lb, prefix):
     """Most that Jaro-Winkler can be with so many letters in common, these lengths and this common prefix."""
     jaro = (common / la + common / np.maximum(lb, 1) + 1) / 3
@@ -65,54 +91,201 @@ def score_bound(common, la, lb, prefix):
 
 
 class Directory:
-    """Bounds of parts of the cells: most letters of each class, lengths, and first letters from and to."""
+    """What the entries of a part of a cell, and of a whole cell, have at most: characters of each class, places that hold one, and lengths.
+
+    Characters match only where they stand near one another, so a name has at most as many matches in a class as it has characters
+    with a place of that class near them, nor more than any entry has.
+    """
 
     def __init__(self, rows):
         rows = sorted(rows, key=lambda r: r["cell"])
         self.cell, self.start = np.unique(np.array([r["cell"] for r in rows], np.int64), return_index=True)
-        self.most = np.array([r["most"] for r in rows], np.int32).reshape(-1, CLASSES)
-        self.low, self.high, self.first, self.last = (np.array([r[k] for r in rows], np.int64) for k in ("low", "high", "first", "last"))
-
-    def bounds(self, letters: np.ndarray, size: int, initial: int) -> np.ndarray:
-        """Per cell, for names of ``size`` characters with these letter counts that begin with ``initial``."""
-        common = np.minimum(self.most, letters).sum(axis=1)
-        length = np.clip(common, self.low, self.high)   # the length in the part's range that favours the name most
-        prefix = np.where((self.first <= initial) & (initial <= self.last), 4, 0)
-        bound = score_bound(np.minimum(common, np.minimum(length, size)), size, length, prefix)
-        return np.maximum.reduceat(bound, self.start) if len(bound) else bound
-
-
-def _closest(names: pd.Series, entries: pd.DataFrame) -> pd.DataFrame:
-    """Per name the entry of highest Jaro-Winkler score (lowest id on ties), if at least the review score."""
-    found = []
-    if len(names) and len(entries):
+        self.end = np.append(self.start[1:], len(rows))
+        table = lambda k, kind: np.ascontiguousarray(np.frombuffer(b"".join(bytes(r[k]) for r in rows), kind).reshape(-1, CLASSES).T)
+        self.most, self.places = table("most", "<i4"), table("places", "<u8")
+        self.windows: tuple = (None, [])
+        self.few = np.minimum(self.most, 255).astype(np.uint8)
+        self.low, self.high = (np.array([r[k] for r in rows], np.int64) for k in ("low", "high"))
+        if len(rows):
+            self.cell_most, self.cell_places = np.maximum.reduceat(self.most, self.start, axis=1), np.bitwise_or.reduceat(self.places, self.start, axis=1)
+            self.cell_low, self.cell_high = np.minimum.reduceat(self.low, self.start), np.maximum.reduceat(self.high, self.start)
+
+    @staticmethod
+    def _bound(common, size, low, high, prefix):
+        length = np.minimum(np.maximum(common, low), high)   # the length in the range that favours the name most
+        return score_bound(np.minimum(common, np.minimum(length, size)), size, length, prefix)
+
+    def cell_bounds(self, names: np.ndarray) -> np.ndarray:
+        """Per name (a row of classes, all of one length) and cell."""
+        size = names.shape[1]
+        near, prefix = np.zeros((len(names), len(self.cell)), np.int32), np.zeros((len(names), len(self.cell)), np.int8)
+        run = np.ones(near.shape, bool)
+        for i, window in enumerate(_windows(size, self.cell_high)):
+            held = self.cell_places[names[:, i]]
+            if i < 4:
+                run &= (held & np.uint64(1 << i)) != 0
+                prefix += run
+            held &= window
+            near += held != 0
+        near += max(0, size - WORD)
+        counts, fit = _letter_counts(names), np.zeros(near.shape, np.int32)
+        for c in np.flatnonzero(counts.any(axis=0)):
+            fit += np.minimum(counts[:, c, None], self.cell_most[c])
+        return self._bound(np.minimum(near, fit), size, self.cell_low, self.cell_high, prefix)
+
+    def part_bounds(self, name: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the parts of some cells, in order, and the bound of each for a name (its classes)."""
+        if len(cells) == len(self.cell):
+            some, own = np.arange(len(self.low)), slice(None)
+        else:
+            some = own = np.concatenate([np.arange(a, b) for a, b in zip(self.start[cells], self.end[cells])])
+        size, high = len(name), self.high[own]
+        if size != self.windows[0]:   # names come by their size
+            self.windows = size, _windows(size, self.high)
+        windows, held = [w if len(w) == 1 else w[own] for w in self.windows[1]], {}
+        kind = np.uint8 if size <= WORD else np.int32   # of numbers of characters, none above the size
+        common, later = np.zeros(len(some), kind), np.bincount(name[WORD:], minlength=CLASSES).astype(kind)
+        for c in np.unique(name):
+            row = held[c] = self.places[c][own]
+            near = np.full(len(some), later[c])
+            for i in np.flatnonzero(name[:WORD] == c):
+                near += ((row & windows[i]) != 0).view(np.uint8)
+            common += np.minimum(near, (self.few if kind is np.uint8 else self.most)[c][own])
+        run, prefix = np.ones(len(some), bool), np.zeros(len(some), np.uint8)
+        for i, c in enumerate(name[:4]):
+            run &= (held[c] & np.uint64(1 << i)) != 0
+            prefix += run.view(np.uint8)
+        return some, self._bound(common, size, self.low[own], high, prefix)
+
+    def likeliest(self, name: np.ndarray, parts: np.ndarray, bound: np.ndarray) -> int:
+        """Of the parts with the best bound the one that holds most characters of the name at their own place."""
+        best = parts[bound == bound.max()]
+        at = name[:WORD]
+        alike = (self.places[at[:, None], best] >> np.arange(len(at), dtype=np.uint64)[:, None]) & np.uint64(1)
+        return int(best[np.argmax(alike.sum(axis=0))])
+
+
+class Matcher:
+    """Texts of at most ``WORD`` characters, met by many names at once: a word per text and character tells the places that hold it."""
+
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray):
+        self.codes, self.lengths = codes[:, :WORD], lengths
+        self.alphabet, at = np.unique(self.codes, return_inverse=True)
+        at, n = at.reshape(self.codes.shape), np.arange(len(lengths))
+        self.held = np.zeros((len(self.alphabet) + 1, len(lengths)), np.uint64)   # the last row: characters of no text
+        for j in range(self.codes.shape[1]):
+            self.held[at[:, j], n] |= np.uint64(1 << j)
+        if self.alphabet[0] == -1:
+            self.held[0] = 0
+
+    def _letters(self, names: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.alphabet, names), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == names, at, len(self.alphabet))
+
+    def bounds(self, names: np.ndarray) -> np.ndarray:
+        """Per name (a row of code points, all of one length) and text the score they would have if no matches were swapped."""
+        letters, size = self._letters(names), names.shape[1]
+        used, matches, low = np.zeros((len(names), len(self.lengths)), np.uint64), np.zeros((len(names), len(self.lengths)), np.uint8), None
+        for i, window in enumerate(_windows(size, self.lengths)):
+            low = self.held[letters[:, i]]
+            low &= window
+            low &= ~used
+            low &= -low   # the first place that is near and free
+            used |= low
+            matches += low != 0
+        run, prefix = np.ones(used.shape, bool), np.zeros(used.shape, np.int8)
+        for i in range(min(4, size, self.codes.shape[1])):
+            run &= self.codes[:, i] == names[:, i:i + 1]
+            prefix += run
+        return score_bound(matches, size, self.lengths, prefix)
+
+    def scores(self, names: np.ndarray, row: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Jaro-Winkler of pairs, as :func:`jaro_winkler_rows` has it, to nine digits."""
+        letters, size, lengths = self._letters(names)[row], names.shape[1], self.lengths[text]
+        used, hits = np.zeros(len(row), np.uint64), []
+        for i, window in enumerate(_windows(size, lengths)):
+            low = self.held[letters[:, i], text] & window & ~used
+            low &= -low
+            used |= low
+            hits.append(low != 0)
+        matches, swapped = np.sum(hits, axis=0), np.zeros(len(row), np.int64)
+        for i, hit in enumerate(hits):
+            low = np.where(hit, used & -used, np.uint64(0))
+            used ^= low
+            swapped += hit & ((self.held[letters[:, i], text] & low) == 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            jaro = np.where(matches > 0, (matches / size + matches / lengths + (matches - swapped / 2) / matches) / 3, 0.0)
+        width = min(4, size, self.codes.shape[1])
+        prefix = np.cumprod(self.codes[text, :width] == names[row, :width], axis=1).sum(axis=1)
+        return np.round(jaro + prefix * 0.1 * (1 - jaro), 9)
+
+    def best(self, names: np.ndarray, least: np.ndarray):
+        """(row of the name, row of the text, score) of the best text per name, the first on ties, where it reaches ``least``."""
+        step = max(1, PAIRS // max(1, len(self.lengths)))
+        for start in range(0, len(names), step):
+            some = names[start:start + step]
+            bound, every = self.bounds(some), np.arange(len(some))
+            wanted = np.maximum(least[start:start + step], self.scores(some, every, bound.argmax(axis=1)))
+            row, text = np.nonzero(bound >= wanted[:, None])
+            score = np.concatenate([self.scores(some, row[i:i + PAIRS], text[i:i + PAIRS]) for i in range(0, len(row), PAIRS)] or [np.zeros(0)])
+            order = np.lexsort((text, -score, row))
+            row, text, score = row[order], text[order], score[order]
+            first = np.unique(row, return_index=True)[1]
+            yield from ((start + int(row[i]), int(text[i]), float(score[i])) for i in first if score[i] >= wanted[row[i]])
+
+
+def _best_of_long(a: np.ndarray, least: float, codes: np.ndarray, lengths: np.ndarray, counts: np.ndarray, same: np.ndarray) -> tuple[float, int]:
+    """Best score and its row (the first on ties; -1 if none) of one text among others, for texts of any length."""
+    la = len(a)
+    common = np.minimum(counts, np.bincount(_classes(a), minlength=CLASSES)).sum(axis=1)[same]
+    width = min(4, la, codes.shape[1])
+    prefix = np.cumprod(codes[:, :width] == a[:width], axis=1).sum(axis=1)
+    bound = score_bound(common, la, lengths, prefix)
+    live = np.flatnonzero(bound >= least)
+    live = live[np.argsort(-bound[live], kind="stable")]
+    best, best_row = 0.0, -1
+    for start in range(0, len(live), CHUNK):
+        part = live[start:start + CHUNK]
+        if bound[part[0]] < best:
+            break
+        tiled = np.repeat(a[None, :], len(part), axis=0)
+        score = np.round(jaro_winkler_rows(tiled, np.full(len(part), la), codes[part], lengths[part]), 9)
+        top = score.max()
+        row = int(part[score == top].min())
+        if top > best or (top == best and row < best_row):
+            best, best_row = float(top), row
+    return best, best_row
+
+
+def _closest(asked: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+    """Per name the entry of highest Jaro-Winkler score (lowest id on ties), if at least ``score``, what the name has so far."""
+    found: dict = {}
+
+    def offer(i: int, score: float, row: int) -> None:
+        if (score, -row) > found.get(i, (0.0, 0)):
+            found[i] = score, -row
+
+    names, least = asked["name"].tolist(), asked["score"].to_numpy()
+    if names and len(entries):
         entries = entries.sort_values("id", ignore_index=True)
-        codes, lengths = code_points(entries["entry"].tolist())
-        counts, same = np.unique(_letter_counts(codes), axis=0, return_inverse=True)
-        for name in names:
-            a = np.frombuffer(name.encode("utf-32-le"), "<i4")
-            la = len(a)
-            common = np.minimum(counts, np.bincount(a % CLASSES, minlength=CLASSES)).sum(axis=1)
-            common = common[same]
-            width = min(4, la, codes.shape[1])
-            prefix = np.cumprod(codes[:, :width] == a[:width], axis=1).sum(axis=1)
-            bound = score_bound(common, la, lengths, prefix)
-            live = np.flatnonzero(bound >= REVIEW_SCORE)
-            live = live[np.argsort(-bound[live], kind="stable")]
-            best, best_row = 0.0, -1
-            for start in range(0, len(live), CHUNK):
-                part = live[start:start + CHUNK]
-                if bound[part[0]] < best:
-                    break
-                tiled = np.repeat(a[None, :], len(part), axis=0)
-                score = np.round(jaro_winkler_rows(tiled, np.full(len(part), la), codes[part], lengths[part]), 9)
-                top = score.max()
-                row = int(part[score == top].min())
-                if top > best or (top == best and row < best_row):
-                    best, best_row = top, row
-            if best >= REVIEW_SCORE:
-                found.append((name, entries["id"].iat[best_row], best))
-    return pd.DataFrame(found, columns=["name", "id", "score"])
+        texts = entries["entry"].tolist()
+        sizes, name_sizes = np.array([len(t) for t in texts]), np.array([len(n) for n in names])
+        brief, wide = np.flatnonzero(sizes <= WORD), np.flatnonzero(sizes > WORD)
+        if len(brief):
+            matcher = Matcher(*code_points([texts[i] for i in brief]))
+            for size in np.unique(name_sizes[name_sizes <= WORD]):
+                at = np.flatnonzero(name_sizes == size)
+                for i, row, score in matcher.best(code_points([names[i] for i in at])[0], least[at]):
+                    offer(int(at[i]), score, int(brief[row]))
+        for rows, met in ((wide, np.arange(len(names))), (brief, np.flatnonzero(name_sizes > WORD))):
+            if len(rows) and len(met):
+                codes, lengths = code_points([texts[i] for i in rows])
+                counts, same = np.unique(_letter_counts(codes), axis=0, return_inverse=True)
+                for i in met:
+                    score, row = _best_of_long(np.frombuffer(names[i].encode("utf-32-le"), "<i4"), least[i], codes, lengths, counts, same)
+                    if score >= least[i]:
+                        offer(int(i), score, int(rows[row]))
+    return pd.DataFrame([(names[i], entries["id"].iat[-row], score) for i, (score, row) in found.items()], columns=["name", "id", "score"])
 
 
 def name_index(entries: DataFrame, cell_rows: int = CELL_ROWS, max_cells: int = MAX_CELLS) -> tuple[DataFrame, Directory]:
@@ -120,7 +293,15 @@ def name_index(entries: DataFrame, cell_rows: int = CELL_ROWS, max_cells: int =
     # Neighbours in this order have first letter, length and most letters alike; the letters whose counts differ most come first.
     count = lambda x: F.length("entry") - F.length(F.translate("entry", x, ""))
     letters = string.ascii_lowercase + string.digits
-    spread = entries.agg(*[F.coalesce(F.var_pop(count(x)), F.lit(0.0)).alias(x) for x in letters]).first()
+
+    def sums(parts):
+        for part in parts:
+            text = part["entry"].str
+            each = np.array([text.count(x) for x in letters], np.int64)
+            yield pd.DataFrame({"x": list(letters), "n": each.shape[1], "s": each.sum(axis=1), "q": (each ** 2).sum(axis=1)})
+
+    sums_ = entries.select("entry").mapInPandas(sums, "x string, n long, s long, q long").groupBy("x").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    spread = {x: 0.0 for x in letters} | {r["x"]: r["q"] / r["n"] - (r["s"] / r["n"]) ** 2 for r in sums_.collect()}
     used = sorted(letters, key=lambda x: (-round(spread[x], 6), x))[:SORT_LETTERS]
     like = [F.ascii("entry"), F.floor(4 * F.log2(F.length("entry"))), *[count(x) for x in used]]
     sorted_ = position(entries.withColumns({f"_l{i}": c for i, c in enumerate(like)}), [], [*[f"_l{i}" for i in range(len(like))], "id"], "_n")
@@ -132,21 +313,25 @@ def name_index(entries: DataFrame, cell_rows: int = CELL_ROWS, max_cells: int =
 
     def bounds(part: pd.DataFrame) -> pd.DataFrame:
         codes, lengths = code_points(part["entry"].tolist())
-        most, start = _letter_counts(codes), np.unique(part["part"], return_inverse=True)[1]
-        per = pd.DataFrame({"p": start, "low": lengths, "high": lengths, "first": codes[:, 0], "last": codes[:, 0]}).groupby("p").agg(
-            {"low": "min", "high": "max", "first": "min", "last": "max"})
-        return pd.DataFrame({"cell": part["cell"].iloc[0], "most": [most[start == p].max(axis=0).tolist() for p in per.index], "low": per["low"].tolist(),
-                             "high": per["high"].tolist(), "first": per["first"].tolist(), "last": per["last"].tolist()})
+        most, places = _letter_counts(codes), _places(codes)
+        of = [np.flatnonzero(part["part"] == p) for p in np.unique(part["part"])]
+        return pd.DataFrame({"cell": part["cell"].iloc[0], "most": [most[p].max(axis=0).astype("<i4").tobytes() for p in of],
+                             "places": [np.bitwise_or.reduce(places[p], axis=0).astype("<u8").tobytes() for p in of],
+                             "low": [lengths[p].min() for p in of], "high": [lengths[p].max() for p in of]})
 
-    return cells.drop("part"), Directory(cells.groupBy("cell").applyInPandas(bounds, "cell long, most array<int>, low long, high long, first long, last long").collect())
+    dealt = cells.repartition(_tasks(cells, n), "cell")
+    return cells.drop("part"), Directory(dealt.groupBy("cell").applyInPandas(bounds, "cell long, most binary, places binary, low long, high long").collect())
 
 
-def _tasks(df: DataFrame) -> int:
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _tasks(df: DataFrame, n: int | None = None) -> int:
+    """Tasks for rows that are few in bytes and heavy in work; not so many for ``n`` rows that starting them takes longer."""
+    most, cores = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism
+    return most if n is None else min(most, max(2 * cores, -(-n // TASK_ROWS)))
 
 
 def visits(names: DataFrame, directory: Directory, best: bool) -> DataFrame:
-    """(name, cell) to look at: the cell of the best bound, or (column ``score`` given) all others that can beat or equal the score."""
+    """(name, cell, score) to look at: the cell of the best bound, or all cells that can beat or equal the ``score`` given with a name, but for
+    the ``cell`` given with it, if any.  ``score`` is the least that counts."""
     from pyspark import cloudpickle
 
     sent = names.sparkSession.sparkContext.broadcast(cloudpickle.dumps(directory))   # with its class
@@ -154,38 +339,40 @@ def visits(names: DataFrame, directory: Directory, best: bool) -> DataFrame:
     def run(parts):
         d = cloudpickle.loads(sent.value)
         for part in parts:
-            alike, out = {}, []   # names that differ in the order of their letters only have the same bounds
-            for i, name in enumerate(part["name"]):
-                codes = np.frombuffer(name.encode("utf-32-le"), "<i4")
-                alike.setdefault((np.bincount(codes % CLASSES, minlength=CLASSES).tobytes(), len(codes), int(codes[0])), []).append(i)
-            for (letters, size, initial), rows in alike.items():
-                bound = d.bounds(np.frombuffer(letters, np.int64), size, initial)
-                top = int(bound.argmax()) if len(bound) else -1
-                if best:
-                    hits = np.array([top] if top >= 0 and bound[top] >= REVIEW_SCORE else [], np.int64)
-                    out += [(part["name"].iat[i], int(d.cell[h])) for i in rows for h in hits]
-                    continue
-                near = np.flatnonzero(bound >= REVIEW_SCORE)
-                near = near[near != top]
-                for i in rows if len(near) else []:
-                    out += [(part["name"].iat[i], int(d.cell[h])) for h in near[bound[near] >= part["score"].iat[i]]]
-            yield pd.DataFrame(out, columns=["name", "cell"])
-
-    # Names are few in bytes and heavy in work.
-    return names.repartition(_tasks(names), "name").mapInPandas(run, "name string, cell long")
+            texts, out = part["name"].tolist(), []
+            n = len(texts)
+            least = np.full(n, REVIEW_SCORE) if best else np.maximum(part["score"].to_numpy(), REVIEW_SCORE)
+            but = part["cell"].to_numpy() if "cell" in part else np.full(n, -1)
+            sizes = np.array([len(t) for t in texts], np.int64)
+            step = max(1, PAIRS // max(1, len(d.cell)))
+            for size in np.unique(sizes) if len(d.cell) else []:
+                own = np.flatnonzero(sizes == size)
+                for some in (own[i:i + step] for i in range(0, len(own), step)):
+                    classes = _classes(code_points([texts[i] for i in some])[0])
+                    for i, name, bound in zip(some, classes, d.cell_bounds(classes)):
+                        near = np.flatnonzero((bound >= least[i]) & (d.cell != but[i]))
+                        if not len(near):
+                            continue
+                        at, bound = d.part_bounds(name, near)
+                        at, bound = at[bound >= least[i]], bound[bound >= least[i]]
+                        at = np.array([d.likeliest(name, at, bound)]) if best and len(at) else at
+                        hit = np.unique(np.searchsorted(d.start, at, "right") - 1)
+                        out += [(texts[i], int(d.cell[h]), float(least[i])) for h in hit]
+            yield pd.DataFrame(out, columns=["name", "cell", "score"])
+
+    return names.repartition(_tasks(names, names.count()), "name").mapInPandas(run, "name string, cell long, score double")
 
 
 def _scored(asked: DataFrame, cells: DataFrame, id_type: str, tasks: int | None, bucket_rows: int) -> DataFrame:
-    """(name, id, score) for (name, cell) rows.  A cell asked by many names is met by buckets of them, each with the cell's rows."""
-    asked = kept(asked, "visits")
+    """(name, id, score) for (name, cell, score) rows.  A cell asked by many names is met by buckets of them, each with the cell's rows."""
     per_cell = asked.groupBy("cell").agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("_parts"))
     right = cells.join(per_cell, "cell").withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     left = asked.join(per_cell, "cell").withColumn("_bucket", F.pmod(F.xxhash64("name"), F.col("_parts")).cast("int")).drop("_parts")
-    tasks = tasks or _tasks(asked)
+    tasks = tasks or _tasks(asked, asked.count())
     keys = ["cell", "_bucket"]
     # Cells are small in bytes and heavy in work: their tasks are set here, not merged by size.
     left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: _closest(a["name"], b), f"name string, id {id_type}, score double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: _closest(a, b), f"name string, id {id_type}, score double")
 
 
 def closest_names(names: DataFrame, entries: DataFrame, id_type: str = "long", shard_rows: int = CELL_ROWS,
@@ -198,13 +385,16 @@ def closest_names(names: DataFrame, entries: DataFrame, id_type: str = "long", s
     names = names.where(F.col("name") != "").distinct()
     entries = entries.where(F.col("entry") != "")
     by_entry = entries.groupBy(F.col("entry").alias("name")).agg(F.min("id").alias("id"))
+    by_entry = kept(by_entry.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name"), "entries")
     equal = names.join(by_entry, "name").withColumn("score", F.lit(1.0))
     rest = kept(names.join(by_entry.select("name"), "name", "left_anti"), "names")
     index, directory = name_index(by_entry.select("id", F.col("name").alias("entry")), shard_rows)
     merged = lambda df: df.groupBy("name").agg(F.max("score").alias("score"), F.min_by("id", F.struct(-F.col("score"), "id")).alias("id"))
-    first = kept(_scored(visits(rest, directory, True), index, id_type, cells, bucket_rows), "first")
-    open_names = rest.join(first.select("name", "score"), "name", "left").select("name", F.coalesce("score", F.lit(0.0)).alias("score"))
-    later = _scored(visits(open_names, directory, False), index, id_type, cells, bucket_rows)
+    asked = kept(visits(rest, directory, True), "visits")
+    first = kept(_scored(asked, index, id_type, cells, bucket_rows), "first")
+    # a name without a first visit has no cell that reaches the review score
+    open_names = asked.select("name", "cell").join(first.select("name", "score"), "name", "left").select("name", "cell", F.coalesce("score", F.lit(0.0)).alias("score"))
+    later = _scored(kept(visits(open_names, directory, False), "visits"), index, id_type, cells, bucket_rows)
     return equal.unionByName(merged(first.unionByName(later)))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_functions import plain_jaro_winkler
 
-from tallywork.operators import fuzzy
+from tallywork.operators import fuzzy, resolve
 from tallywork.operators.duplicates import find_duplicates
 from tallywork.operators.percentiles import exact_percentiles
 from tallywork.operators.skew import join_counted, position, running_number
@@ -251,3 +251,52 @@ def test_names_near_to_most_entries_try_few(spark):
         near = [i for i, e in entries if abs(len(n) - len(e)) <= 5 and plain_edits(n, e) <= 5]
         assert got.get(n) == (min(near) if near else None), n
     assert got[names[-1]] == 2000   # shares one token of three, which beats a lower id
+
+
+def swapped_requests(n):
+    """Requests of names with their words in another order, or one letter off."""
+    return [(2 * i, None, f"{i:09d} Supplier") for i in range(n)] + [(2 * i + 1, None, f"Supblier {i:09d}") for i in range(n)]
+
+
+@pytest.mark.parametrize("query", ["jn_15"])
+def test_names_of_swapped_words_visit_few_cells(spark, query):
+    # all names have nearly the letters of all entries: only where these stand tells them apart
+    n = 700
+    suppliers = spark.createDataFrame([(i, f"5{i:08d}", f"supplier {i:09d}") for i in range(n)], "id long, nif string, normalized_name string")
+    requests = spark.createDataFrame(swapped_requests(n), "document_id long, input_nif string, input_name string")
+    aliases = spark.createDataFrame([], "supplier_id long, alias_text string, alias_type string")
+    visits = []
+    real, fuzzy.kept = fuzzy.kept, lambda df, name: (out := real(df, name), visits.append(out) if name == "visits" else None)[0]
+    try:
+        if query == "jn_15":
+            names = requests.select(F.lower("input_name").alias("name"))
+            got = {r["name"]: r["id"] for r in fuzzy.closest_names(names, suppliers.select("id", F.col("normalized_name").alias("entry")), shard_rows=50).collect()}
+            assert got == {f"supblier {i:09d}": i for i in range(n)}
+        else:
+            resolved = resolve.resolve(requests, suppliers, aliases)
+            if query == "jn_14":
+                got = {r["document_id"]: (r["supplier_id"], r["method"]) for r in resolved.collect()}
+                assert got == {2 * i: (None, "new_supplier") for i in range(n)} | {2 * i + 1: (i, "fuzzy") for i in range(n)}
+            else:
+                assert {r["normalized_name"] for r in resolve.new_suppliers(resolved).collect()} == {f"{i:09d} supplier" for i in range(n)}
+    finally:
+        fuzzy.kept = real
+    rows = visits[0]
+    for df in visits[1:]:
+        rows = rows.unionByName(df)
+    assert rows.where("name LIKE '% supplier'").count() == 0
+
+
+def test_scores_by_words_of_bits_equal_plain_ones():
+    rng = random.Random(11)
+    text = lambda: "".join(rng.choice("abc 01é") for _ in range(rng.choice([1, 2, 5, 9, 18, 63, 64, 65, 80])))
+    for _ in range(20):
+        entries = sorted({text() for _ in range(30)})
+        names = sorted({text() for _ in range(8)} | {"".join(sorted(e, key=lambda c: rng.random() < 0.2)) for e in entries[:8]})
+        ids = rng.sample(range(100), len(entries))
+        asked = pd.DataFrame({"name": names, "score": 0.82})
+        found = fuzzy._closest(asked, pd.DataFrame({"id": ids, "entry": entries}))
+        got = {n: (i, s) for n, i, s in zip(found["name"], found["id"], found["score"])}
+        for n in names:
+            score, at = max((round(plain_jaro_winkler(n, e), 9), -i) for i, e in zip(ids, entries))
+            assert got.get(n) == ((-at, score) if score >= 0.82 else None), n
