@@ -258,7 +258,7 @@ def swapped_requests(n):
     return [(2 * i, None, f"{i:09d} Supplier") for i in range(n)] + [(2 * i + 1, None, f"Supblier {i:09d}") for i in range(n)]
 
 
-@pytest.mark.parametrize("query", ["jn_14", "jn_15"])
+@pytest.mark.parametrize("query", ["jn_14", "jn_15", "jn_17"])
 def test_names_of_swapped_words_visit_few_cells(spark, query):
     # all names have nearly the letters of all entries: only where these stand tells them apart
     n = 700
