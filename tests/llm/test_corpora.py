@@ -461,3 +461,57 @@ def test_quality_votes_equal_plain_cosine_votes(docs, rows):
         want = (sum(w * y for w, (_, y) in zip(weight, near)) + 1e-6 * 0.5) / (sum(weight) + 1e-6)
         assert abs(got[i] - min(1.0, max(0.0, want))) < 0.02, (i, got[i], want)
     assert got[101] > 0.7 > got[102]
+
+
+def test_nearest_sends_a_query_once_and_reads_all_where_lists_share_most_rows(spark, monkeypatch):
+    # vectors without structure: most lists must be read, so queries aren't sent list by list and rows aren't read several times
+    rnd = np.random.default_rng(13)
+    x = rnd.standard_normal((3000, 24)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    stored = {}
+    real = ann.store
+    monkeypatch.setattr(ann, "SAMPLE", 1000)
+    monkeypatch.setattr(ann, "LIST_ROWS", 40)
+    monkeypatch.setattr(ann, "store", lambda out, name: stored.setdefault(name, real(out, name)))
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, k=20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert stored["probes"].count() == 60 and stored["lists"].count() == 3000
+    for q in range(0, 3000, 50):
+        assert got[q] == [i for i in np.lexsort((np.arange(3000), -(x * x[q]).sum(1))) if i != q][:20]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-200, 1e200])
+def test_block_search_equals_plain_scores(scale):
+    rnd = np.random.default_rng(17)
+    v, q = rnd.standard_normal((300, 9)) * scale, rnd.standard_normal((40, 9))
+    ids, qids, lists = rnd.integers(0, 250, 300), np.arange(40), rnd.integers(0, 6, 300)
+    v[5], ids[:20] = v[4], 7
+    reads = rnd.random((40, 6)) < 0.6
+    row, col, score = ann.search_block(v, ids, lists, q, qids, np.full(40, -np.inf), reads, 10)
+    for i in range(40):
+        best = {}
+        for j in np.flatnonzero(reads[i, lists] & (ids != i)):
+            best[ids[j]] = max(best.get(ids[j], -np.inf), (v[j] * q[i]).sum())
+        want = sorted((-s, d) for d, s in best.items())[:10]
+        assert [(-s, ids[c]) for r, c, s in zip(row, col, score) if r == i] == want
+
+
+def test_lists_meet_in_blocks_of_bounded_rows(monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    blocks = ann.Blocks(np.array([30, 60, 20, 0, 250, 40, 99]))
+    assert blocks.lists == [(0, 2), (2, 4), (4, 5), (4, 5), (4, 5), (5, 6), (6, 7)]
+    assert blocks.first.tolist() == [0, 0, 1, 1, 2, 5, 6] and blocks.parts.tolist() == [1, 1, 1, 1, 3, 1, 1]
+    reads = np.zeros((2, 7), bool)
+    reads[0, [1, 4]] = True
+    assert blocks.asked(reads) == [[{"block": 0, "lists": b"\x40"}, *[{"block": b, "lists": b"\x80"} for b in (2, 3, 4)]], []]
+
+
+def test_walk_finds_what_looking_at_all_centroids_finds(monkeypatch):
+    rnd = np.random.default_rng(19)
+    graph, x = ann.Graph(rnd.standard_normal((700, 8)).astype(np.float32)), rnd.standard_normal((50, 8)).astype(np.float32)
+    ids, far = graph.search(x, 24)
+    near = ((graph.centroids[None] - x[:, None]) ** 2).sum(2)
+    assert (ids == np.argsort(near, axis=1)[:, :24]).mean() > 0.99 and np.allclose(far, np.sort(np.sqrt(near), axis=1)[:, :24], atol=1e-4)
+    monkeypatch.setattr(ann, "WALK", 0)
+    assert (graph.search(x, 24)[0][:, 0] == ids[:, 0]).mean() > 0.95
