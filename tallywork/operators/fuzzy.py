@@ -296,8 +296,8 @@ def name_index(entries: DataFrame, cell_rows: int = CELL_ROWS, max_cells: int =
 
     def sums(parts):
         for part in parts:
-            text = part["entry"].str
-            each = np.array([text.count(x) for x in letters], np.int64)
+            texts = part["entry"].tolist()
+            each = np.array([[t.count(x) for t in texts] for x in letters], np.int64)
             yield pd.DataFrame({"x": list(letters), "n": each.shape[1], "s": each.sum(axis=1), "q": (each ** 2).sum(axis=1)})
 
     sums_ = entries.select("entry").mapInPandas(sums, "x string, n long, s long, q long").groupBy("x").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
